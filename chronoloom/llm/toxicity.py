@@ -28,7 +28,9 @@ DECAY = 0.6
 LONG, STEP = 24, 12
 #: Labelled rows to fit on (a bound; fewer if there are fewer), candidates that come to the driver, landmarks, words kept by a worker.
 SAMPLE_ROWS, CANDIDATES, NEGATIVES, HARD, LANDMARKS, KEPT = 4000, 3000, 4000, 1000, 96, 400_000
-ROUNDS = 2
+ROUNDS = 3
+#: Words less like any clean one than this are also learned with a letter inserted.
+APART = 0.4
 
 WORD = re.compile(r"[^\W_]+")
 #: Letters with signs between, all in one piece or as single letters with blanks.
@@ -121,10 +123,10 @@ def kernel(words: list[str], letters: str, triples: np.ndarray) -> np.ndarray:
     return (out + out**4) / 2
 
 
-def _hinge(z: np.ndarray, y: np.ndarray, cost: float = 20.0) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss by Newton steps on the rows inside the margin; positive rows weigh more the fewer there are, up to tenfold."""
+def _hinge(z: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 20.0) -> tuple[np.ndarray, float]:
+    """Linear machine with squared hinge loss by Newton steps on the rows inside the margin."""
     x = np.hstack([z, np.ones((len(z), 1))]).astype(np.float64)
-    weight = np.where(y > 0, min(10.0, max(1.0, (y < 0).sum() / max(1, (y > 0).sum()))), 1.0) * cost
+    weight = weight * cost
     w, keep = np.zeros(x.shape[1]), np.eye(x.shape[1])
     keep[-1, -1] = 1e-6
     for _ in range(50):
@@ -160,13 +162,15 @@ def fit_words(positive: list[str], negative: list[str], landmarks: int = LANDMAR
     marks = _spread(positive, landmarks // 2, letters)
     close = np.argsort(-kernel(negative, letters, tabled(marks, letters)).max(1), kind="stable")[: 4 * landmarks]
     marks += _spread([negative[k] for k in close], landmarks // 2, letters)
+    apart = [w for w, near in zip(positive, kernel(positive, letters, tabled([negative[k] for k in close], letters)).max(1), strict=True) if near < APART]
     known = set(negative)
-    positive = positive + [w for w in dict.fromkeys(chain.from_iterable(map(inserted, positive))) if w not in known]
+    changed = [w for w in dict.fromkeys(chain.from_iterable(map(inserted, apart))) if w not in known]
     triples = tabled(marks, letters)
     values, vectors = np.linalg.eigh(kernel(marks, letters, triples) + 1e-4 * np.eye(len(marks)))
     root = vectors / np.sqrt(np.maximum(values, 1e-4))
-    z = kernel(positive + negative, letters, triples) @ root
-    w, b = _hinge(z, np.r_[np.ones(len(positive)), -np.ones(len(negative))])
+    z = kernel(positive + changed + negative, letters, triples) @ root
+    n = len(positive), len(changed), len(negative)
+    w, b = _hinge(z, np.repeat([1.0, 1.0, -1.0], n), np.repeat([10.0, 0.5, 1.0], n))
     return Machine(letters, triples, (root @ w).astype(np.float32), b)
 
 
