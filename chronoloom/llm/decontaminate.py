@@ -75,8 +75,8 @@ def blocks(benchmark: DataFrame, item: str, text: str, most: int = BLOCK_BYTES)
     yield part
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", n: int = N, remove: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(key, n_words, n_hit, n_items, items, items_sha256, contaminated), and with remove="spans" clean_text: the text without hit spans.
+def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", n: int = N, remove: str | None = None, keep: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(key, n_words, n_hit, n_items, items, items_sha256, contaminated), the columns of `keep`, and with remove="spans" clean_text: the text without hit spans.
 
     Texts are lower-cased (A-Z) and cut into words; a window is n consecutive words of an item, or all of them where it has fewer; a word is hit if it
     lies in any occurrence. Null texts have no words. An item without words occurs nowhere; a null item id counts as "null"; items of equal text
@@ -87,14 +87,61 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     through the sets one after the other, taking its hits along.
     """
     parts = list(blocks(benchmark, item, text, block_bytes))
-    rows = docs.select(docs[key].cast("long").alias(key), utf8(text).alias("raw"))
-    if len(parts) == 1:
-        return _pass(rows, parts, key, n, remove)
-    return _passes(rows, parts, key, n, remove)
+    rows = docs.select(docs[key].cast("long").alias(key), utf8(text).alias("__raw"), F.lit(b"").alias("__bits"), F.array().cast("array<string>").alias("items"), *keep)
+    for part in parts:
+        rows = _marked(rows, part, n)
+    return _finished(rows, key, remove, keep)
 
 
-def _schema(key: str, remove: str | None) -> str:
-    return f"{key} long, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean" + ", clean_text string" * (remove == "spans")
+def _marked(rows: DataFrame, part: list[tuple[str, bytes]], n: int) -> DataFrame:
+    """`rows` with a block's items and hit words added to items and __bits."""
+    shared = rows.sparkSession.sparkContext.broadcast(part)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = Windows(shared.value, n)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                bits, found = [], []
+                for raw, old, items in zip(*(batch.column(c) for c in ("__raw", "__bits", "items")), strict=True):
+                    hit, new = windows.scan(split_words(raw.as_buffer().to_pybytes()))
+                    old = old.as_buffer().to_pybytes()
+                    bits.append(old if not new else _merged(old, hit))
+                    found.append(items.as_py() if not new else sorted({*items.as_py(), *new}))
+                columns = {"__bits": pa.array(bits, pa.binary()), "items": pa.array(found, pa.list_(pa.string()))}
+                yield pa.RecordBatch.from_arrays([columns.get(c, batch.column(c)) for c in batch.schema.names], batch.schema.names)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _merged(old: bytes, hit: np.ndarray) -> bytes:
+    return np.packbits(hit if not old else hit | np.unpackbits(np.frombuffer(old, np.uint8), count=len(hit)).view(bool)).tobytes()
+
+
+def _finished(rows: DataFrame, key: str, remove: str | None, keep: tuple[str, ...]) -> DataFrame:
+    kinds = {"n_words": pa.int64(), "n_hit": pa.int64(), "n_items": pa.int64(), "items_sha256": pa.string(), "contaminated": pa.bool_()} | ({"clean_text": pa.string()} if remove == "spans" else {})
+    first = [key, "items", *keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                out: dict[str, list] = {c: [] for c in kinds}
+                for raw, bits, items in zip(*(batch.column(c) for c in ("__raw", "__bits", "items")), strict=True):
+                    raw, bits, items = raw.as_buffer().to_pybytes(), bits.as_buffer().to_pybytes(), items.as_py()
+                    n = len(split_words(raw))
+                    hit = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).view(bool) if bits else np.zeros(0, bool)
+                    values = {"n_words": n, "n_hit": int(hit.sum()), "n_items": len(items), "items_sha256": digest(items), "contaminated": bool(hit.any())}
+                    if remove == "spans":
+                        values["clean_text"] = without(raw, hit) if hit.any() else raw.decode("utf-8", "replace")
+                    for c, v in values.items():
+                        out[c].append(v)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in first), *(pa.array(v, kinds[c]) for c, v in out.items())], [*first, *out])
+
+    schema = rows.select(*first).schema
+    for c in kinds:
+        schema = schema.add(c, {"contaminated": "boolean", "items_sha256": "string", "clean_text": "string"}.get(c, "long"))
+    return rows.mapInArrow(run, schema)
 
 
 def without(raw: bytes, hit: np.ndarray) -> str:
@@ -111,64 +158,3 @@ def without(raw: bytes, hit: np.ndarray) -> str:
             k += 1
         end += len(w) + 1
     return (b"".join(out) + raw[at:]).decode("utf-8", "replace")
-
-
-def _pass(rows: DataFrame, parts: list, key: str, n: int, remove: str | None) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(parts[0])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(shared.value, n)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, out = batch.slice(at, 256), []
-                for k, raw in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    raw = raw.as_buffer().to_pybytes()
-                    words = split_words(raw)
-                    hit, items = windows.scan(words)
-                    h = int(hit.sum())
-                    row = {key: k, "n_words": len(words), "n_hit": h, "n_items": len(items), "items": sorted(items), "items_sha256": digest(items), "contaminated": h > 0}
-                    out.append(row | ({"clean_text": without(raw, hit) if h else raw.decode("utf-8", "replace")} if remove == "spans" else {}))
-                yield pa.RecordBatch.from_pylist(out, schema=arrow)
-
-    fields = [(key, pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("items_sha256", pa.string()), ("contaminated", pa.bool_())]
-    arrow = pa.schema(fields + [("clean_text", pa.string())] * (remove == "spans"))
-    return rows.mapInArrow(run, _schema(key, remove))
-
-
-def _passes(rows: DataFrame, parts: list, key: str, n: int, remove: str | None) -> DataFrame:
-    """A pass for each block, each adding its items and its bits to the row that goes along; no row meets another."""
-    shared = [rows.sparkSession.sparkContext.broadcast(p) for p in parts]
-    now = rows.select(key, "raw", F.lit(b"").alias("bits"), F.array().cast("array<string>").alias("items"))
-    arrow = pa.schema([(key, pa.int64()), ("raw", pa.binary()), ("bits", pa.binary()), ("items", pa.list_(pa.string()))])
-
-    def step(block) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            windows = Windows(block.value, n)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 64):
-                    out = []
-                    for row in batch.slice(at, 64).to_pylist():
-                        hit, items = windows.scan(split_words(row["raw"]))
-                        old = np.unpackbits(np.frombuffer(row["bits"], np.uint8), count=len(hit)) if row["bits"] else np.zeros(len(hit), np.uint8)
-                        out.append(row | {"bits": np.packbits(hit | (old > 0)).tobytes(), "items": sorted({*row["items"], *items})})
-                    yield pa.RecordBatch.from_pylist(out, schema=arrow)
-
-        return now.mapInArrow(run, f"{key} long, raw binary, bits binary, items array<string>")
-
-    for block in shared:
-        now = step(block)
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                out = []
-                for row in batch.slice(at, 64).to_pylist():
-                    words = split_words(row["raw"])
-                    hit = np.unpackbits(np.frombuffer(row["bits"], np.uint8), count=len(words)) if words else np.zeros(0, np.uint8)
-                    h = int(hit.sum())
-                    one = {key: row[key], "n_words": len(words), "n_hit": h, "n_items": len(row["items"]), "items": row["items"], "items_sha256": digest(row["items"]), "contaminated": h > 0}
-                    out.append(one | ({"clean_text": without(row["raw"], hit)} if remove == "spans" else {}))
-                fields = [(key, pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("items_sha256", pa.string()), ("contaminated", pa.bool_())]
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema(fields + [("clean_text", pa.string())] * (remove == "spans")))
-
-    return now.mapInArrow(finish, _schema(key, remove))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, line_dedup, media, secret_scan, sharding, toxicity
+from . import bpe, chat, decontaminate, jaccard, line_dedup, media, passages, secret_scan, sharding, toxicity
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.summaries(chat.format_conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = line_dedup.dedup_lines(docs, line_dedup.LineIndex.of(docs))
@@ -47,10 +51,14 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(table(spark, sf_dir, "documents")).drop("secrets")
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_fingerprints, op2_byte_bpe, op3_rendezvous_shards, op4_decontamination, op5_chat_format, op7_line_dedup, op8_secret_scan, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_fingerprints, op2_byte_bpe, op3_rendezvous_shards, op4_decontamination, op5_chat_format, op6_ngram_jaccard, op7_line_dedup, op8_secret_scan, op9_repeated_passages, op10_toxicity)}
 
 SQL: dict[str, str] = {}
