@@ -22,7 +22,7 @@ RUNS = columns("id long, run_timestamp timestamp, run_type string, trigger_sourc
 
 
 class VersionedTable:
-    """A Parquet table in numbered folders. A write makes a new one, and then the file `_current` names it, so readers see whole versions only, and a
+    """A Parquet table in numbered folders. A write makes a new one, and then the file `CURRENT` names it, so readers see whole versions only, and a
     version being read is never overwritten. One writer at a time."""
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, partition_by: tuple[str, ...] = ()) -> None:
@@ -33,8 +33,8 @@ class VersionedTable:
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def version(self) -> int:
-        p, fs = self._fs("_current")
-        return int(self.spark.read.text(f"{self.path}/_current").first()[0]) if fs.exists(p) else 0
+        p, fs = self._fs("CURRENT")
+        return int(self.spark.read.text(f"{self.path}/CURRENT").first()[0]) if fs.exists(p) else 0
 
     def read(self, version: int | None = None) -> DataFrame:
         n = self.version() if version is None else version
@@ -47,7 +47,7 @@ class VersionedTable:
         rows = df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema])
         out = rows.write.mode("overwrite")
         (out.partitionBy(*self.partition_by) if self.partition_by else out).parquet(f"{self.path}/v{n}")
-        p, fs = self._fs("_current")
+        p, fs = self._fs("CURRENT")
         stream = fs.create(p, True)
         stream.write(bytearray(str(n).encode()))
         stream.close()
