@@ -1,46 +1,20 @@
-"""What the text operators share: table access, Arrow mapping, and intermediate tables that survive a lost executor."""
+"""What the text operators share: table access, components, and intermediate tables that survive a lost executor."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str, batch: int = 256) -> DataFrame:
-    """`mapInArrow` for a generator over rows: gets dicts, yields dicts with the columns of `schema`."""
-    out = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    arrow = to_arrow_schema(out)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for b in batches:
-            for at in range(0, b.num_rows, batch):  # few Python objects live at a time
-                yield from b.slice(at, batch).to_pylist()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, size = [], 0
-        for row in fn(rows(batches)):
-            kept.append(row)
-            size += 64 + sum(len(v) for v in row.values() if isinstance(v, str | bytes | list))
-            if len(kept) >= 4096 or size >= 16 << 20:
-                yield pa.RecordBatch.from_pylist(kept, schema=arrow)
-                kept, size = [], 0
-        if kept:
-            yield pa.RecordBatch.from_pylist(kept, schema=arrow)
-
-    return df.mapInArrow(run, out)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir`; one of our own only where that is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -72,13 +46,45 @@ def utf8(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
+#: Edges that one task may join; beyond this many the rounds of `_stars` do it.
+FEW = 1 << 20
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's edges as stars: (node, least node it is connected to here)."""
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := top.setdefault(x, x)) != x:
+            top[x] = x = top[up]
+        return x
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            u, v = find(u), find(v)
+            if u != v:
+                top[max(u, v)] = min(u, v)
+    nodes = sorted(top)
+    for at in range(0, len(nodes), 1 << 16):
+        part = nodes[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], ["node", "component"])
+
+
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """Connected components of an edge list of longs: (node, component), component = smallest node reachable.
 
-    Large-star and small-star rounds (Kiveris et al. 2014): each is a grouping without collected groups, so a node with very many edges stays a
-    sum over tasks; O(log^2 n) rounds, each one written out.
+    Each partition first joins its own edges. If few are left, one task joins these; else rounds over all executors do.
     """
-    spark = edges.sparkSession
+    form = "node long, component long"
+    stars = written(edges.select(F.col(left).cast("long").alias("u"), F.col(right).cast("long").alias("v")).mapInArrow(_joined, form), "stars")
+    if stars.count() <= FEW:
+        return stars.coalesce(1).mapInArrow(_joined, form)
+    return _stars(stars)
+
+
+def _stars(edges: DataFrame, left: str = "node", right: str = "component") -> DataFrame:
+    """The same by large-star and small-star rounds (Kiveris et al. 2014): each is a grouping without collected groups, so a node with very many edges
+    stays a sum over tasks; O(log^2 n) rounds, each one written out."""
     now = written(edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u <> v").distinct(), "edges")
     while True:
         # large star: each larger neighbour of a node is tied to the smallest one of node and neighbours
@@ -94,5 +100,6 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         now = new
         if same:
             break
+    alone = edges.select(F.col(left).alias("node"), F.col(left).alias("component")).where(F.col(left) == F.col(right)).distinct().join(now.select(F.col("u").alias("node")), "node", "left_anti")
     tops = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops)
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops).unionByName(alone.join(tops.select("node"), "node", "left_anti"))

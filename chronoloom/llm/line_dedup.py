@@ -146,7 +146,7 @@ class LineIndex:
         return cls(posted, counts, written(built(counts, min_docs), "filters"), min_chars, min_docs)
 
     def _next(self, posted: DataFrame, counts: DataFrame, touched: DataFrame) -> LineIndex:
-        posted, counts = written(posted, "postings"), written(counts, "counts")
+        posted, counts = written(posted.select(*KEY, "doc"), "postings"), written(counts.select(*KEY, "refs", "last"), "counts")
         return LineIndex(posted, counts, written(self._refiltered(counts, touched), "filters"), self.min_chars, self.min_docs)
 
     def _refiltered(self, counts: DataFrame, touched: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ def fingerprint(samples: bytes) -> np.ndarray:
         return np.zeros(0, np.int64)
     bins, power = _loudest(x, frames)
     edge = np.full((1, len(BANDS)), -1, np.float32)
-    peak = (power > np.vstack([edge, power[:-1]])) & (power >= np.vstack([power[1:], edge])) & (power > 0)
+    peak = (power > np.vstack([edge, power[:-1]])) & (power >= np.vstack([power[1:], edge])) & (power > 1)  # what is left of a steady tone is rounding
     t, band = np.nonzero(peak)
     f = bins[t, band]
     codes = []
