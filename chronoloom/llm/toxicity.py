@@ -33,15 +33,23 @@ ROUNDS = 3
 APART = 0.4
 
 WORD = re.compile(r"[^\W_]+")
-#: Letters with signs between, all in one piece or as single letters with blanks.
-BROKEN = re.compile(r"[^\W_]+(?:[^\w\s]+[^\W_]+|_+[^\W_]+)+|(?<!\w)[^\W_](?:[\W_]{1,2}[^\W_](?!\w))+")
+#: Single letters with blanks between.
+SPACED = re.compile(r"(?<!\S)[^\W_](?:\s[^\W_])+(?!\S)")
 
 
 def words_of(text: str) -> set[str]:
-    """The distinct words of a text, in lower case, long ones as windows, broken ones joined as well."""
+    """The distinct words of a text, in lower case, long ones as windows; those with signs or blanks between their letters joined as well."""
     text = text.lower()
-    out = set(WORD.findall(text))
-    out.update("".join(WORD.findall(x)) for x in BROKEN.findall(text))
+    out = set()
+    for token in set(text.split()):
+        if token.isalnum():
+            out.add(token)
+        else:
+            parts = WORD.findall(token)
+            out.update(parts)
+            if len(parts) > 1:
+                out.add("".join(parts))
+    out.update("".join(x.split()) for x in SPACED.findall(text))
     if long := [w for w in out if len(w) > LONG]:
         out.difference_update(long)
         out.update(w[k : k + LONG] for w in long for k in range(0, len(w) - STEP, STEP))
@@ -112,6 +120,7 @@ def kernel(words: list[str], letters: str, triples: np.ndarray) -> np.ndarray:
     tells a form from others with the same root."""
     table, a = _codes(letters), len(letters) + 1
     out = np.zeros((len(words), triples.shape[1]), np.float32)
+    active = triples.any(1)
     for at, x in _by_length(words):
         c = table[np.minimum(x, 0xFFFF)]
         i, j, k, w, scale = _triples(x.shape[1])
@@ -119,7 +128,10 @@ def kernel(words: list[str], letters: str, triples: np.ndarray) -> np.ndarray:
         for lo in range(0, len(at), step):
             y = c[lo : lo + step]
             f = (y[:, i] * a + y[:, j]) * a + y[:, k]
-            out[at[lo : lo + step]] = np.matmul(w / scale, triples[f])
+            row, column = np.nonzero(active[f])  # most triples are in no landmark
+            if len(row):
+                begins = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                out[np.array(at[lo : lo + step])[row[begins]]] = np.add.reduceat(triples[f[row, column]] * (w / scale)[column, None], begins)
     return (out + out**4) / 2
 
 
