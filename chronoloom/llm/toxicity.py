@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import chain, combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ DECAY = 0.6
 #: Longer words are cut into windows of LONG letters, STEP apart, which hold every word of up to LONG - STEP letters whole.
 LONG, STEP = 24, 12
 #: Labelled rows to fit on (a bound; fewer if there are fewer), candidates that come to the driver, landmarks, words kept by a worker.
-SAMPLE_ROWS, CANDIDATES, NEGATIVES, HARD, LANDMARKS, KEPT = 4000, 3000, 4000, 1000, 96, 400_000
+SAMPLE_ROWS, CANDIDATES, NEGATIVES, HARD, LANDMARKS, KEPT = 4000, 3000, 4000, 1000, 96, 200_000
 ROUNDS = 3
 #: Words less like any clean one than this are also learned with a letter inserted.
 APART = 0.4
@@ -75,12 +76,19 @@ def _by_length(words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
                 yield part, np.frombuffer("".join([words[k] for k in part]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
 
 
+class Triples(NamedTuple):
+    """Weights of triples, a column for each landmark. Most triples are in no landmark: `place` maps a triple's code to its row, 0 for those, whose row is zeros."""
+
+    place: np.ndarray
+    rows: np.ndarray
+
+
 @dataclass
 class Machine:
     """Landmarks' triple weights over an alphabet (code 0: any other letter), their coefficients, the intercept, and the logistic curve from margin to score."""
 
     letters: str = ""
-    triples: np.ndarray = field(default_factory=lambda: np.zeros((1, 0), np.float32))
+    triples: Triples = field(default_factory=lambda: Triples(np.zeros(1, np.int32), np.zeros((1, 0), np.float32)))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     intercept: float = -1.0
     slope: float = 0.0
@@ -102,36 +110,40 @@ def _codes(letters: str) -> np.ndarray:
     return table
 
 
-def tabled(marks: list[str], letters: str) -> np.ndarray:
-    """A column of triple weights for each landmark."""
+def tabled(marks: list[str], letters: str) -> Triples:
+    """The triples of the landmarks, with a column of weights for each."""
     table, a = _codes(letters), len(letters) + 1
-    out = np.zeros((a**3, len(marks)), np.float32)
+    codes, columns, weights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
     for at, x in _by_length(marks):
         c = table[np.minimum(x, 0xFFFF)]
         i, j, k, w, scale = _triples(x.shape[1])
-        known = (c[:, i] > 0) & (c[:, j] > 0) & (c[:, k] > 0)
-        for row, f, on in zip(at, (c[:, i] * a + c[:, j]) * a + c[:, k], known, strict=True):
-            np.add.at(out[:, row], f[on], w[on] / scale)
-    return out
-
-
-def kernel(words: list[str], letters: str, triples: np.ndarray) -> np.ndarray:
+        row, column = np.nonzero((c[:, i] > 0) & (c[:, j] > 0) & (c[:, k] > 0))
+        codes.append(((c[:, i] * a + c[:, j]) * a + c[:, k])[row, column])
+        columns.append(np.array(at)[row])
+        weights.append((w / scale)[column])
+    found, where = np.unique(np.concatenate(codes), return_inverse=True)
+    place, rows = np.zeros(a**3, np.int32), np.zeros((len(found) + 1, len(marks)), np.float32)
+    place[found] = np.arange(1, len(found) + 1)
+    np.add.at(rows, (where + 1, np.concatenate(columns)), np.concatenate(weights))
+    return Triples(place, rows)
+
+
+def kernel(words: list[str], letters: str, triples: Triples) -> np.ndarray:
     """Kernel of each word with each landmark: the mean of the subsequence kernel, which words with inserted letters keep, and its fourth power, which
     tells a form from others with the same root."""
     table, a = _codes(letters), len(letters) + 1
-    out = np.zeros((len(words), triples.shape[1]), np.float32)
-    active = triples.any(1)
+    out = np.zeros((len(words), triples.rows.shape[1]), np.float32)
     for at, x in _by_length(words):
         c = table[np.minimum(x, 0xFFFF)]
         i, j, k, w, scale = _triples(x.shape[1])
         step = max(1, 20_000 // len(i))
         for lo in range(0, len(at), step):
             y = c[lo : lo + step]
-            f = (y[:, i] * a + y[:, j]) * a + y[:, k]
-            row, column = np.nonzero(active[f])  # most triples are in no landmark
+            f = triples.place[(y[:, i] * a + y[:, j]) * a + y[:, k]]
+            row, column = np.nonzero(f)
             if len(row):
                 begins = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                out[np.array(at[lo : lo + step])[row[begins]]] = np.add.reduceat(triples[f[row, column]] * (w / scale)[column, None], begins)
+                out[np.array(at[lo : lo + step])[row[begins]]] = np.add.reduceat(triples.rows[f[row, column]] * (w / scale)[column, None], begins)
     return (out + out**4) / 2
 
 
@@ -263,7 +275,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     statistics are made by Spark; to the driver come at most CANDIDATES words, as many stems, NEGATIVES + ROUNDS * HARD other words and one margin for
     each sampled row.
     """
-    chosen = written(_unlike(sample(docs, labels, key, text, label, rows)), "sample")
+    drawn = written(sample(docs, labels, key, text, label, rows), "drawn")  # cut here, or the planner moves the removal of copies below the draw, onto all texts
+    chosen = written(_unlike(drawn), "sample")
+    forget(drawn)
     counts = {r.toxic: r.n for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     stats = written(_exploded(chosen).groupBy("word", "stem").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")), "words")
     sizes = [(r.n_texts, r.n) for r in stats.groupBy((F.col("bad") + F.col("good")).alias("n_texts")).agg(F.count("*").alias("n")).collect()]
@@ -301,15 +315,18 @@ def _margin_udf(machine: Machine):
 
 
 def scored(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, *keep, margin, score, predicted) of every row's whole text. Null and empty texts have no words and the intercept as their margin; rows are worked on alone."""
-    rows = docs.select(F.coalesce(docs[text], F.lit("")).alias("__text"), docs[key].cast("long").alias(key), *keep)
+    """(key, *keep, margin, score, predicted) of every row's whole text. Null and empty texts have no words and the intercept as their margin; rows are worked on alone.
+
+    The text itself, if it is in `keep`, comes last before the margin, and goes to the tasks once."""
+    rows = docs.select(docs[text].alias("__text"), docs[key].cast("long").alias(key), *[c for c in keep if c != text])
+    whole = text in keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
         for batch in batches:
             margins = []
             for at in range(0, batch.num_rows, 128):
-                sets = [words_of(t.as_py()) for t in batch.column(0).slice(at, 128)]
+                sets = [words_of(t.as_py() or "") for t in batch.column(0).slice(at, 128)]
                 every = set().union(*sets)
                 if len(known) > KEPT:
                     known.clear()
@@ -317,9 +334,10 @@ def scored(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "
                     known.update(zip(missing, machine.margins(missing).tolist(), strict=True))
                 margins += [max(map(known.__getitem__, s), default=machine.intercept) for s in sets]
             scores = [machine.score(m) for m in margins]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(margins, pa.float64()), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], [*batch.schema.names[1:], "margin", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *batch.columns[:whole], pa.array(margins, pa.float64()), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], [*batch.schema.names[1:], *[text][:whole], "margin", "score", "predicted"])
 
-    schema = rows.drop("__text").schema.add("margin", "double").add("score", "double").add("predicted", "integer")
+    kept = rows.select(*rows.columns[1:], *([F.col("__text").alias(text)] if whole else []))
+    schema = kept.schema.add("margin", "double").add("score", "double").add("predicted", "integer")
     return rows.mapInArrow(run, schema)
 
 
