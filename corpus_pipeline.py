@@ -17,8 +17,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the machine doesn't take for toxic. It is fitted on a bounded sample of labelled rows; see toxicity.fit."""
     machine = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    kept = toxicity.scored(docs.withColumn("kept_text", F.col("text")), machine, keep=("kept_text", "lang", "source", "n_chars"))
-    return kept.where("predicted = 0").select("doc_id", F.col("kept_text").alias("text"), "lang", "source", "n_chars")
+    return toxicity.scored(docs, machine, keep=("text", "lang", "source", "n_chars")).where("predicted = 0").select(*COLUMNS)
 
 
 def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
