@@ -137,7 +137,8 @@ def _candidates(sets: DataFrame, fragments: int, most: int | None, similar: int)
             rows = []
             for r in batch.to_pylist():
                 h, found = np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["found"], np.int32)
-                one = {"doc": r["doc"], "n": r["n"], "label": r["label"], "cells": np.minimum(np.bincount((h % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes() if len(h) < 200 * CELLS else b""}
+                cells = np.bincount((h % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+                one = {"doc": r["doc"], "n": r["n"], "label": r["label"], "cells": _packed(cells.astype(np.uint8 if cells.max() < 256 else np.uint32))}
                 h, found = h[: r["first"]], found[: r["first"]]
                 cool = found <= GROUP
                 part = (h >> np.uint64(33)) % np.uint64(fragments)
@@ -155,8 +156,8 @@ def _candidates(sets: DataFrame, fragments: int, most: int | None, similar: int)
     def pairs(group: pa.Table) -> pa.Table:
         doc, n, label = (group.column(c).to_numpy() for c in ("doc", "n", "label"))
         parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("hashes")]
-        cells = [np.frombuffer(x.as_buffer(), np.uint8) for x in group.column("cells")]
-        cells = np.stack([c if len(c) else np.full(CELLS, 255, np.uint8) for c in cells])
+        cells = [x.as_buffer() for x in group.column("cells")]
+        cells = np.stack([np.frombuffer(c, np.uint8 if len(c) == CELLS else np.uint32) for c in cells])  # wide ones if a set here has them
         h, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         order = np.lexsort((n[owner], h))
         h, owner = h[order], owner[order]

@@ -260,6 +260,16 @@ def test_jaccard_rows_without_a_key(spark):
     assert got == [(1, 1), (1, 1), (2, 1), (None, None)]
 
 
+def test_jaccard_of_very_long_near_copies(spark):
+    """More shingles in a cell of the histogram than a byte counts."""
+    base = [f"w{k}" for k in range(90_000)]
+    other, third = list(base), list(base)
+    other[500] = other[70_000] = "x"
+    third[::20] = ["y"] * 4500  # a quarter of the shingles: not alike
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate((base, other, third))], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.similar_documents(df).collect()} == {0: 0, 1: 0, 2: 2}
+
+
 def test_word_hashes_do_not_depend_on_blocks(texts, monkeypatch):
     raws = [raw(t) for t in texts.values()]
     want = shingles.word_hashes(raws)
