@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,7 +22,8 @@ from .common import components, forget, utf8, written
 from .shingles import BASE, SPACE, _powers, mixed, shingled, word_hashes
 
 REACH, MIN_WORDS, SIMILAR, N = 4, 25, 75, 5
-FRAGMENT = 4 << 20
+#: Paragraphs that a fragment's task holds, and members in one block of a bucket.
+FRAGMENT, GROUP = 4 << 20, 100_000
 LAST = np.uint64((1 << 64) - 1)
 #: Bloom filters of more bits than this aren't broadcast; then all paragraphs go to the join.
 BLOOM_BITS = 1 << 29
@@ -147,7 +149,7 @@ def _repeated(texts: DataFrame, fragments: int) -> DataFrame:
 
 
 def _collisions(texts: DataFrame, fragments: int, count: int) -> DataFrame:
-    """(a, b): hashes of different paragraphs that share a MinHash; all of a bucket with its least."""
+    """(part, bucket, own): hashes of different paragraphs that share a MinHash, their bucket. A hot bucket comes as pairs of its blocks, so that any two members meet."""
     arrow = pa.schema([("fragment", pa.int32()), ("marks", pa.binary()), ("owns", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,22 +168,35 @@ def _collisions(texts: DataFrame, fragments: int, count: int) -> DataFrame:
         marks, own = _joined(group, "marks", np.uint64), _joined(group, "owns", np.uint64)
         order = np.lexsort((own, marks))
         marks, own = marks[order], own[order]
-        first = np.flatnonzero(np.concatenate([[True], marks[1:] != marks[:-1]]))
-        top = np.repeat(own[first], np.diff(np.append(first, len(own))))
-        pairs = np.unique(np.stack([top[own != top], own[own != top]], 1), axis=0)
-        return pa.table({"a": pairs[:, 0].view(np.int64) if len(pairs) else pa.array([], pa.int64()), "b": np.ascontiguousarray(pairs[:, 1]).view(np.int64) if len(pairs) else pa.array([], pa.int64())})
+        new = np.concatenate([[True], (marks[1:] != marks[:-1]) | (own[1:] != own[:-1])])
+        marks, own = marks[new], own[new]
+        size = np.diff(np.append(np.flatnonzero(np.concatenate([[True], marks[1:] != marks[:-1]])), len(marks)))
+        size = np.repeat(size, size)
+        cool = (size > 1) & (size <= GROUP)
+        buckets, owns = [marks[cool]], [own[cool]]
+        hot = size > GROUP
+        for mark in np.unique(marks[hot]):
+            members = own[marks == mark]
+            blocks = -(-len(members) // GROUP)
+            block = (mixed(members) % np.uint64(blocks)).astype(np.int64)
+            for other in range(blocks):
+                low, high = np.minimum(block, other), np.maximum(block, other)
+                buckets.append(mixed(mark + (low * blocks + high + 1).astype(np.uint64) * np.uint64(BASE)))
+                owns.append(members)
+        bucket = np.concatenate(buckets)
+        return pa.table({"part": (bucket >> np.uint64(8)).view(np.int64) % (8 * fragments), "bucket": bucket.view(np.int64), "own": np.concatenate(owns).view(np.int64)})
 
     dealt = texts.mapInArrow(run, "fragment int, marks binary, owns binary")
-    return dealt.groupBy("fragment").applyInArrow(pick, "a long, b long").distinct()
+    return dealt.groupBy("fragment").applyInArrow(pick, "part long, bucket long, own long")
 
 
 def _bloom(own: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (own % np.uint64(bits)).astype(np.int64), ((own >> np.uint64(24)) * np.uint64(0x9E3779B97F4A7C15) % np.uint64(bits)).astype(np.int64)
 
 
-def _named(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(own, doc, begin, length, runs): the paragraphs that are in `pairs`, with the distinct hashes of their runs."""
-    names = pairs.select(F.col("a").alias("own")).unionByName(pairs.select(F.col("b").alias("own"))).distinct()
+def _named(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """(own, doc, begin, length, runs): the paragraphs that are in `members`, with the distinct hashes of their runs."""
+    names = members.select("own").distinct()
     bits = max(1 << 16, 1 << (16 * names.count() - 1).bit_length())
     shared = None
     if bits <= BLOOM_BITS:
@@ -219,21 +234,141 @@ def _named(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "own long, doc long, begin int, length int, runs binary").join(names, "own", "left_semi")
 
 
-def _close(pairs: DataFrame, named: DataFrame, similar: int) -> DataFrame:
-    """The pairs whose exact Jaccard similarity reaches the threshold."""
+def needed(n, m, similar: int):
+    """The least overlap at which sets of sizes n and m reach the threshold."""
+    return -(-similar * (n + m) // (100 + similar))
+
+
+def _crossed(x: np.ndarray, y: np.ndarray, same: bool, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of members of x and y, or of x and x, about `most` at a time."""
+    step = max(1, most // max(1, len(y)))
+    for k in range(0, len(x), step):
+        a, b = np.repeat(np.arange(k, min(len(x), k + step)), len(y)), np.tile(np.arange(len(y)), min(len(x), k + step) - k)
+        if same:
+            a, b = a[a < b], b[a < b]
+        yield x[a], y[b]
+
+
+def _overlap(x: np.ndarray, y: np.ndarray, at: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """How many elements the sets x[k] and y[k] share; sets are sorted slices of `flat`."""
+    out = np.zeros(len(x), np.int64)
+    total = size[x] + size[y]
+    begin = 0
+    ends = np.cumsum(total)
+    while begin < len(x):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + (1 << 21), "right")))
+        which = np.concatenate([x[begin:end], y[begin:end]])
+        n = size[which]
+        pair = np.repeat(np.tile(np.arange(end - begin), 2), n)
+        value = flat[np.repeat(at[which] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+        order = np.lexsort((value, pair))
+        pair, value = pair[order], value[order]
+        both = (pair[1:] == pair[:-1]) & (value[1:] == value[:-1])
+        out[begin:end] = np.bincount(pair[1:][both], minlength=end - begin)
+        begin = end
+    return out
+
+
+def links_within(bucket: np.ndarray, own: np.ndarray, size: np.ndarray, every: np.ndarray, similar: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) of paragraphs of one bucket that connect all pairs there that reach the threshold. Sets have `size` elements each, one after the other in `every`.
+
+    Elements of a bucket's sets are ordered, rare ones first. Two sets that reach the threshold share one of the first ones of both, at places that leave
+    room for the overlap needed; members that share it are compared by size and place, so a bucket isn't expanded where no link is possible.
+    """
+    owner = np.repeat(np.arange(len(own)), size)
+    whole = np.add.reduceat(mixed(every), np.cumsum(size) - size)
+    order = np.lexsort((own, whole, size, bucket))
+    same = (bucket[order][1:] == bucket[order][:-1]) & (size[order][1:] == size[order][:-1]) & (whole[order][1:] == whole[order][:-1])
+    differ = own[order][1:] != own[order][:-1]
+    a, b = [own[order[:-1][same & differ]]], [own[order[1:][same & differ]]]  # equal sets, in a chain; the first stands for them
+    keep = np.ones(len(own), bool)
+    keep[order[1:][same]] = False
+    mine = keep[owner]
+    every, owner = every[mine], owner[mine]
+    held = np.where(keep, size, 0)
+    at = np.cumsum(held) - held
+    key = mixed(every ^ mixed(bucket[owner]))  # an element within its bucket
+    order = np.argsort(key, kind="stable")
+    first = np.concatenate([[True], key[order][1:] != key[order][:-1]]) if len(key) else np.zeros(0, bool)
+    count = np.diff(np.append(np.flatnonzero(first), len(key)))
+    found = np.empty(len(key), np.int64)
+    found[order] = np.repeat(count, count)
+    order = np.lexsort((key, found, owner))
+    key, found, owner = key[order], found[order], owner[order]
+    place = np.arange(len(key)) - at[owner]
+    n = size[owner]
+    head = (place < n - -(-similar * n // 100) + 1) & (found > 1)
+    key, owner, place, n = key[head], owner[head], place[head], n[head]
+    order = np.lexsort((place, n, key))
+    key, owner, place, n = key[order], owner[order], place[order], n[order]
+    begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+    ends = np.append(begins[1:], len(key))
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    label = np.arange(len(own))
+
+    def flush() -> None:
+        nonlocal label
+        if waiting:
+            x, y = (np.concatenate(w) for w in zip(*waiting, strict=True))
+            waiting.clear()
+            apart = label[x] != label[y]
+            pair = np.unique(np.minimum(x, y)[apart] * len(own) + np.maximum(x, y)[apart])
+            x, y = pair // len(own), pair % len(own)
+            both = _overlap(x, y, at, size, every)
+            good = 100 * both >= similar * (size[x] + size[y] - both)
+            x, y = x[good], y[good]
+            a.append(own[x])
+            b.append(own[y])
+            while (label[x] != label[y]).any():
+                low = np.minimum(label[x], label[y])
+                np.minimum.at(label, label[x], low)
+                np.minimum.at(label, label[y], low)
+                while (label != label[label]).any():
+                    label = label[label]
+
+    def compare(x: np.ndarray, y: np.ndarray) -> None:
+        waiting.append((x, y))
+        if sum(len(w[0]) for w in waiting) > 1 << 20:
+            flush()
+
+    many = np.repeat(ends - begins > 64, ends - begins)
+    live, apart = np.flatnonzero(~many), 1
+    while True:  # short lists: pairs `apart` places from each other in order of size
+        live = live[live + apart < len(key)]
+        live = live[key[live] == key[live + apart]]
+        live = live[100 * n[live] >= similar * n[live + apart]]  # a larger partner yet won't fit either
+        if not len(live):
+            break
+        x, y = live, live + apart
+        room = np.minimum(n[x] - place[x], n[y] - place[y]) >= needed(n[x], n[y], similar)
+        compare(owner[x[room]], owner[y[room]])
+        apart += 1
+    for lo, hi in zip(begins[ends - begins > 64].tolist(), ends[ends - begins > 64].tolist(), strict=True):  # long lists: by size and place
+        k, p, o = n[lo:hi], place[lo:hi], owner[lo:hi]
+        edge = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (p[1:] != p[:-1])]))
+        groups = [(int(k[i]), int(p[i]), o[i:j]) for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(o)], strict=True)]
+        for i, (small, here, xs) in enumerate(groups):
+            for large, there, ys in groups[i:]:
+                if 100 * small < similar * large:
+                    break
+                if min(small - here, large - there) >= needed(small, large, similar):
+                    for x, y in _crossed(xs, ys, xs is ys):
+                        compare(x, y)
+    flush()
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _close(members: DataFrame, named: DataFrame, similar: int) -> DataFrame:
+    """(a, b): paragraphs of a bucket whose exact Jaccard similarity reaches the threshold."""
     sets = named.groupBy("own").agg(F.first("runs").alias("runs"))  # equal for equal hashes
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= similar * (len(x) + len(y) - both))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+    def check(group: pa.Table) -> pa.Table:
+        bucket, own = (group.column(c).to_numpy().view(np.uint64) for c in ("bucket", "own"))
+        size = pc.binary_length(group.column("runs")).to_numpy() // 8
+        a, b = links_within(bucket, own, size.astype(np.int64), _joined(group, "runs", np.uint64), similar)
+        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    both = pairs.join(sets.select(F.col("own").alias("a"), F.col("runs").alias("x")), "a").join(sets.select(F.col("own").alias("b"), F.col("runs").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return members.join(sets, "own").select("part", "bucket", "own", "runs").groupBy("part").applyInArrow(check, "a long, b long").distinct()
 
 
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: int = SIMILAR, min_words: int = MIN_WORDS, recall: float = 0.99) -> DataFrame:
@@ -248,13 +383,13 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     size = texts.agg(F.sum(F.length("raw").cast("long"))).first()[0] or 0
     units, count = size // 50 + 1, bands(similar, recall)
     found = written(_repeated(texts, int(units // FRAGMENT + 1)), "repeated")
-    pairs = written(_collisions(texts, int(count * units // FRAGMENT + 1), count), "collisions")
-    if pairs.isEmpty():
+    members = written(_collisions(texts, int(count * units // FRAGMENT + 1), count), "collisions")
+    if members.isEmpty():
         every = found.withColumn("component", F.col("own"))
         extra = []
     else:
-        named = written(_named(texts, pairs), "named")
-        links = written(_close(pairs, named, similar), "close")
+        named = written(_named(texts, members), "named")
+        links = written(_close(members, named, similar), "close")
         groups = written(components(links), "clusters")
         # paragraphs of clusters of several: the first of a cluster stays
         some = named.join(groups.withColumnRenamed("node", "own"), "own").select("doc", "begin", "length", "own", "component")
@@ -263,7 +398,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
         rest = found.join(groups.select(F.col("node").alias("own")), "own", "left_anti").withColumn("component", F.col("own"))
         every = rest.select("doc", "begin", "length", "own", "removed", "component").unionByName(some)
         extra = [links]
-    forget(pairs, *extra)
+    forget(members, *extra)
     at = Window.partitionBy("doc").orderBy("begin")
     runs = every.withColumn("new", F.coalesce((F.col("begin") != F.lag(F.col("begin") + F.col("length")).over(at)) & (F.col("begin") != F.lag("begin").over(at)), F.lit(True)))
     runs = runs.withColumn("run", F.sum(F.col("new").cast("int")).over(at))

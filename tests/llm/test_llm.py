@@ -421,6 +421,51 @@ def test_close_paragraphs_are_joined(spark, monkeypatch):
     assert 1 - (1 - 0.75) ** passages.bands() >= 0.99 and passages.bands(rows=2) == 6
 
 
+def test_all_of_a_bucket_are_compared(spark, monkeypatch):
+    """The two larger hashes are alike, and neither is like the least."""
+    r = random.Random(5)
+    monkeypatch.setattr(passages, "minhashes", lambda w, begin, length, own, count, n=5: np.ones((len(begin), count), np.uint64))  # one bucket
+    monkeypatch.setattr(passages, "cut", lambda w, reach=4: np.zeros(min(1, len(w)), np.int64))
+    hashed = lambda t: int(passages.paragraphs(shingles.word_hashes([t.encode()])[0])[2][0])
+    base = words(r, 40, 100000)
+    alike = [" ".join(base), " ".join(base[:-1] + ["other"])]
+    least = next(t for t in (" ".join(words(r, 40, 100000)) for _ in range(10_000)) if hashed(t) < min(map(hashed, alike)))
+    df = spark.createDataFrame([(1, least), (2, alike[0]), (3, alike[1])], "doc_id long, text string")
+    for group in (100_000, 1):  # and in blocks
+        monkeypatch.setattr(passages, "GROUP", group, raising=False)
+        got = {x.doc_id: x.n_removed for x in passages.repeated_passages(df).collect()}
+        assert got == {2: 0, 3: 40}
+
+
+def test_links_within_buckets_are_those_of_all_pairs():
+    r = random.Random(6)
+    sets, bucket = [], []
+    for b in range(3):
+        common = [r.randrange(1 << 60) for _ in range(14)]
+        for _ in range(150):
+            sets.append(sorted({*r.sample(common, r.randrange(3, 14)), common[0], *(r.randrange(1 << 60) for _ in range(r.randrange(3)))}))
+            bucket.append(b)
+    n = len(sets)
+    own = np.random.default_rng(1).permutation(n).astype(np.uint64)
+    a, z = passages.links_within(np.array(bucket, np.uint64), own, np.array([len(s) for s in sets]), np.concatenate([np.array(s, np.uint64) for s in sets]), 75)
+
+    def parts(pairs):
+        top = list(range(n))
+
+        def find(x):
+            while top[x] != x:
+                x = top[x]
+            return x
+
+        for x, y in pairs:
+            top[max(find(x), find(y))] = min(find(x), find(y))
+        return [find(x) for x in range(n)]
+
+    o = own.tolist()
+    want = [(o[i], o[j]) for i in range(n) for j in range(i) if bucket[i] == bucket[j] and 100 * len(set(sets[i]) & set(sets[j])) >= 75 * len(set(sets[i]) | set(sets[j]))]
+    assert len(want) > 50 and parts(zip(a.tolist(), z.tolist(), strict=True)) == parts(want)
+
+
 # 10
 
 def test_toxicity(spark):
