@@ -30,6 +30,8 @@ LONG, STEP = 24, 12
 #: Labelled rows to fit on (a bound; fewer if there are fewer), candidates that come to the driver, landmarks, words kept by a worker.
 SAMPLE_ROWS, CANDIDATES, NEGATIVES, HARD, LANDMARKS, KEPT = 4000, 3000, 4000, 1000, 96, 200_000
 ROUNDS = 3
+#: Triples of an alphabet that are tabled whole.
+DENSE = 1 << 20
 #: Words less like any clean one than this are also learned with a letter inserted.
 APART = 0.4
 
@@ -77,10 +79,21 @@ def _by_length(words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
 
 
 class Triples(NamedTuple):
-    """Weights of triples, a column for each landmark. Most triples are in no landmark: `place` maps a triple's code to its row, 0 for those, whose row is zeros."""
+    """Weights of triples, a column for each landmark. Most triples are in no landmark: `place` maps a triple's code to its row, 0 for those, whose row is zeros.
+
+    Where an alphabet has too many triples for that, `place` is empty and the codes are looked up in the sorted `codes` of the landmarks' triples."""
 
     place: np.ndarray
     rows: np.ndarray
+    codes: np.ndarray
+
+    def at(self, code: np.ndarray) -> np.ndarray:
+        if len(self.place):
+            return self.place[code]
+        if not len(self.codes):
+            return np.zeros(code.shape, np.int64)
+        found = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where(self.codes[found] == code, found + 1, 0)
 
 
 @dataclass
@@ -88,7 +101,7 @@ class Machine:
     """Landmarks' triple weights over an alphabet (code 0: any other letter), their coefficients, the intercept, and the logistic curve from margin to score."""
 
     letters: str = ""
-    triples: Triples = field(default_factory=lambda: Triples(np.zeros(1, np.int32), np.zeros((1, 0), np.float32)))
+    triples: Triples = field(default_factory=lambda: Triples(np.zeros(1, np.int32), np.zeros((1, 0), np.float32), np.zeros(0, np.int64)))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     intercept: float = -1.0
     slope: float = 0.0
@@ -103,43 +116,44 @@ class Machine:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, self.slope * margin + self.shift))))
 
 
-def _codes(letters: str) -> np.ndarray:
-    table = np.zeros(1 << 16, np.int64)
-    for k, c in enumerate(letters):
-        table[ord(c)] = k + 1
-    return table
+def _coded(x: np.ndarray, letters: str) -> np.ndarray:
+    """Places of characters in the sorted alphabet, from 1; 0 for others."""
+    points = np.array([ord(c) for c in letters] or [0], np.uint32)
+    found = np.minimum(np.searchsorted(points, x), len(points) - 1)
+    return np.where(points[found] == x, found + 1, 0) if letters else np.zeros(x.shape, np.int64)
 
 
 def tabled(marks: list[str], letters: str) -> Triples:
     """The triples of the landmarks, with a column of weights for each."""
-    table, a = _codes(letters), len(letters) + 1
+    a = len(letters) + 1
     codes, columns, weights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
     for at, x in _by_length(marks):
-        c = table[np.minimum(x, 0xFFFF)]
+        c = _coded(x, letters)
         i, j, k, w, scale = _triples(x.shape[1])
         row, column = np.nonzero((c[:, i] > 0) & (c[:, j] > 0) & (c[:, k] > 0))
         codes.append(((c[:, i] * a + c[:, j]) * a + c[:, k])[row, column])
         columns.append(np.array(at)[row])
         weights.append((w / scale)[column])
     found, where = np.unique(np.concatenate(codes), return_inverse=True)
-    place, rows = np.zeros(a**3, np.int32), np.zeros((len(found) + 1, len(marks)), np.float32)
-    place[found] = np.arange(1, len(found) + 1)
+    place, rows = np.zeros(a**3 if a**3 <= DENSE else 0, np.int32), np.zeros((len(found) + 1, len(marks)), np.float32)
+    if len(place):
+        place[found] = np.arange(1, len(found) + 1)
     np.add.at(rows, (where + 1, np.concatenate(columns)), np.concatenate(weights))
-    return Triples(place, rows)
+    return Triples(place, rows, found)
 
 
 def kernel(words: list[str], letters: str, triples: Triples) -> np.ndarray:
     """Kernel of each word with each landmark: the mean of the subsequence kernel, which words with inserted letters keep, and its fourth power, which
     tells a form from others with the same root."""
-    table, a = _codes(letters), len(letters) + 1
+    a = len(letters) + 1
     out = np.zeros((len(words), triples.rows.shape[1]), np.float32)
     for at, x in _by_length(words):
-        c = table[np.minimum(x, 0xFFFF)]
+        c = _coded(x, letters)
         i, j, k, w, scale = _triples(x.shape[1])
         step = max(1, 20_000 // len(i))
         for lo in range(0, len(at), step):
             y = c[lo : lo + step]
-            f = triples.place[(y[:, i] * a + y[:, j]) * a + y[:, k]]
+            f = triples.at((y[:, i] * a + y[:, j]) * a + y[:, k])
             row, column = np.nonzero(f)
             if len(row):
                 begins = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
@@ -182,7 +196,7 @@ def inserted(word: str) -> list[str]:
 
 def fit_words(positive: list[str], negative: list[str], landmarks: int = LANDMARKS) -> Machine:
     """The machine that tells positive from negative words: half the landmarks are positive words, half the negative words closest to them."""
-    letters = "".join(sorted({c for w in positive for c in w if ord(c) < 0xFFFF}))[:48]
+    letters = "".join(sorted({c for w in positive for c in w}))
     marks = _spread(positive, landmarks // 2, letters)
     close = np.argsort(-kernel(negative, letters, tabled(marks, letters)).max(1), kind="stable")[: 4 * landmarks]
     marks += _spread([negative[k] for k in close], landmarks // 2, letters)

@@ -495,6 +495,23 @@ def test_toxicity(spark):
     assert [x.score for x in none] == [0.0] * 10
 
 
+def test_insults_in_a_second_script():
+    """More letters than any one script has; the highest code points count as well."""
+    r = random.Random(12)
+    bad = ["abcdefghijklm", "nopqrstuvwxyz", "αβγδεζηθικλμ", "νξοπρστυφχψω", "гадюкашь", "\U00010428\U00010429\U0001042a\U0001042b\U0001042c"]
+    clean = ["".join(r.choice(x) for _ in range(6)) for x in ("aeioubkmt", "αειοτσκ", "оеинтск") for _ in range(60)]
+    machine = toxicity.fit_words(bad, clean)
+    assert (machine.margins(bad) > 0).all() and (machine.margins(clean) < 0).all()
+    assert (machine.margins(["гадюкаашь", "neutral", "ничего"]) > 0).tolist() == [True, False, False]
+
+
+def test_sorted_triples_count_as_tabled_ones(monkeypatch):
+    marks, every = ["abcde", "bcdab", "eeeee"], ["abcde", "abxcde", "xyz", "ab", "edcba", "\U0001f600abc"]
+    one = toxicity.kernel(every, "abcde", toxicity.tabled(marks, "abcde"))
+    monkeypatch.setattr(toxicity, "DENSE", 0)
+    assert (toxicity.kernel(every, "abcde", toxicity.tabled(marks, "abcde")) == one).all() and one.any()
+
+
 # the pipeline
 
 def test_pipeline(spark, tmp_path, texts):
