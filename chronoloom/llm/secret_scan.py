@@ -1,7 +1,7 @@
 """Secret scans with a worklist of decoded layers: URL, Unicode and base64 encodings and compressed bytes are unwrapped until nothing new turns up.
 
 The text itself is the first layer. A line with %XX or \\uXXXX escapes gives a layer of that line decoded, each character knowing where it came from; a
-run of base64 that decodes to text, or to gzip or zlib bytes that hold text, gives a layer whose characters all stand for the run. Each layer is scanned
+run of base64 (over line ends too) that decodes to text, or to gzip or zlib bytes, compressed however often, that hold text, gives a layer whose characters all stand for the run. Each layer is scanned
 and searched for further ones, and a layer that the same place of the document has already given isn't taken up again, so chains of encodings end.
 """
 
@@ -14,6 +14,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,9 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 ESCAPED = re.compile(r"%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}")
 ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A base64 run that goes on over line ends: the lines after its first hold nothing else.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+(?:={0,2}(?=[\x20\t]*(?:\r?\n|\Z))))+")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 #: A compressed layer may hold so many bytes for each of its own, the most deflate can reach; this guards memory without cutting any layer.
 RATIO = 1100
 
@@ -47,16 +51,36 @@ def _plain(raw: bytes) -> str | None:
     return text if len(text) >= 4 and not re.search(r"[\x00-\x08\x0E-\x1F\x7F]", text) else None
 
 
-def _unpacked(raw: bytes) -> str | None:
+def _decompressed(raw: bytes) -> bytes | None:
+    """What gzip or zlib bytes hold, all members of them that are whole; None if the first isn't."""
+    out, at = [], raw
     for bits, magic in ((31, b"\x1f\x8b"), (15, b"\x78")):
-        if raw.startswith(magic):
+        while at.startswith(magic):
             try:
                 d = zlib.decompressobj(bits)
-                whole = d.decompress(raw, RATIO * len(raw) + 64)
-                return _plain(whole) if d.eof else None
+                whole = d.decompress(at, RATIO * len(at) + 64)
             except zlib.error:
-                return None
-    return _plain(raw)
+                break
+            if not d.eof:
+                break
+            out.append(whole)
+            at = d.unused_data
+        if out:
+            return b"".join(out)
+    return None
+
+
+def _unpacked(raw: bytes) -> list[str]:
+    """The texts that bytes hold: themselves, or what is left of them after as many decompressions as there are."""
+    out, seen = [], set()
+    while raw not in seen:
+        seen.add(raw)
+        if (text := _plain(raw)) is not None:
+            out.append(text)
+        if (below := _decompressed(raw)) is None:
+            break
+        raw = below
+    return out
 
 
 def _unescaped(text: str) -> tuple[str, list[int], list[int]] | None:
@@ -93,14 +117,48 @@ def _unescaped(text: str) -> tuple[str, list[int], list[int]] | None:
     return ("".join(out), starts, ends) if changed else None
 
 
-def _base64(run: str) -> str | None:
+def _base64(run: str) -> list[str]:
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
-        return None
+        return []
     try:
         return _unpacked(base64.b64decode(body + "=" * (-len(body) % 4)))
     except (binascii.Error, ValueError):
-        return None
+        return []
+
+
+def _wrapped(text: str) -> Iterator[tuple[str, list[int], list[int]]]:
+    """Layers of base64 that goes on over line ends. Text stands for the lines that hold its bytes, decompressed text for all of them.
+
+    A run ends with the first line shorter than the lines between; if that doesn't decode, without this line; if that doesn't either, with all lines. Its
+    first line, which other text may precede, is left out if nothing decodes with it."""
+    for m in WRAPPED.finditer(text):
+        lines = [(m.start() + x.start(), m.start() + x.end()) for x in LINE.finditer(m[0])]
+        for first in (0, 1):
+            rest = lines[first:]
+            if len(rest) < 2:
+                break
+            wide = rest[1][1] - rest[1][0]
+            full = 1 + next((k for k, (a, z) in enumerate(rest[1:]) if z - a != wide), len(rest) - 1)
+            short = full + (full < len(rest) and rest[full][1] - rest[full][0] < wide)
+            for n in dict.fromkeys((short, full, len(rest))):
+                part = rest[:n]
+                body = "".join(text[a:z] for a, z in part)
+                if n > 1 and len(body) >= 16 and (found := _base64(body)):
+                    break
+            else:
+                continue
+            for decoded in found:
+                raw = decoded.encode()
+                if len(raw) == len(body.rstrip("=")) * 3 // 4:  # nothing was compressed
+                    ends = np.cumsum([z - a for a, z in part])
+                    begins = np.cumsum([0, *(len(c.encode()) for c in decoded)])
+                    low = np.searchsorted(ends, begins[:-1] * 8 // 6, "right").tolist()
+                    high = np.searchsorted(ends, (begins[1:] * 8 - 1) // 6, "right").tolist()
+                    yield decoded, [part[k][0] for k in low], [part[k][1] for k in high]
+                else:
+                    yield decoded, [part[0][0]] * len(decoded), [part[-1][1]] * len(decoded)
+            break
 
 
 def _layers(text: str) -> Iterator[tuple[str, list[int], list[int]]]:
@@ -113,8 +171,9 @@ def _layers(text: str) -> Iterator[tuple[str, list[int], list[int]]]:
                 yield decoded, [at + s for s in starts], [at + e for e in ends]
             at += len(line) + 1
     for m in BASE64.finditer(text):
-        if (decoded := _base64(m[0])) is not None:
+        for decoded in _base64(m[0]):
             yield decoded, [m.start()] * len(decoded), [m.end()] * len(decoded)
+    yield from _wrapped(text)
 
 
 def scan_layers(text: str) -> set[Span]:

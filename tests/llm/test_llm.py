@@ -379,6 +379,30 @@ def test_secrets(spark):
     assert len(span(11).split(",")) == 2 and rows[7].spans == "" == rows[8].spans
 
 
+def test_nested_compression_and_wrapped_base64():
+    import base64
+    import gzip
+
+    r = random.Random(3)
+    secret = 'password = "hunter2secret"'
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    place = lambda t: {s for s in secret_scan.scan_layers(t) if s not in secret_scan.scan(t)}
+    for raw in (gzip.compress(gzip.compress(secret.encode())), zlib.compress(gzip.compress(gzip.compress(secret.encode()))), gzip.compress(b"nothing") + gzip.compress(secret.encode()), b"x " + secret.encode()):
+        text = "see " + b64(raw)
+        assert place(text) == {(4, 0, len(text))}
+    body = " ".join(words(r, 60, 100000)) + " " + secret
+    flat = b64(gzip.compress(body.encode()))
+    for end in ("\n", "\r\n", "\n  "):
+        lines = end.join(flat[k : k + 76] for k in range(0, len(flat), 76))
+        assert len(flat) > 152 and place(f"data: {lines}\nand more text") == {(6, 0, 6 + len(lines))}
+        assert place(f"a line\n{lines}") == {(7, 0, 7 + len(lines))}
+    # the secret over two lines
+    flat = b64(("é" * 20 + " z api_key=abcdefgh1234567 " + "y " * 40).encode())
+    lines = [flat[k : k + 76] for k in range(0, len(flat), 76)]
+    assert (0, 0, 76 * 2 + 1) in place("\n".join(lines))
+    assert secret_scan.scan_layers("\n".join(["word"] * 2000)) == set()
+
+
 def test_chains_of_encodings_end():
     text = "%2525252525" * 50 + "%"
     assert secret_scan.scan_layers(text) == set()
