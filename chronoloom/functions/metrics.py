@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Least |y| for a percentage error to count, by series type; else 1.
-PERCENT_FLOOR = {"load": 100.0, "price": 5.0, "solar": 10.0, "wind_onshore": 10.0, "wind_offshore": 10.0}
+#: Least |y| for a percentage error to count, by series type; else 1. Fixed values.
+PERCENT_FLOOR = {"load": 100.0, "price": 5.0, "renewable": 10.0, "solar": 10.0, "wind_onshore": 10.0, "wind_offshore": 10.0, "hydro_total": 10.0, "biomass": 5.0}
+#: Hours of day with the highest demand. Fixed values.
 PEAK_HOURS = (8, 9, 10, 11, 17, 18, 19, 20)
 
 
@@ -17,12 +18,18 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def mean(x: Column | str, scale: int = 10) -> Column:
+    """The mean of numbers below 1e18, summed as decimals: it doesn't depend on the order in which rows are added up."""
+    x = _c(x)
+    return F.sum(x.cast(f"decimal(28,{scale})")).cast("double") / F.when(F.count(x) > 0, F.count(x))
+
+
 def error(y: Column | str, p: Column | str) -> Column:
     return _c(p) - _c(y)
 
 
 def mae(y="y", p="p") -> Column:
-    return F.avg(F.abs(error(y, p)))
+    return mean(F.abs(error(y, p)))
 
 
 def rmse(y="y", p="p") -> Column:
@@ -30,7 +37,7 @@ def rmse(y="y", p="p") -> Column:
 
 
 def bias(y="y", p="p") -> Column:
-    return F.avg(error(y, p))
+    return mean(error(y, p))
 
 
 def mape(y="y", p="p", floor: float | Column = 1.0) -> Column:
@@ -72,14 +79,14 @@ def skill_or_zero(model: Column, base: Column) -> Column:
 
 def pinball(q: float | Column, y="y", p="p") -> Column:
     d = _c(y) - _c(p)
-    return F.avg(F.when(d >= 0, d * q).otherwise(d * (q - 1)))
+    return mean(F.when(d >= 0, d * q).otherwise(d * (q - 1)))
 
 
 def peak(hour: Column | str, y="y", p="p") -> dict[str, Column]:
     """Errors in peak hours, off them, and their ratio (null unless both are over zero)."""
     on = _c(hour).isin(*PEAK_HOURS)
     e = F.abs(error(y, p))
-    inside, outside = F.avg(F.when(on, e)), F.avg(F.when(~on, e))
+    inside, outside = mean(F.when(on, e)), mean(F.when(~on, e))
     return {
         "peak_mae": inside,
         "offpeak_mae": outside,
@@ -94,7 +101,7 @@ def distribution(e: Column | str) -> dict[str, Column]:
     q = F.percentile(e, F.array(*map(F.lit, (0.05, 0.25, 0.5, 0.75, 0.95))))
     flat = F.stddev_pop(e) == 0
     return {
-        "mean": F.avg(e), "std": F.stddev_pop(e),
+        "mean": mean(e), "std": F.stddev_pop(e),
         **{n: q[k] for k, n in enumerate(("p5", "p25", "median", "p75", "p95"))},
         "skew": F.when(flat, 0.0).otherwise(F.skewness(e)), "kurtosis": F.when(flat, 0.0).otherwise(F.kurtosis(e)),
         "max": F.max(e), "min": F.min(e),

@@ -34,7 +34,7 @@ def baseline_scores(df: DataFrame, by: list[str], baselines: list[str], y: str =
 
 
 def hourly(df: DataFrame, by: list[str], ts: str = "ts", y: str = "y", p: str = "p") -> DataFrame:
-    return df.groupBy(*by, F.hour(ts).alias("hour")).agg(*_agg(metrics.bundle(y, p)), F.avg(y).alias("mean_actual"), F.avg(p).alias("mean_pred"))
+    return df.groupBy(*by, F.hour(ts).alias("hour")).agg(*_agg(metrics.bundle(y, p)), metrics.mean(y).alias("mean_actual"), metrics.mean(p).alias("mean_pred"))
 
 
 def seasonal(df: DataFrame, by: list[str], base: str, ts: str = "ts", y: str = "y", p: str = "p") -> DataFrame:

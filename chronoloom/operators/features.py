@@ -10,13 +10,31 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from . import shape, windows
 
-#: Public holidays as (month, day), and as days from Easter Sunday. Fixed values.
+#: Public holidays as (month, day) and the countries that keep them. The countries' laws.
+COUNTRIES = "AT BE BG CH CZ DE EE ES FI FR GR HR HU IT LT LV NL NO PL PT RO SE SI SK"
 FIXED = {
-    "DE": ((1, 1), (5, 1), (10, 3), (12, 25), (12, 26)),
-    "FR": ((1, 1), (5, 1), (5, 8), (7, 14), (8, 15), (11, 1), (11, 11), (12, 25)),
-    "BE": ((1, 1), (5, 1), (7, 21), (8, 15), (11, 1), (11, 11), (12, 25)),
-}
-EASTER = {"DE": (-2, 1, 39, 50), "FR": (1, 39, 50), "BE": (1, 39, 50)}
+    (1, 1): COUNTRIES, (1, 2): "RO SI", (1, 6): "AT ES FI GR HR IT PL SE SK", (1, 24): "RO",
+    (2, 8): "SI", (2, 16): "LT", (2, 24): "EE", (3, 3): "BG", (3, 11): "LT", (3, 15): "HU", (3, 25): "GR",
+    (4, 25): "IT PT", (4, 27): "NL", (5, 1): "AT BE BG CZ DE EE ES FI FR GR HR HU IT LT LV NO PL PT RO SE SI SK", (5, 2): "SI", (5, 3): "PL",
+    (5, 4): "LV", (5, 6): "BG", (5, 8): "CZ FR SK", (5, 17): "NO", (5, 24): "BG", (5, 30): "HR",
+    (6, 1): "RO", (6, 2): "IT", (6, 6): "SE", (6, 10): "PT", (6, 22): "HR", (6, 23): "EE LV", (6, 24): "EE LT LV", (6, 25): "SI",
+    (7, 5): "CZ SK", (7, 6): "CZ LT", (7, 14): "FR", (7, 21): "BE",
+    (8, 1): "CH", (8, 5): "HR", (8, 15): "AT BE ES FR GR HR IT LT PL PT RO SI", (8, 20): "EE HU", (8, 29): "SK",
+    (9, 1): "SK", (9, 6): "BG", (9, 15): "SK", (9, 22): "BG", (9, 28): "CZ",
+    (10, 3): "DE", (10, 5): "PT", (10, 12): "ES", (10, 23): "HU", (10, 26): "AT", (10, 28): "CZ GR", (10, 31): "SI",
+    (11, 1): "AT BE ES FR HR HU IT LT PL PT SI SK", (11, 2): "LT", (11, 11): "BE FR PL", (11, 17): "CZ SK", (11, 18): "HR LV", (11, 30): "RO",
+    (12, 1): "PT RO", (12, 6): "ES FI", (12, 8): "AT ES IT PT", (12, 24): "BG CZ EE LT LV SK", (12, 25): COUNTRIES,
+    (12, 26): "AT BG CZ DE EE FI GR HR HU IT LT LV NL NO PL RO SE SI SK", (12, 31): "LV",
+}
+#: Days from Easter Sunday, which ORTHODOX countries take from the Julian calendar. Fixed values.
+EASTER = {
+    -48: "GR", -3: "NO", -2: "BG CZ DE EE ES FI GR HU LV NO PT RO SE SK", -1: "BG", 0: "BG EE FI GR HR HU IT LT LV NL NO PL PT RO SE SI",
+    1: "AT BE BG CZ DE FI FR GR HR HU IT LT LV NL NO PL RO SE SI SK", 39: "AT BE CH DE FI FR NL NO SE", 49: "EE FI HU NL NO PL RO SE SI",
+    50: "AT BE DE FR GR HU NL NO RO", 60: "AT HR PL PT",
+}
+ORTHODOX = "BG GR RO"
+#: The first such weekday (Monday is 0) on or after (month, day).
+WEEKDAY = {(6, 20, 5): "FI SE", (10, 31, 5): "FI SE", (5, 1, 6): "LT LV", (6, 1, 6): "LT"}
 
 
 def easter(year: int) -> date:
@@ -32,10 +50,27 @@ def easter(year: int) -> date:
     return date(year, month, day + 1)
 
 
+def orthodox_easter(year: int) -> date:
+    """Easter Sunday of the Julian calendar, as a Gregorian date (1900 to 2099)."""
+    a, b, c = year % 4, year % 7, year % 19
+    d = (19 * c + 15) % 30
+    month, day = divmod(d + (2 * a + 4 * b - d + 34) % 7 + 114, 31)
+    return date(year, month, day + 1) + timedelta(days=13)
+
+
 def holidays(country: str, years: range) -> list[date]:
-    """A country's holidays; one without a calendar has Germany's."""
-    country = country if country in FIXED else "DE"
-    return sorted({date(y, m, d) for y in years for m, d in FIXED[country]} | {easter(y) + timedelta(days=k) for y in years for k in EASTER[country]})
+    """A country's nationwide holidays; one without a calendar here has Germany's."""
+    country = country.upper() if country.upper() in COUNTRIES.split() else "DE"
+    sunday = orthodox_easter if country in ORTHODOX.split() else easter
+    out = set()
+    for y in years:
+        out |= {date(y, m, d) for (m, d), who in FIXED.items() if country in who.split()}
+        out |= {sunday(y) + timedelta(days=k) for k, who in EASTER.items() if country in who.split()}
+        for (m, d, weekday), who in WEEKDAY.items():
+            if country in who.split():
+                first = date(y, m, d)
+                out.add(first + timedelta(days=(weekday - first.weekday()) % 7))
+    return sorted(out)
 
 
 def holiday_table(spark: SparkSession, countries: list[str], years: range) -> DataFrame:

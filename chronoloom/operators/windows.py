@@ -16,17 +16,33 @@ def lags(df: DataFrame, keys: list[str], days: list[int], ts: str = "ts", y: str
     return df.withColumns({f"{y}_lag_{d}d": F.lag(y, per_day * d).over(_w(keys, ts)) for d in days})
 
 
-STATS = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+def _sums(y: str, over, scale: int):
+    d = F.col(y).cast(f"decimal(18,{scale})")
+    return F.count(y).over(over), F.sum(d).over(over), F.sum((d * d).cast(f"decimal(38,{2 * scale})")).over(over)
 
 
-def trailing(df: DataFrame, keys: list[str], widths: list[int], ts: str = "ts", y: str = "y", stats: tuple[str, ...] = tuple(STATS)) -> DataFrame:
-    """{y}_roll_{w}h_{stat} over the w rows before a row, itself left out; one sort for all."""
-    return df.withColumns({f"{y}_roll_{w}h_{s}": STATS[s](y).over(_w(keys, ts).rowsBetween(-w, -1)) for w in widths for s in stats})
+def _stat(name: str, y: str, over, scale: int) -> Column:
+    """A statistic of a window. Means and deviations come from decimal sums, and so don't depend on what the window held before (as running floats do)."""
+    if name in ("min", "max"):
+        return getattr(F, name)(y).over(over)
+    n, total, squares = _sums(y, over, scale)
+    if name == "mean":
+        return F.when(n > 0, total.cast("double") / n)
+    spread = n.cast("double") * squares.cast("double") - total.cast("double") * total.cast("double")
+    return F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (n.cast("double") * (n - 1))))
 
 
-def trailing_inclusive(df: DataFrame, keys: list[str], widths: list[int], ts: str = "ts", y: str = "y", stats: tuple[str, ...] = ("mean", "std")) -> DataFrame:
+STATS = ("mean", "std", "min", "max")
+
+
+def trailing(df: DataFrame, keys: list[str], widths: list[int], ts: str = "ts", y: str = "y", stats: tuple[str, ...] = STATS, scale: int = 6) -> DataFrame:
+    """{y}_roll_{w}h_{stat} over the w rows before a row, itself left out; one sort for all. Sums are of numbers with `scale` decimals."""
+    return df.withColumns({f"{y}_roll_{w}h_{s}": _stat(s, y, _w(keys, ts).rowsBetween(-w, -1), scale) for w in widths for s in stats})
+
+
+def trailing_inclusive(df: DataFrame, keys: list[str], widths: list[int], ts: str = "ts", y: str = "y", stats: tuple[str, ...] = ("mean", "std"), scale: int = 6) -> DataFrame:
     """Over the w rows up to and with a row; a missing deviation is 0."""
-    value = lambda w, s: STATS[s](y).over(_w(keys, ts).rowsBetween(1 - w, 0))
+    value = lambda w, s: _stat(s, y, _w(keys, ts).rowsBetween(1 - w, 0), scale)
     return df.withColumns({f"{y}_roll_{w}h_{s}": F.coalesce(value(w, s), F.lit(0.0)) if s == "std" else value(w, s) for w in widths for s in stats})
 
 

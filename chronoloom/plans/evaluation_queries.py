@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics, scalars
 from ..operators import control, crossval, evaluation, joins, windows
 from ..sources import series
-from .registry import D, E, H, days, events, hours, local, query, r7, read, sql_text, text
+from .registry import D, E, H, days, events, hours, local, query, r7, read, sql_mean, sql_text, text
 from .series_queries import S, of, r9, regular
 
 W = "(PARTITION BY k ORDER BY ts)"
@@ -26,13 +26,18 @@ def with_baselines(spark, sf):
     return joins.same_hour_mean(h, ["k"], "weekly", hours=24)
 
 
-def rounded(df, digits: int = 7, *, skip=()):
+#: Means of decimals: equal in both engines to the last bit, so they aren't rounded.
+EXACT = {"mae", "bias", "mean", "mean_actual", "mean_pred", "peak_mae", "offpeak_mae", "pinball", "persistence", "weekly"}
+MAE, BIAS = sql_mean("abs(p - y)"), sql_mean("p - y")
+
+
+def rounded(df, digits: int = 7, *, skip=EXACT):
     return df.withColumns({n: r7(n) if digits == 7 else F.round(n, digits) for n, t in df.dtypes if t == "double" and n not in skip})
 
 
 @query(f"""WITH {B}, u AS (SELECT k, y, 'persistence' AS baseline, persistence AS p FROM b WHERE persistence IS NOT NULL UNION ALL SELECT k, y, 'weekly', weekly FROM b WHERE weekly IS NOT NULL),
-s AS (SELECT k, baseline, avg(abs(p - y)) AS mae, sqrt(avg((p - y) * (p - y))) AS rmse, 100 * avg(abs(p - y) / ((abs(y) + abs(p)) / 2 + 1e-8)) AS smape, count(*) AS n FROM u GROUP BY 1, 2)
-SELECT s.k, s.baseline, round(mae + 3.3e-9, 7) AS mae, round(rmse + 3.3e-9, 7) AS rmse, round(smape + 3.3e-9, 7) AS smape, n, round(1 - mae / nullif(f.base, 0) + 3.3e-9, 7) AS skill FROM s LEFT JOIN (SELECT k, mae AS base FROM s WHERE baseline = 'persistence') f USING (k)""")
+s AS (SELECT k, baseline, {MAE} AS mae, sqrt(avg((p - y) * (p - y))) AS rmse, 100 * avg(abs(p - y) / ((abs(y) + abs(p)) / 2 + 1e-8)) AS smape, count(*) AS n FROM u GROUP BY 1, 2)
+SELECT s.k, s.baseline, mae, round(rmse, 7) AS rmse, round(smape, 7) AS smape, n, round(1 - mae / nullif(f.base, 0), 7) AS skill FROM s LEFT JOIN (SELECT k, mae AS base FROM s WHERE baseline = 'persistence') f USING (k)""")
 def beats_persistence(spark, sf):
     """Which series beats persistence, and by how much: scores of two baselines and the skill of each against persistence."""
     s = evaluation.baseline_scores(with_baselines(spark, sf), ["k"], ["persistence", "weekly"])
@@ -41,7 +46,7 @@ def beats_persistence(spark, sf):
     return rounded(out.select("k", "baseline", "mae", "rmse", "smape", "n", "skill"))
 
 
-CORE = "round(avg(abs(p - y)) + 3.3e-9, 7) AS mae, round(sqrt(avg((p - y) * (p - y))) + 3.3e-9, 7) AS rmse, round(100 * avg(CASE WHEN abs(y) > 1 THEN abs((p - y) / y) END) + 3.3e-9, 7) AS mape, round(100 * avg(abs(p - y) / ((abs(y) + abs(p)) / 2 + 1e-8)) + 3.3e-9, 7) AS smape, round(avg(p - y) + 3.3e-9, 7) AS bias, count(*) AS n"
+CORE = f"{MAE} AS mae, round(sqrt(avg((p - y) * (p - y))), 7) AS rmse, round(100 * avg(CASE WHEN abs(y) > 1 THEN abs((p - y) / y) END), 7) AS mape, round(100 * avg(abs(p - y) / ((abs(y) + abs(p)) / 2 + 1e-8)), 7) AS smape, {BIAS} AS bias, count(*) AS n"
 
 
 @query(f"WITH {P} SELECT k, {CORE} FROM a GROUP BY k")
@@ -49,13 +54,13 @@ def metric_core(spark, sf):
     return rounded(evaluation.scores(scored(spark, sf), ["k"]))
 
 
-@query(f"WITH {P} SELECT k, round(100 * avg(CASE WHEN abs(y) > 10 THEN abs((p - y) / y) END) + 3.3e-9, 7) AS mape_10, round(100 * avg(CASE WHEN abs(y) > 1e-8 THEN abs((p - y) / y) END), 6) AS mape_eps, round(100 * avg(abs((p - y) / CASE WHEN y = 0 THEN 1 ELSE y END)), 6) AS mape_unit, round(100 * avg(abs((p - y) / nullif(y, 0))), 6) AS mape_plain FROM a GROUP BY k")
+@query(f"WITH {P} SELECT k, round(100 * avg(CASE WHEN abs(y) > 10 THEN abs((p - y) / y) END), 7) AS mape_10, round(100 * avg(CASE WHEN abs(y) > 1e-8 THEN abs((p - y) / y) END), 6) AS mape_eps, round(100 * avg(abs((p - y) / CASE WHEN y = 0 THEN 1 ELSE y END)), 6) AS mape_unit, round(100 * avg(abs((p - y) / nullif(y, 0))), 6) AS mape_plain FROM a GROUP BY k")
 def metric_mape_thr(spark, sf):
     out = scored(spark, sf).groupBy("k").agg(metrics.mape(floor=10.0).alias("mape_10"), metrics.mape(floor=1e-8).alias("mape_eps"), metrics.mape_unit().alias("mape_unit"), metrics.mape_plain().alias("mape_plain"))
     return rounded(out, 6, skip=("mape_10",)).withColumn("mape_10", r7("mape_10"))
 
 
-@query(f"WITH {P} SELECT k, round(100 * avg(2 * abs(p - y) / (abs(y) + abs(p) + 1e-8)) + 3.3e-9, 7) AS smape FROM a GROUP BY k")
+@query(f"WITH {P} SELECT k, round(100 * avg(2 * abs(p - y) / (abs(y) + abs(p) + 1e-8)), 7) AS smape FROM a GROUP BY k")
 def metric_smape_eps(spark, sf):
     return rounded(scored(spark, sf).groupBy("k").agg(metrics.smape_whole().alias("smape")))
 
@@ -73,7 +78,7 @@ def metric_direction(spark, sf):
 PEAK = "hour(ts) IN (8, 9, 10, 11, 17, 18, 19, 20)"
 
 
-@query(f"WITH {P}, m AS (SELECT k, avg(CASE WHEN {PEAK} THEN abs(p - y) END) AS i, avg(CASE WHEN NOT {PEAK} THEN abs(p - y) END) AS o, 100 * avg(CASE WHEN {PEAK} AND abs(y) > 1 THEN abs((p - y) / y) END) AS pm FROM a GROUP BY k) SELECT k, round(i + 3.3e-9, 7) AS peak_mae, round(o + 3.3e-9, 7) AS offpeak_mae, round(pm + 3.3e-9, 7) AS peak_mape, CASE WHEN i > 0 AND o > 0 THEN round(i / o + 3.3e-9, 7) END AS peak_ratio FROM m")
+@query(f"WITH {P}, m AS (SELECT k, {sql_mean(f"CASE WHEN {PEAK} THEN abs(p - y) END")} AS i, {sql_mean(f"CASE WHEN NOT {PEAK} THEN abs(p - y) END")} AS o, 100 * avg(CASE WHEN {PEAK} AND abs(y) > 1 THEN abs((p - y) / y) END) AS pm FROM a GROUP BY k) SELECT k, i AS peak_mae, o AS offpeak_mae, round(pm, 7) AS peak_mape, CASE WHEN i > 0 AND o > 0 THEN round(i / o, 7) END AS peak_ratio FROM m")
 def metric_peak(spark, sf):
     out = scored(spark, sf).withColumn("hour", F.hour("ts"))
     return rounded(out.groupBy("k").agg(*[c.alias(n) for n, c in metrics.peak("hour").items()]))
@@ -96,10 +101,10 @@ def quantiles(spark, sf):
     return e, e.groupBy("k").agg(F.percentile("y", F.array(*map(F.lit, QS))).alias("v")).select("k", pick.alias("z")).select("k", F.col("z.q").alias("q"), F.col("z.pred").alias("pred"))
 
 
-@query(f"WITH {QUANTILES} SELECT e.k, q, round(avg(CASE WHEN y >= pred THEN q * (y - pred) ELSE (q - 1) * (y - pred) END) + 3.3e-9, 7) AS pinball FROM e JOIN q USING (k) GROUP BY 1, 2")
+@query(f"WITH {QUANTILES} SELECT e.k, q, {sql_mean("CASE WHEN y >= pred THEN q * (y - pred) ELSE (q - 1) * (y - pred) END")} AS pinball FROM e JOIN q USING (k) GROUP BY 1, 2")
 def metric_pinball(spark, sf):
     e, q = quantiles(spark, sf)
-    return rounded(e.join(F.broadcast(q), "k").groupBy("k", "q").agg(metrics.pinball(F.col("q"), "y", "pred").alias("pinball")), 7, skip=("q",))  # q: a few rows a series
+    return rounded(e.join(F.broadcast(q), "k").groupBy("k", "q").agg(metrics.pinball(F.col("q"), "y", "pred").alias("pinball")), 7, skip=("q", "pinball"))  # q: a few rows a series
 
 
 @query(f"""WITH {QUANTILES}, s AS (SELECT e.k, event_id, q, (q - CAST(y <= pred AS DOUBLE)) ** 2 AS h FROM e JOIN q USING (k)),
@@ -116,7 +121,7 @@ def losses(spark, sf):
 
 @query(f"""WITH {B}, d AS (SELECT k, ts, abs(weekly - y) - abs(persistence - y) AS d FROM b WHERE weekly IS NOT NULL AND persistence IS NOT NULL), m AS (SELECT *, avg(d) OVER (PARTITION BY k) AS m FROM d),
 g AS (SELECT *, (d - m) * (d - m) AS g0, (d - m) * (lag(d) OVER {W} - m) AS g1 FROM m), v AS (SELECT k, count(*) AS n, avg(d) AS md, (avg(g0) + 2 * avg(g1)) / count(*) AS v FROM g GROUP BY k)
-SELECT k, n, round(md + 3.3e-9, 7) AS mean_diff, round(CASE WHEN v > 0 THEN md / sqrt(v) ELSE 0.0 END, 6) AS statistic, v > 0 AS conclusive FROM v""")
+SELECT k, n, round(md, 7) AS mean_diff, round(CASE WHEN v > 0 THEN md / sqrt(v) ELSE 0.0 END, 6) AS statistic, v > 0 AS conclusive FROM v""")
 def dm_statistic(spark, sf):
     out = evaluation.dm_statistic(losses(spark, sf), ["k"], 2)
     return out.withColumns({"mean_diff": r7("mean_diff"), "statistic": F.round("statistic", 6)})
@@ -128,7 +133,7 @@ def dm_test(spark, sf):
     return evaluation.dm_test(losses(spark, sf), ["k"], 2)
 
 
-@query(f"WITH {P} SELECT k, CAST(hour(ts) AS BIGINT) AS hour, {CORE}, round(avg(y) + 3.3e-9, 7) AS mean_actual, round(avg(p) + 3.3e-9, 7) AS mean_pred FROM a GROUP BY 1, 2")
+@query(f"WITH {P} SELECT k, CAST(hour(ts) AS BIGINT) AS hour, {CORE}, {sql_mean("y")} AS mean_actual, {sql_mean("p")} AS mean_pred FROM a GROUP BY 1, 2")
 def hourly_breakdown(spark, sf):
     return rounded(evaluation.hourly(scored(spark, sf), ["k"]).withColumn("hour", F.col("hour").cast("long")))
 
@@ -150,8 +155,8 @@ def seasonal_breakdown(spark, sf):
 
 
 @query(f"""WITH {P}, x AS (SELECT k, p - y AS e FROM a), m AS (SELECT k, avg(e) AS m, stddev_pop(e) AS s FROM x GROUP BY k), z AS (SELECT x.k, e, (e - m) AS c, s FROM x JOIN m USING (k))
-SELECT k, round(avg(e) + 3.3e-9, 7) AS mean, round(any_value(s) + 3.3e-9, 7) AS std, round(quantile_cont(e, 0.05) + 3.3e-9, 7) AS p5, round(quantile_cont(e, 0.25) + 3.3e-9, 7) AS p25, round(quantile_cont(e, 0.5) + 3.3e-9, 7) AS median, round(quantile_cont(e, 0.75) + 3.3e-9, 7) AS p75, round(quantile_cont(e, 0.95) + 3.3e-9, 7) AS p95,
-round(CASE WHEN any_value(s) = 0 THEN 0.0 ELSE avg(c * c * c) / power(any_value(s), 3) END + 3.3e-9, 7) AS skew, round(CASE WHEN any_value(s) = 0 THEN 0.0 ELSE avg(c * c * c * c) / power(any_value(s), 4) - 3 END + 3.3e-9, 7) AS kurtosis, round(max(e) + 3.3e-9, 7) AS max, round(min(e) + 3.3e-9, 7) AS min FROM z GROUP BY k""")
+SELECT k, {sql_mean("e")} AS mean, round(any_value(s), 7) AS std, round(quantile_cont(e, 0.05), 7) AS p5, round(quantile_cont(e, 0.25), 7) AS p25, round(quantile_cont(e, 0.5), 7) AS median, round(quantile_cont(e, 0.75), 7) AS p75, round(quantile_cont(e, 0.95), 7) AS p95,
+round(CASE WHEN any_value(s) = 0 THEN 0.0 ELSE avg(c * c * c) / power(any_value(s), 3) END, 7) AS skew, round(CASE WHEN any_value(s) = 0 THEN 0.0 ELSE avg(c * c * c * c) / power(any_value(s), 4) - 3 END, 7) AS kurtosis, round(max(e), 7) AS max, round(min(e), 7) AS min FROM z GROUP BY k""")
 def error_distribution(spark, sf):
     return rounded(evaluation.error_distribution(scored(spark, sf), ["k"]))
 
@@ -166,7 +171,7 @@ def baseline_scoreboard(spark, sf):
     return rounded(evaluation.baseline_scores(with_baselines(spark, sf), ["k"], ["persistence", "weekly"]))
 
 
-@query(f"WITH {B} SELECT k, round(avg(abs(persistence - y)) + 3.3e-9, 7) AS persistence, round(avg(abs(weekly - y)) + 3.3e-9, 7) AS weekly FROM b GROUP BY k")
+@query(f"WITH {B} SELECT k, {sql_mean("abs(persistence - y)")} AS persistence, {sql_mean("abs(weekly - y)")} AS weekly FROM b GROUP BY k")
 def type_pivot(spark, sf):
     s = evaluation.baseline_scores(with_baselines(spark, sf), ["k"], ["persistence", "weekly"])
     return rounded(s.groupBy("k").pivot("baseline", ["persistence", "weekly"]).agg(F.avg("mae")))
@@ -182,7 +187,7 @@ def ols_mae(spark, sf):
     f = read(spark, sf, "lineitem").select(F.col("l_returnflag").alias("k"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
     c = f.groupBy("k").agg(F.regr_slope("y", "x").alias("s"), F.regr_intercept("y", "x").alias("i"))
     e, base = F.avg(F.abs(F.col("y") - (F.col("i") + F.col("s") * F.col("x")))), F.avg(F.abs(F.col("y") - 38))
-    return rounded(f.join(F.broadcast(c), "k").groupBy("k").agg(e.alias("mae"), (F.try_divide(base - e, base) * 100).alias("improvement")), 6)  # c: a row a series
+    return rounded(f.join(F.broadcast(c), "k").groupBy("k").agg(e.alias("mae"), (F.try_divide(base - e, base) * 100).alias("improvement")), 6, skip=())  # c: a row a series
 
 
 @query(f"WITH {B}, m AS (SELECT k, avg(abs(persistence - y)) AS p, avg(abs(weekly - y)) AS w FROM b GROUP BY k) SELECT count(*) AS n, round(avg(CAST((p - w) / nullif(p, 0) * 100 > 0 AS DOUBLE)), 9) AS share_improved FROM m")
@@ -199,7 +204,7 @@ def recent_mean_fallback(spark, sf):
     return every.join(last, ["k", "hour"], "left").select("k", F.col("hour").cast("long").alias("hour"), r9(F.coalesce("y", "m")).alias("p"))
 
 
-@query(f"WITH {H}, m AS (SELECT hour(ts) AS hour, avg(abs(p - y) / y) * 100 AS mape FROM (SELECT h.ts, h.y, b.y AS p FROM h JOIN h b ON h.k = b.k AND b.ts = h.ts - INTERVAL 24 HOUR WHERE h.y > 1) GROUP BY 1) SELECT * FROM (SELECT 'best' AS side, CAST(hour AS BIGINT) AS hour, round(mape + 3.3e-9, 7) AS mape FROM m ORDER BY mape, hour LIMIT 3) UNION ALL SELECT * FROM (SELECT 'worst', CAST(hour AS BIGINT), round(mape + 3.3e-9, 7) FROM m ORDER BY mape DESC, hour LIMIT 3)")
+@query(f"WITH {H}, m AS (SELECT hour(ts) AS hour, avg(abs(p - y) / y) * 100 AS mape FROM (SELECT h.ts, h.y, b.y AS p FROM h JOIN h b ON h.k = b.k AND b.ts = h.ts - INTERVAL 24 HOUR WHERE h.y > 1) GROUP BY 1) SELECT * FROM (SELECT 'best' AS side, CAST(hour AS BIGINT) AS hour, round(mape, 7) AS mape FROM m ORDER BY mape, hour LIMIT 3) UNION ALL SELECT * FROM (SELECT 'worst', CAST(hour AS BIGINT), round(mape, 7) FROM m ORDER BY mape DESC, hour LIMIT 3)")
 def topk_hours(spark, sf):
     m = evaluation.hourly(scored(spark, sf).where("y > 1"), []).select(F.col("hour").cast("long").alias("hour"), "mape")
     best = m.orderBy(F.asc_nulls_last("mape"), "hour").limit(3).withColumn("side", F.lit("best"))
@@ -219,7 +224,7 @@ def located(spark, sf):
     return li.groupBy(F.col("l_returnflag").alias("c"), F.col("l_linestatus").alias("t"), place).agg(mean("l_discount").alias("skill"), (mean("l_extendedprice") / 1000).alias("mae"))
 
 
-@query(f"WITH {BOTH} SELECT c, t, round(candidate_skill, 9) AS candidate_skill, round(production_skill, 9) AS production_skill, round(coalesce(nullif(candidate_skill, 0), 0) - coalesce(nullif(production_skill, 0), 0), 9) AS skill_diff, round(coalesce(nullif(candidate_mae, 0), 0) - coalesce(nullif(production_mae, 0), 0) + 3.3e-9, 7) AS mae_diff FROM b")
+@query(f"WITH {BOTH} SELECT c, t, round(candidate_skill, 9) AS candidate_skill, round(production_skill, 9) AS production_skill, round(coalesce(nullif(candidate_skill, 0), 0) - coalesce(nullif(production_skill, 0), 0), 9) AS skill_diff, round(coalesce(nullif(candidate_mae, 0), 0) - coalesce(nullif(production_mae, 0), 0), 7) AS mae_diff FROM b")
 def compare_locations(spark, sf):
     out = control.compare(located(spark, sf), ["c", "t"], ["skill", "mae"])
     return out.select("c", "t", r9("candidate_skill").alias("candidate_skill"), r9("production_skill").alias("production_skill"), r9("skill_diff").alias("skill_diff"), r7("mae_diff").alias("mae_diff"))
@@ -230,7 +235,7 @@ def auto_promote(spark, sf):
     return control.promote(control.compare(located(spark, sf), ["c", "t"], ["skill", "mae"]), ["c", "t"])
 
 
-@query(f"WITH {BOTH}, o AS (SELECT c, t, (candidate_skill - production_skill) / nullif(abs(production_skill), 0) * 100 AS improvement, candidate_skill FROM b WHERE candidate_skill > 0) SELECT c, t, round(improvement + 3.3e-9, 7) AS improvement, round(coalesce(nullif(improvement, 0), nullif(candidate_skill, 0), 0) + 3.3e-9, 7) AS order_value, row_number() OVER (ORDER BY coalesce(nullif(improvement, 0), nullif(candidate_skill, 0), 0) DESC, c, t) AS place FROM o")
+@query(f"WITH {BOTH}, o AS (SELECT c, t, (candidate_skill - production_skill) / nullif(abs(production_skill), 0) * 100 AS improvement, candidate_skill FROM b WHERE candidate_skill > 0) SELECT c, t, round(improvement, 7) AS improvement, round(coalesce(nullif(improvement, 0), nullif(candidate_skill, 0), 0), 7) AS order_value, row_number() OVER (ORDER BY coalesce(nullif(improvement, 0), nullif(candidate_skill, 0), 0) DESC, c, t) AS place FROM o")
 def promotion_candidates(spark, sf):
     out = control.candidates(control.compare(located(spark, sf), ["c", "t"], ["skill", "mae"]), ["c", "t"]).withColumn("all", F.lit(1))
     out = windows.top(out, ["all"], [F.desc("order_value"), F.col("c"), F.col("t")], 1000)
@@ -348,7 +353,7 @@ def backtest_membership(spark, sf):
     return out.select("k", F.date_format("day", "yyyy-MM-dd").alias("day"), F.date_format("target", "yyyy-MM-dd").alias("target"), "n_train", "n_test")
 
 
-@query(f"WITH {H}, r AS (SELECT k, CAST(ts AS DATE) AS day, ts, y, row_number() OVER (PARTITION BY k, CAST(ts AS DATE) ORDER BY ts) AS place, count(*) OVER (PARTITION BY k, CAST(ts AS DATE)) AS n FROM h), j AS (SELECT a.k, a.day, a.y, b.y AS p FROM r a JOIN r b ON a.k = b.k AND a.day = b.day + 7 AND a.place = b.place WHERE a.n >= 20 AND b.n >= 20) SELECT k, strftime(day, '%Y-%m-%d') AS day, round(avg(abs(p - y)) + 3.3e-9, 7) AS mae, round(sqrt(avg((p - y) * (p - y))) + 3.3e-9, 7) AS rmse, count(*) AS n FROM j GROUP BY 1, 2")
+@query(f"WITH {H}, r AS (SELECT k, CAST(ts AS DATE) AS day, ts, y, row_number() OVER (PARTITION BY k, CAST(ts AS DATE) ORDER BY ts) AS place, count(*) OVER (PARTITION BY k, CAST(ts AS DATE)) AS n FROM h), j AS (SELECT a.k, a.day, a.y, b.y AS p FROM r a JOIN r b ON a.k = b.k AND a.day = b.day + 7 AND a.place = b.place WHERE a.n >= 20 AND b.n >= 20) SELECT k, strftime(day, '%Y-%m-%d') AS day, {MAE} AS mae, round(sqrt(avg((p - y) * (p - y))), 7) AS rmse, count(*) AS n FROM j GROUP BY 1, 2")
 def persistence_backtest(spark, sf):
     j = joins.by_ordinal(hours(spark, sf), ["k"], 7)
     return rounded(j.groupBy("k", F.date_format("day", "yyyy-MM-dd").alias("day")).agg(metrics.mae().alias("mae"), metrics.rmse().alias("rmse"), F.count("*").alias("n")))

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from ..operators import shape
 
-#: Added before rounding to 7 places, so that means of two-decimal numbers don't fall on a tie, which engines break differently.
-SHIFT = 3.3e-9
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -69,4 +66,9 @@ def sql_text(column: str) -> str:
 
 
 def r7(c: F.Column | str) -> F.Column:
-    return F.round((F.col(c) if isinstance(c, str) else c) + SHIFT, 7)
+    return F.round(F.col(c) if isinstance(c, str) else c, 7)
+
+
+def sql_mean(x: str, scale: int = 10, over: str = "") -> str:
+    """metrics.mean in SQL."""
+    return f"(CAST(sum(CAST({x} AS DECIMAL(28,{scale}))) {over} AS DOUBLE) / nullif(count({x}) {over}, 0))"

@@ -6,12 +6,14 @@ import tempfile
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions import metrics
 from ..operators import crossval, evaluation
 from ..sources.sinks import VersionedTable
 from ..streaming import hourly
 from .evaluation_queries import CORE, P, rounded, scored
-from .registry import E, H, events, hours, query, r7, read, sql_text, text
+from .registry import E, H, events, hours, query, read, sql_mean, sql_text, text
 
 
 def _folder(spark) -> str:
@@ -31,18 +33,16 @@ def streaming_hourly(spark, sf):
     return table.read().select("k", text("ts").alias("ts"), F.round("y", 8).alias("y"))
 
 
-@query(f"WITH {P} SELECT k AS model_name, count(*) AS n, round(avg(p) + 3.3e-9, 7) AS mean, min(p) AS min, max(p) AS max FROM a GROUP BY k")
+@query(f"WITH {P} SELECT k AS model_name, count(*) AS n, {sql_mean("p")} AS mean, min(p) AS min, max(p) AS max FROM a GROUP BY k")
 def model_summary(spark, sf):
-    return scored(spark, sf).groupBy(F.col("k").alias("model_name")).agg(F.count("*").alias("n"), r7(F.avg("p")).alias("mean"), F.min("p").alias("min"), F.max("p").alias("max"))
+    return scored(spark, sf).groupBy(F.col("k").alias("model_name")).agg(F.count("*").alias("n"), metrics.mean("p").alias("mean"), F.min("p").alias("min"), F.max("p").alias("max"))
 
 
 @query(f"WITH {P}, c AS (SELECT k, {CORE} FROM a GROUP BY k) SELECT *, rank() OVER (ORDER BY mae, k) AS place FROM c")
 def compare_reports(spark, sf):
-    """One row for each report, best first; there are as many as series."""
+    """One row for each report, best first."""
     out = rounded(evaluation.scores(scored(spark, sf), ["k"]))
-    better = out.alias("a").join(F.broadcast(out.select(F.col("k").alias("k2"), F.col("mae").alias("mae2"))), (F.col("mae2") < F.col("a.mae")) | ((F.col("mae2") == F.col("a.mae")) & (F.col("k2") <= F.col("a.k"))))  # a row a series
-    place = better.groupBy("a.k").agg(F.count("*").alias("place"))
-    return out.join(place, "k")
+    return out.withColumn("place", F.rank().over(Window.orderBy("mae", "k")).cast("long"))  # a row a series
 
 
 @query(f"WITH {H}, n AS (SELECT k, CAST(ts AS DATE) AS day, count(*) AS n FROM h GROUP BY 1, 2), g AS (SELECT k, min(day) AS a FROM n GROUP BY k) SELECT t.k, strftime(t.day - 1, '%Y-%m-%d') AS day, CAST(coalesce((SELECT sum(n) FROM n WHERE n.k = t.k AND n.day < t.day - 1 AND n.day >= t.day - 8), 0) AS BIGINT) AS n_train, t.n AS n_test FROM n t JOIN g USING (k) WHERE t.day - 1 >= a AND (t.day - 1 - a) % 2 = 0 AND t.n >= 20 AND coalesce((SELECT sum(n) FROM n WHERE n.k = t.k AND n.day < t.day - 1 AND n.day >= t.day - 8), 0) >= 100")
