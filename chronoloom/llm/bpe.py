@@ -21,10 +21,12 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import freeing
+
 CHUNK, OVERLAP, SPLIT = 1 << 16, 1 << 9, 1 << 19
 #: A match that ends so many characters before a chunk's end would be the same without the cut: contractions look 3 ahead, white space 2.
 MARGIN = 4
-PIECES = 400_000
+PIECES = 150_000
 
 
 class Coder:
@@ -145,9 +147,10 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 yield emit(part.column(0).to_pylist(), [_row(c, encode_text(c, t.as_py(), chunk, overlap), columns) for t in part.column(1)])
+        c.seen = {}  # the worker lives on
 
     whole = docs.select(docs[key].cast("long").alias(key), F.coalesce(docs[text], F.lit("")).alias("text"))
-    small = whole.where(F.length("text") <= split_chars).mapInArrow(local, schema)
+    small = whole.where(F.length("text") <= split_chars).mapInArrow(freeing(local), schema)
     return small.unionByName(_long(whole.where(F.length("text") > split_chars), key, ranks, pattern, schema, emit, columns, chunk, overlap))
 
 
@@ -171,6 +174,7 @@ def _long(docs: DataFrame, key: str, ranks: str, pattern: str, schema: str, emit
                     ids += one
                 packed = [np.asarray(x, np.int32 if x is not bounds else np.int64).tobytes() for x in (bounds, counts, ids)]
                 yield pa.RecordBatch.from_pylist([{**row, "bounds": packed[0], "counts": packed[1], "ids": packed[2]}], schema=full)
+        c.seen = {}
 
     kinds = f"{key} long, copies long, of string, size int, k int, chunk string, bounds binary, counts binary, ids binary"
     full = pa.schema([(key, pa.int64()), ("copies", pa.int64()), ("of", pa.string()), ("size", pa.int32()), ("k", pa.int32()), ("chunk", pa.string()), ("bounds", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())])
@@ -190,7 +194,7 @@ def _long(docs: DataFrame, key: str, ranks: str, pattern: str, schema: str, emit
         n = rows[0]["copies"]
         return pa.Table.from_batches([emit([rows[0][key]] * n, [_row(c, ids, columns)] * n)])
 
-    return rows.mapInArrow(split, kinds).groupBy(key, "of").applyInArrow(join, schema)
+    return rows.mapInArrow(freeing(split), kinds).groupBy(key, "of").applyInArrow(join, schema)
 
 
 def decode_documents(encoded: DataFrame, ranks: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -201,4 +205,4 @@ def decode_documents(encoded: DataFrame, ranks: str, pattern: str, key: str = "d
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.decode(x.as_py() or []) for x in batch.column(1)], pa.binary())], [key, "decoded"])
 
-    return encoded.select(encoded[key].cast("long").alias(key), encoded[ids].alias("ids")).mapInArrow(run, f"{key} long, decoded binary")
+    return encoded.select(encoded[key].cast("long").alias(key), encoded[ids].alias("ids")).mapInArrow(freeing(run), f"{key} long, decoded binary")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir`; one of our own only where that is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="chronoloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -41,6 +46,37 @@ def forget(*frames: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Return freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` for mapInArrow, giving its memory back at the end of a task: Python workers are reused and lie idle beside those of the next stage."""
+
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
+def parts_of(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each number in `part`, and the places where it stands, in order."""
+    order = np.argsort(part, kind="stable")
+    sorted_ = part[order]
+    begins = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(part) else np.zeros(0, int)
+    for a, z in zip(begins.tolist(), [*begins[1:].tolist(), len(part)], strict=True) if len(part) else ():
+        yield int(sorted_[a]), order[a:z]
+
+
 def utf8(column: str = "text") -> F.Column:
     """The UTF-8 bytes of a text, none for null."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))

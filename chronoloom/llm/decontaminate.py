@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import freeing, utf8
 
 N = 10
 #: Words are runs of these bytes of the UTF-8: digits, letters, and all of any character beyond ASCII. A-Z become lower case.
@@ -111,7 +111,7 @@ def _marked(rows: DataFrame, part: list[tuple[str, bytes]], n: int) -> DataFrame
                 columns = {"__bits": pa.array(bits, pa.binary()), "items": pa.array(found, pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_arrays([columns.get(c, batch.column(c)) for c in batch.schema.names], batch.schema.names)
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(freeing(run), rows.schema)
 
 
 def _merged(old: bytes, hit: np.ndarray) -> bytes:
@@ -141,7 +141,7 @@ def _finished(rows: DataFrame, key: str, remove: str | None, keep: tuple[str, ..
     schema = rows.select(*first).schema
     for c in kinds:
         schema = schema.add(c, {"contaminated": "boolean", "items_sha256": "string", "clean_text": "string"}.get(c, "long"))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(freeing(run), schema)
 
 
 def without(raw: bytes, hit: np.ndarray) -> str:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forget, utf8, written
+from .common import components, forget, freeing, parts_of, utf8, written
 from .shingles import shingle_sets
 
 N, SIMILAR = 5, 75
@@ -39,7 +39,7 @@ def signatures(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
             h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1])], schema=arrow)
 
-    return docs.select(docs[key].cast("long").alias("doc"), utf8(text).alias("raw")).mapInArrow(run, "doc long, n long, h1 long, h2 long")
+    return docs.select(docs[key].cast("long").alias("doc"), utf8(text).alias("raw")).mapInArrow(freeing(run), "doc long, n long, h1 long, h2 long")
 
 
 def _packed(x) -> bytes:
@@ -57,18 +57,14 @@ def _segments(docs: DataFrame, n: int, fragments: int) -> DataFrame:
                 docs, sizes = batch.column(0).to_numpy(), np.array([len(s) for s in sets], np.int32)
                 every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
                 part = (every >> np.uint64(40)) % np.uint64(fragments)
-                order = np.argsort(part, kind="stable")
-                ends = np.searchsorted(part[order], np.arange(fragments + 1))
                 rows = []
-                for f in range(fragments):
-                    mine = order[ends[f] : ends[f + 1]]
-                    if len(mine):
-                        at_doc, counts = np.unique(owner[mine], return_counts=True)
-                        rows.append({"fragment": f, "docs": _packed(docs[at_doc]), "sizes": _packed(sizes[at_doc]), "counts": _packed(counts.astype(np.int32)), "hashes": _packed(every[mine])})
+                for f, mine in parts_of(part):
+                    at_doc, counts = np.unique(owner[mine], return_counts=True)
+                    rows.append({"fragment": f, "docs": _packed(docs[at_doc]), "sizes": _packed(sizes[at_doc]), "counts": _packed(counts.astype(np.int32)), "hashes": _packed(every[mine])})
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("fragment", pa.int32()), *((c, pa.binary()) for c in ("docs", "sizes", "counts", "hashes"))]))
 
-    return docs.mapInArrow(run, "fragment int, docs binary, sizes binary, counts binary, hashes binary")
+    return docs.mapInArrow(freeing(run), "fragment int, docs binary, sizes binary, counts binary, hashes binary")
 
 
 def _joined(group: pa.Table, column: str, kind) -> np.ndarray:
@@ -89,10 +85,7 @@ def _shared(segments: DataFrame, buckets: int) -> DataFrame:
         keep = np.repeat(found > 1, found)
         h, owner, found = h[keep], owner[order][keep], np.repeat(found, found)[keep].astype(np.int32)
         bucket = (docs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)
-        mine = bucket[owner]
-        order = np.argsort(mine, kind="stable")
-        ends = np.searchsorted(mine[order], np.arange(buckets + 1))
-        rows = [{"bucket": b, "docs": _packed(docs[owner[x]]), "sizes": _packed(sizes[owner[x]]), "hashes": _packed(h[x]), "found": _packed(found[x])} for b in range(buckets) if len(x := order[ends[b] : ends[b + 1]])]
+        rows = [{"bucket": b, "docs": _packed(docs[owner[x]]), "sizes": _packed(sizes[owner[x]]), "hashes": _packed(h[x]), "found": _packed(found[x])} for b, x in parts_of(bucket[owner])]
         return pa.Table.from_pylist(rows, schema=pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("docs", "sizes", "hashes", "found"))]))
 
     return segments.groupBy("fragment").applyInArrow(run, "bucket int, docs binary, sizes binary, hashes binary, found binary")
@@ -193,7 +186,7 @@ def _candidates(sets: DataFrame, fragments: int, most: int | None, similar: int)
             a, b = a[rank < most], b[rank < most]
         return pa.table({"a": a, "b": b}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    rows = sets.select("doc", "n", "label", "first", "hashes", "found").mapInArrow(emit, "part long, doc long, n long, label long, cells binary, hashes binary")
+    rows = sets.select("doc", "n", "label", "first", "hashes", "found").mapInArrow(freeing(emit), "part long, doc long, n long, label long, cells binary, hashes binary")
     return rows.groupBy("part").applyInArrow(pairs, "a long, b long").distinct()
 
 
@@ -228,7 +221,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
         cols = list(zip(*rows, strict=True)) or [[], [], [], []]
         return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("a", "b", "overlap", "sizes"), cols, strict=True)})
 
-    segments = mine.mapInArrow(cut, "place long, cut int, doc long, n long, hashes binary")
+    segments = mine.mapInArrow(freeing(cut), "place long, cut int, doc long, n long, hashes binary")
     put = pairs.join(place.select(F.col("doc").alias("a"), "cuts", where.alias("place")), "a")
     put = put.select("place", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), "a", "b")
     parts = segments.groupBy("place", "cut").cogroup(put.groupBy("place", "cut")).applyInArrow(overlaps, "a long, b long, overlap long, sizes long")

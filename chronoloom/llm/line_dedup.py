@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, utf8, written
+from .common import forget, freeing, utf8, written
 
 MIN_CHARS, MIN_DOCS, SHARDS = 40, 5, 64
 SLOTS, KICKS = 4, 500
-#: Filters of more bytes than this in all aren't broadcast: then every posting goes to the exact join.
-FILTER_BYTES = 64 << 20
+#: Bytes of filters in one broadcast, and how many of those are made.
+FILTER_BYTES, BLOCKS = 64 << 20, 16
 KEY = ["shard", "h1", "h2"]
 
 
@@ -112,7 +113,7 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars
             yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(of, pa.int64())], schema=arrow)
 
     rows = docs.where(docs[key].isNotNull()).select(docs[key].cast("long").alias("doc"), utf8(text).alias("raw"))
-    return rows.mapInArrow(run, "shard int, h1 long, h2 long, doc long").distinct()
+    return rows.mapInArrow(freeing(run), "shard int, h1 long, h2 long, doc long").distinct()
 
 
 def counted(posted: DataFrame) -> DataFrame:
@@ -138,16 +139,17 @@ class LineIndex:
     filters: DataFrame
     min_chars: int = MIN_CHARS
     min_docs: int = MIN_DOCS
+    shards: int = SHARDS
 
     @classmethod
     def of(cls, docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shards: int = SHARDS) -> LineIndex:
         posted = written(postings(docs, key, text, min_chars, shards), "postings")
         counts = written(counted(posted), "counts")
-        return cls(posted, counts, written(built(counts, min_docs), "filters"), min_chars, min_docs)
+        return cls(posted, counts, written(built(counts, min_docs), "filters"), min_chars, min_docs, shards)
 
     def _next(self, posted: DataFrame, counts: DataFrame, touched: DataFrame) -> LineIndex:
         posted, counts = written(posted.select(*KEY, "doc"), "postings"), written(counts.select(*KEY, "refs", "last"), "counts")
-        return LineIndex(posted, counts, written(self._refiltered(counts, touched), "filters"), self.min_chars, self.min_docs)
+        return LineIndex(posted, counts, written(self._refiltered(counts, touched), "filters"), self.min_chars, self.min_docs, self.shards)
 
     def _refiltered(self, counts: DataFrame, touched: DataFrame) -> DataFrame:
         """Filters with the touched keys that crossed the threshold put in or taken out; one that runs full is built anew by the exact counts."""
@@ -174,9 +176,9 @@ class LineIndex:
         full = moved.where("buckets < 0").select("shard")
         return moved.where("buckets > 0").unionByName(built(counts.join(full, "shard", "left_semi"), self.min_docs))
 
-    def insert(self, docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS) -> LineIndex:
+    def insert(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> LineIndex:
         """With these documents added; a document that is there already adds only keys it didn't have."""
-        new = written(postings(docs, key, text, self.min_chars, shards).join(self.postings, [*KEY, "doc"], "left_anti"), "new")
+        new = written(postings(docs, key, text, self.min_chars, self.shards).join(self.postings, [*KEY, "doc"], "left_anti"), "new")
         counts = self.counts.unionByName(counted(new)).groupBy(*KEY).agg(F.sum("refs").alias("refs"), F.max("last").alias("last"))
         return self._next(self.postings.unionByName(new), counts, new)
 
@@ -191,49 +193,62 @@ class LineIndex:
     def close(self) -> None:
         forget(self.postings, self.counts, self.filters)
 
+    def _probed(self, shards: list[int]) -> DataFrame:
+        """The postings of some shards that their filters might hold."""
+        mine = F.col("shard").isin(shards)
+        shared = self.postings.sparkSession.sparkContext.broadcast({r.shard: (r.buckets, bytes(r.cells)) for r in self.filters.where(mine).collect()})
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            filters = {s: CuckooFilter(b, np.frombuffer(c, np.uint16).reshape(-1, SLOTS)) for s, (b, c) in shared.value.items()}
+            for batch in batches:
+                shard, h1 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                keep = np.zeros(len(h1), bool)
+                order = np.argsort(shard, kind="stable")
+                for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+                    if len(part) and (f := filters.get(int(shard[part[0]]))):
+                        keep[part] = f.might_hold(h1[part])
+                yield batch.filter(pa.array(keep))
+
+        return self.postings.where(mine).mapInArrow(freeing(probe), "shard int, h1 long, h2 long, doc long")
+
     def drops(self) -> DataFrame:
         """(doc, drop array<binary>): for each document the keys whose lines it loses: those of `min_docs` documents or more, unless it is the largest of them.
 
-        The filters are probed first, where they are small enough to broadcast, so that few postings reach the join with the exact counts.
+        Each shard's filter is probed first, so that few postings reach the join with the exact counts. Filters are broadcast in blocks of shards of
+        FILTER_BYTES at most; with more than BLOCKS of these the rest of the postings goes to the join unprobed, which changes its cost, not its result.
         """
-        spark = self.postings.sparkSession
-        size = self.filters.agg(F.sum(F.octet_length("cells"))).first()[0] or 0
-        likely = self.postings
-        if size <= FILTER_BYTES:
-            shared = spark.sparkContext.broadcast({r.shard: (r.buckets, bytes(r.cells)) for r in self.filters.collect()})
-
-            def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                filters = {s: CuckooFilter(b, np.frombuffer(c, np.uint16).reshape(-1, SLOTS)) for s, (b, c) in shared.value.items()}
-                for batch in batches:
-                    shard, h1 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                    keep = np.zeros(len(h1), bool)
-                    order = np.argsort(shard, kind="stable")
-                    for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-                        if len(part) and (f := filters.get(int(shard[part[0]]))):
-                            keep[part] = f.might_hold(h1[part])
-                    yield batch.filter(pa.array(keep))
-
-            likely = likely.mapInArrow(probe, "shard int, h1 long, h2 long, doc long")
+        blocks: list[list[int]] = [[]]
+        held = 0
+        for shard, size in self.filters.select("shard", F.octet_length("cells")).orderBy("shard").collect():  # a row a shard
+            if blocks[-1] and held + size > FILTER_BYTES:
+                blocks.append([])
+                held = 0
+            blocks[-1].append(shard)
+            held += size
+        probed = [self._probed(x) for x in blocks[:BLOCKS]]
+        rest = [self.postings.where(F.col("shard").isin([s for x in blocks[BLOCKS:] for s in x]))] if blocks[BLOCKS:] else []
+        likely = reduce(DataFrame.unionByName, probed + rest)
         hot = self.counts.where(F.col("refs") >= self.min_docs)
         return likely.join(hot, KEY).where("doc < last").groupBy("doc").agg(F.collect_list(F.struct("h1", "h2")).alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, index: LineIndex, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with columns n_lines, n_dropped and kept (the text without dropped lines, joined by newlines).
+def dedup_lines(docs: DataFrame, index: LineIndex, key: str = "doc_id", text: str = "text", whole: bool = True) -> DataFrame:
+    """`docs` with columns n_lines, n_dropped and kept (the text without dropped lines, joined by newlines); without the text itself unless `whole`.
 
     Null and empty texts have one empty line, which stays. Rows with a null key lose nothing; rows that share a key are one document and lose the same
     lines. Added columns replace those of the same name.
     """
-    doc, drop = "__doc", "__drop"
+    doc, drop, raw_text = "__doc", "__drop", "__text"
     rows = docs.drop("n_lines", "n_dropped", "kept").withColumn(doc, docs[key].cast("long")).join(index.drops().select(F.col("doc").alias(doc), F.col("drop").alias(drop)), doc, "left")
     rest = [c for c in rows.columns if c not in (doc, drop, text)]
+    last = [text] if whole else []
     min_chars = index.min_chars
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_lines, n_dropped, kept = [], [], []
-            for raw, gone in zip(batch.column("__raw"), batch.column(drop), strict=True):
-                raw, gone = raw.as_buffer().to_pybytes(), gone.as_py()
+            for value, gone in zip(batch.column(raw_text), batch.column(drop), strict=True):
+                raw, gone = value.as_buffer().to_pybytes() if value.is_valid else b"", gone.as_py()
                 lines = raw.split(b"\n")
                 stay = lines
                 if gone:
@@ -241,9 +256,10 @@ def dedup_lines(docs: DataFrame, index: LineIndex, key: str = "doc_id", text: st
                     stay = [x for x in lines if key_of(x, min_chars) not in keys]
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(stay))
-                kept.append(b"\n".join(stay).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*rest, text]), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], [*rest, text, "n_lines", "n_dropped", "kept"])
+                kept.append(raw if stay is lines else b"\n".join(stay))
+            kept = pa.array(kept, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *[batch.column(raw_text)][: len(last)], pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), kept], [*rest, *last, "n_lines", "n_dropped", "kept"])
 
-    ready = rows.select(*rest, text, drop, utf8(text).alias("__raw"))
-    schema = ready.select(*rest, text).schema.add("n_lines", "long").add("n_dropped", "long").add("kept", "string")
-    return ready.mapInArrow(run, schema)
+    ready = rows.select(*rest, F.col(text).alias(raw_text), drop)
+    schema = rows.select(*rest, *last).schema.add("n_lines", "long").add("n_dropped", "long").add("kept", "string")
+    return ready.mapInArrow(freeing(run), schema)

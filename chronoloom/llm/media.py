@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import utf8
+from .common import freeing, utf8
 
 FRAME, HOP, RATE = 192, 96, 8000
 BANDS = ((2, 12), (12, 28), (28, 56), (56, 97))
@@ -101,4 +101,4 @@ def media_column(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_
                 names = [x.split()[0] for x in fields.split(", ")]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, k) for v, k in zip(out, kinds, strict=True))], names)
 
-    return docs.select(docs[key].cast("long").alias(key), utf8(text).alias("raw")).mapInArrow(run, fields)
+    return docs.select(docs[key].cast("long").alias(key), utf8(text).alias("raw")).mapInArrow(freeing(run), fields)

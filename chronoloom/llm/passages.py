@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, forget, utf8, written
+from .common import components, forget, freeing, utf8, written
 from .shingles import BASE, SPACE, _powers, mixed, shingled, word_hashes
 
 REACH, MIN_WORDS, SIMILAR, N = 4, 25, 75, 5
@@ -144,7 +144,7 @@ def _repeated(texts: DataFrame, fragments: int) -> DataFrame:
             removed = ~first
         return pa.table({"doc": docs[keep], "begin": begin[keep], "length": length[keep], "own": own[keep].view(np.int64), "removed": removed[keep]})
 
-    dealt = texts.mapInArrow(run, "fragment int, " + ", ".join(f"{c} binary" for c in columns))
+    dealt = texts.mapInArrow(freeing(run), "fragment int, " + ", ".join(f"{c} binary" for c in columns))
     return dealt.groupBy("fragment").applyInArrow(pick, "doc long, begin int, length int, own long, removed boolean")
 
 
@@ -186,7 +186,7 @@ def _collisions(texts: DataFrame, fragments: int, count: int) -> DataFrame:
         bucket = np.concatenate(buckets)
         return pa.table({"part": (bucket >> np.uint64(8)).view(np.int64) % (8 * fragments), "bucket": bucket.view(np.int64), "own": np.concatenate(owns).view(np.int64)})
 
-    dealt = texts.mapInArrow(run, "fragment int, marks binary, owns binary")
+    dealt = texts.mapInArrow(freeing(run), "fragment int, marks binary, owns binary")
     return dealt.groupBy("fragment").applyInArrow(pick, "part long, bucket long, own long")
 
 
@@ -210,7 +210,7 @@ def _named(texts: DataFrame, members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(np.packbits(cells)[at], pa.int32())], ["at", "byte"])
 
         cells = np.zeros(bits // 8, np.uint8)
-        merged = names.coalesce(8).mapInArrow(part, "at long, byte int").groupBy("at").agg(F.bit_or("byte").alias("byte"))
+        merged = names.coalesce(8).mapInArrow(freeing(part), "at long, byte int").groupBy("at").agg(F.bit_or("byte").alias("byte"))
         for row in merged.toLocalIterator():  # at most BLOOM_BITS / 8 of them
             cells[row["at"]] = row["byte"]
         shared = texts.sparkSession.sparkContext.broadcast(cells.tobytes())
@@ -231,7 +231,7 @@ def _named(texts: DataFrame, members: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
-    return texts.mapInArrow(run, "own long, doc long, begin int, length int, runs binary").join(names, "own", "left_semi")
+    return texts.mapInArrow(freeing(run), "own long, doc long, begin int, length int, runs binary").join(names, "own", "left_semi")
 
 
 def needed(n, m, similar: int):
@@ -429,4 +429,4 @@ def without_passages(docs: DataFrame, found: DataFrame, key: str = "doc_id", tex
                 kept.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], [key, "kept"])
 
-    return rows.mapInArrow(run, f"{key} long, kept string")
+    return rows.mapInArrow(freeing(run), f"{key} long, kept string")

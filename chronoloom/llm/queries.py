@@ -43,7 +43,7 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = line_dedup.dedup_lines(docs, line_dedup.LineIndex.of(docs))
+    done = line_dedup.dedup_lines(docs, line_dedup.LineIndex.of(docs), whole=False)
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 

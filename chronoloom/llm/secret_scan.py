@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import freeing
+
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -221,4 +223,4 @@ def scan_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                     out.append({key: k, "n_assign": n[0], "n_access": n[1], "n_hex": n[2], "base_sha256": hashlib.sha256(written_as(base).encode()).hexdigest(), "spans": written_as(every), "secrets": [{"kind": KINDS[s[1]], "start": s[0], "end": s[2], "decoded": s not in own} for s in every]})
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return docs.select(docs[key].cast("long").alias(key), F.coalesce(docs[text], F.lit("")).alias("text")).mapInArrow(run, schema)
+    return docs.select(docs[key].cast("long").alias(key), F.coalesce(docs[text], F.lit("")).alias("text")).mapInArrow(freeing(run), schema)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, written
+from .common import forget, freeing, written
 
 DECAY = 0.6
 #: Longer words are cut into windows of LONG letters, STEP apart, which hold every word of up to LONG - STEP letters whole.
@@ -254,7 +254,7 @@ def _unlike(rows: DataFrame) -> DataFrame:
             docs, texts = batch.column(0).to_pylist(), batch.column(1)
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([_sketch(t.as_py().lower().split()) for t in texts], pa.list_(pa.int64()))], ["doc", "sketch"])
 
-    marks = rows.select("doc", "text").mapInArrow(run, "doc long, sketch array<bigint>").select("doc", F.posexplode("sketch").alias("k", "mark"))
+    marks = rows.select("doc", "text").mapInArrow(freeing(run), "doc long, sketch array<bigint>").select("doc", F.posexplode("sketch").alias("k", "mark"))
     first = marks.groupBy("k", "mark").agg(F.min("doc").alias("first"), F.collect_set("doc").alias("docs"))
     later = first.select("first", F.explode("docs").alias("doc")).where("doc > first").select("doc").distinct()
     return rows.join(later, "doc", "left_anti")
@@ -271,7 +271,7 @@ def _exploded(rows: DataFrame) -> DataFrame:
                 n = len(words) + len(stems)
                 yield pa.RecordBatch.from_arrays([pa.array([r["doc"]] * n, pa.int64()), pa.array([r["toxic"]] * n, pa.int32()), pa.array(words + stems, pa.string()), pa.array([False] * len(words) + [True] * len(stems), pa.bool_())], ["doc", "toxic", "word", "stem"])
 
-    return rows.select("doc", "toxic", "text").mapInArrow(run, "doc long, toxic int, word string, stem boolean")
+    return rows.select("doc", "toxic", "text").mapInArrow(freeing(run), "doc long, toxic int, word string, stem boolean")
 
 
 def _threshold(sizes: list, rate: float) -> int:
@@ -352,7 +352,7 @@ def scored(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "
 
     kept = rows.select(*rows.columns[1:], *([F.col("__text").alias(text)] if whole else []))
     schema = kept.schema.add("margin", "double").add("score", "double").add("predicted", "integer")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(freeing(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -21,11 +21,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that five or more share (the largest doc_id keeps them). One left with white space alone goes, unless it was so before."""
-    done = line_dedup.dedup_lines(docs.select(*COLUMNS), line_dedup.LineIndex.of(docs))
-    rest = done.where((F.col("n_dropped") == 0) | (F.trim(F.col("kept")) != ""))
-    text = F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.col("kept"))
-    return rest.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("kept").cast("long")).alias("n_chars"))
+    """Documents without the lines that five or more share (the largest doc_id keeps them). One without any other line stays, with an empty text; a null text becomes an empty one."""
+    done = line_dedup.dedup_lines(docs.select(*COLUMNS), line_dedup.LineIndex.of(docs), whole=False)
+    return done.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("kept").cast("long")).alias("n_chars"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +33,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the spans that stand in the benchmark; one left with white space alone goes."""
+    """Documents without the spans that stand in the benchmark; one that is nothing but such spans stays, with what stood around them."""
     found = decontaminate.contamination(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), remove="spans", keep=("text", "lang", "source", "n_chars"))
     text = F.when(F.col("contaminated"), F.col("clean_text")).otherwise(F.col("text"))
-    return found.where(~F.col("contaminated") | (F.trim("clean_text") != "")).select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("contaminated"), F.length("clean_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    return found.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("contaminated"), F.length("clean_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
