@@ -1,15 +1,18 @@
 """Substring dedup by MinHash banding of paragraphs.
 
-Repeated passages seldom fill a line, so paragraphs are cut by content: one begins at each word whose hash, with the next word's, is the least within
-REACH words. A passage is thus cut alike wherever it stands, but for a few words at its ends. Paragraphs of the same words are one; others are joined if
-they collide in a band of MinHashes of their five-word runs and exact Jaccard similarity holds. Clusters are components; of each, the first paragraph
-(by document and place) stays and the others are removals. Neighbouring repeated paragraphs make a passage, and passages of MIN_WORDS words or more count.
+Repeated passages seldom fill a line, so paragraphs are cut by content, in two ways. Short ones begin at each word whose hash, with the next word's, is
+the least within REACH words: a passage is thus cut alike wherever it stands, and short paragraphs of the same words in several documents are repeats.
+Long ones are the WINDOW words from each word that is the least within SPREAD words (and a text's first and last WINDOW words), so that a passage with
+changed words still holds some that differ little. Long paragraphs are joined if they collide in a band of MinHashes of their five-word runs and exact
+Jaccard similarity holds; clusters are components, of which the first document keeps its paragraphs and the others' are removals. Repeated paragraphs
+that touch or overlap make a passage, and passages of MIN_WORDS words or more count.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,15 +21,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, forget, freeing, utf8, written
-from .shingles import BASE, SPACE, _powers, mixed, shingled, word_hashes
+from .common import components, forget, freeing, parts_of, utf8, written
+from .shingles import BASE, SPACE, _powers, mixed, word_hashes
 
 REACH, MIN_WORDS, SIMILAR, N = 4, 25, 75, 5
+#: Long paragraphs. Two of a text begin more than SPREAD words apart, too far to be similar to each other.
+WINDOW, SPREAD = 40, 5
+#: Texts of at least so many words, but fewer than WINDOW, are one long paragraph.
+SHORT = 20
 #: Paragraphs that a fragment's task holds, and members in one block of a bucket.
-FRAGMENT, GROUP = 4 << 20, 100_000
+FRAGMENT, GROUP = 1 << 20, 100_000
 LAST = np.uint64((1 << 64) - 1)
 #: Bloom filters of more bits than this aren't broadcast; then all paragraphs go to the join.
 BLOOM_BITS = 1 << 29
+#: Texts that are worked on at once, by number and by bytes.
+TEXTS, BYTES = 2048, 4 << 20
 
 
 def bands(similar: int = SIMILAR, recall: float = 0.99, rows: int = 1) -> int:
@@ -34,41 +43,100 @@ def bands(similar: int = SIMILAR, recall: float = 0.99, rows: int = 1) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - (similar / 100) ** rows))
 
 
-def cut(words: np.ndarray, reach: int = REACH) -> np.ndarray:
-    """Where the paragraphs of a text begin, given its words' hashes."""
-    if len(words) < 2:
-        return np.zeros(min(1, len(words)), np.int64)
-    two = mixed(words[:-1] * np.uint64(BASE) + words[1:])
-    wide = np.pad(two, reach, constant_values=LAST)
-    least = np.lib.stride_tricks.sliding_window_view(wide, 2 * reach + 1).min(1)
-    starts = np.flatnonzero(two == least)
-    return starts if len(starts) and starts[0] == 0 else np.concatenate([[0], starts])
-
-
-def paragraphs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(begin, length, hash of the word sequence) of each paragraph."""
-    begin = cut(words)
-    end = np.append(begin[1:], len(words)) if len(begin) else begin
-    up, down = _powers(1 << max(20, max(1, len(words)).bit_length()))
-    sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * up[: len(words)], out=sums[1:])
-    return begin, end - begin, mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
-
-
-def minhashes(words: np.ndarray, begin: np.ndarray, length: np.ndarray, own: np.ndarray, count: int, n: int = N) -> np.ndarray:
-    """`count` MinHashes of each paragraph's runs of n words; of its whole sequence if it is shorter."""
-    if len(words) < n or not len(begin):
-        return np.stack([mixed(own + np.uint64(k)) for k in range(count)], 1) if len(begin) else np.zeros((0, count), np.uint64)
-    runs = shingled(words, n)
-    room = np.repeat(begin + length, length)[: len(runs)] - np.arange(len(runs))  # words left in the paragraph
+class Laid(NamedTuple):
+    """The words of several texts under each other, with PAD places between: word hashes, whether a place holds a word, each text's first place and end."""
+
+    words: np.ndarray
+    real: np.ndarray
+    first: np.ndarray
+    end: np.ndarray
+
+
+class Found(NamedTuple):
+    """Paragraphs: the number of the text, first place, number of words, hash of the word sequence."""
+
+    text: np.ndarray
+    place: np.ndarray
+    length: np.ndarray
+    own: np.ndarray
+
+
+PAD = max(REACH, SPREAD) + 1
+
+
+def laid(texts: list[np.ndarray]) -> Laid:
+    size = np.array([len(w) for w in texts], np.int64)
+    first = np.cumsum(size + PAD) - size
+    flat, real = np.zeros(int((size + PAD).sum()) + PAD, np.uint64), np.zeros(int((size + PAD).sum()) + PAD, bool)
+    for w, a in zip(texts, first.tolist(), strict=True):
+        flat[a : a + len(w)] = w
+        real[a : a + len(w)] = True
+    return Laid(flat, real, first, first + size)
+
+
+def least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of the `width` elements from each one on."""
+    w = 1
+    while 2 * w <= width:
+        x = np.minimum(x[:-w], x[w:])
+        w *= 2
+    return np.minimum(x[: len(x) - (width - w)], x[width - w :]) if w < width else x
+
+
+def anchors(t: Laid, reach: int) -> np.ndarray:
+    """Places of words whose hash, with the next word's, is the least within `reach` words."""
+    two = mixed(t.words[:-1] * np.uint64(BASE) + t.words[1:])
+    two[~(t.real[:-1] & t.real[1:])] = LAST
+    near = least(np.pad(two, reach, constant_values=LAST), 2 * reach + 1)
+    return np.flatnonzero((two == near) & (two != LAST))
+
+
+def _found(t: Laid, text: np.ndarray, place: np.ndarray, end: np.ndarray) -> Found:
+    up, down = _powers(1 << max(20, len(t.words).bit_length()))
+    sums = np.zeros(len(t.words) + 1, np.uint64)
+    np.cumsum(t.words * up[: len(t.words)], out=sums[1:])
+    return Found(text, place, end - place, mixed((sums[end] - sums[place]) * down[place] + (end - place).astype(np.uint64)))
+
+
+def paragraphs(t: Laid) -> Found:
+    """Short paragraphs: all words of each text, cut at its anchors."""
+    place = np.union1d(anchors(t, REACH), t.first[t.end > t.first])
+    text = np.searchsorted(t.first, place, "right") - 1
+    after = np.append(place[1:], len(t.words))
+    return _found(t, text, place, np.minimum(after, t.end[text]))
+
+
+def long_paragraphs(t: Laid) -> Found:
+    """The WINDOW words from each anchor that has them, from each text's start, and up to its end; all of a text that has fewer, if it has SHORT."""
+    at = anchors(t, SPREAD)
+    long = t.end - t.first >= WINDOW
+    place = np.unique(np.concatenate([at[at + WINDOW <= t.end[np.searchsorted(t.first, at, "right") - 1]], t.first[long], t.end[long] - WINDOW, t.first[~long & (t.end - t.first >= SHORT)]]))
+    text = np.searchsorted(t.first, place, "right") - 1
+    return _found(t, text, place, np.minimum(place + WINDOW, t.end[text]))
+
+
+def runs_of(t: Laid, n: int = N) -> np.ndarray:
+    """Hashes of the runs of n words from each place; meaningless where these aren't words of one text."""
+    m = max(0, len(t.words) - n + 1)
+    h = np.full(m, n, np.uint64)
+    for i in range(n):
+        h = mixed(h * np.uint64(BASE) + t.words[i : i + m])
+    return h
+
+
+def minhashes(runs: np.ndarray, found: Found, count: int, n: int = N) -> np.ndarray:
+    """`count` MinHashes of each long paragraph's runs of n words."""
+    inside = found.length - n + 1
+    width = 1 << (int(inside.min()).bit_length() - 1) if len(inside) else 1
     out = []
     for k in range(count):
-        h = mixed(runs + np.uint64(k * 0x632BE59BD9B4E019 & (1 << 64) - 1))
-        h[room < n] = LAST
-        m = np.full(len(begin), LAST)
-        inside = begin < len(runs)
-        m[inside] = np.minimum.reduceat(h, begin[inside])
-        out.append(np.where(length < n, mixed(own + np.uint64(k)), m))
+        low = least(mixed(runs + np.uint64(k * 0x632BE59BD9B4E019 & (1 << 64) - 1)), width)
+        m = np.minimum(low[found.place], low[found.place + inside - width])
+        at = width
+        while (rest := np.flatnonzero(inside > 2 * at)).size:  # long paragraphs beside shorter ones
+            m[rest] = np.minimum(m[rest], low[found.place[rest] + at])
+            at += width
+        out.append(m)
     return np.stack(out, 1)
 
 
@@ -81,30 +149,25 @@ def _joined(group: pa.Table, column: str, kind) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
-def _cut_batch(batch: pa.RecordBatch) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of each text; document, begin, length and hash of every paragraph of a batch."""
-    words = word_hashes([r.as_buffer().to_pybytes() for r in batch.column(1)])
-    docs = batch.column(0).to_numpy()
-    found = [paragraphs(w) for w in words]
-    counts = [len(f[0]) for f in found]
-    begin, length, own = (np.concatenate([f[k] for f in found]) for k in range(3))
-    return words, np.repeat(docs, counts), begin.astype(np.int32), length.astype(np.int32), own
-
-
-def _slices(batches: Iterator[pa.RecordBatch], size: int = 2048) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, size):
-            yield b.slice(at, size)
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Laid]]:
+    """(documents, their words), TEXTS texts or about BYTES bytes at a time."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BYTES, "right"))
+            upto = min(max(upto, at + 1), at + TEXTS, batch.num_rows)
+            part = batch.slice(at, upto - at)
+            yield part.column(0).to_numpy(), laid(word_hashes([r.as_buffer().to_pybytes() for r in part.column(1)]))
+            at = upto
 
 
-def _dealt(rows: dict[str, np.ndarray], part: np.ndarray, fragments: int, base: int = 0) -> list[dict]:
-    order = np.argsort(part, kind="stable")
-    ends = np.searchsorted(part[order], np.arange(fragments + 1))
-    return [{"fragment": base + f, **{k: _packed(v[x]) for k, v in rows.items()}} for f in range(fragments) if len(x := order[ends[f] : ends[f + 1]])]
+def _dealt(rows: dict[str, np.ndarray], part: np.ndarray, base: int = 0) -> list[dict]:
+    return [{"fragment": base + f, **{k: _packed(v[x]) for k, v in rows.items()}} for f, x in parts_of(part)]
 
 
 def _repeated(texts: DataFrame, fragments: int) -> DataFrame:
-    """(doc, begin, length, own, removed): paragraphs whose words stand in another document as well.
+    """(doc, begin, length, own, removed): short paragraphs whose words stand in another document as well.
 
     Of equal paragraphs in one batch only the first goes to its fragment; the others are known to be removals, so a hot paragraph sends each fragment a
     row a batch at most.
@@ -113,8 +176,9 @@ def _repeated(texts: DataFrame, fragments: int) -> DataFrame:
     arrow = pa.schema([("fragment", pa.int32()), *((c, pa.binary()) for c in columns)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            _, docs, begin, length, own = _cut_batch(batch)
+        for names, t in _texts(batches):
+            found = paragraphs(t)
+            docs, begin, length, own = names[found.text], (found.place - t.first[found.text]).astype(np.int32), found.length.astype(np.int32), found.own
             order = np.lexsort((begin, docs, own))
             docs, begin, length, own = docs[order], begin[order], length[order], own[order]
             first = np.concatenate([[True], own[1:] != own[:-1]]) if len(own) else np.zeros(0, bool)
@@ -125,44 +189,46 @@ def _repeated(texts: DataFrame, fragments: int) -> DataFrame:
             first |= more == 0  # what one document alone holds goes to its fragment whole
             rows = {"docs": docs, "begins": begin, "lengths": length, "owns": own, "more": more}
             part = ((own >> np.uint64(20)) % np.uint64(fragments)).astype(np.int64)
-            out = _dealt({k: v[first] for k, v in rows.items()}, part[first], fragments)
+            out = _dealt({k: v[first] for k, v in rows.items()}, part[first])
             spread = (docs.view(np.uint64) % np.uint64(fragments)).astype(np.int64)
-            out += _dealt({k: v[~first] for k, v in rows.items()}, spread[~first], fragments, fragments)
+            out += _dealt({k: v[~first] for k, v in rows.items()}, spread[~first], fragments)
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     def pick(group: pa.Table) -> pa.Table:
-        docs, begin, length, own, more = (_joined(group, c, k) for c, k in zip(columns, (np.int64, np.int32, np.int32, np.uint64, np.int8), strict=True))
-        keep, removed = np.ones(len(own), bool), np.ones(len(own), bool)
+        own = _joined(group, "owns", np.uint64)
+        removed = np.ones(len(own), bool)
         if group.column("fragment")[0].as_py() < fragments:
+            docs, begin, more = _joined(group, "docs", np.int64), _joined(group, "begins", np.int32), _joined(group, "more", np.int8)
             order = np.lexsort((begin, docs, own))
-            docs, begin, length, own, more = docs[order], begin[order], length[order], own[order], more[order]
+            own, docs = own[order], docs[order]
             first = np.concatenate([[True], own[1:] != own[:-1]])
             at = np.flatnonzero(first)
             size = np.diff(np.append(at, len(own)))
-            keep = np.repeat((docs[at] != docs[at + size - 1]) | (np.maximum.reduceat(more, at) > 0), size)
-            removed = ~first
-        return pa.table({"doc": docs[keep], "begin": begin[keep], "length": length[keep], "own": own[keep].view(np.int64), "removed": removed[keep]})
+            keep = np.repeat((docs[at] != docs[at + size - 1]) | (np.maximum.reduceat(more[order], at) > 0), size)
+            removed, own, docs, begin = ~first[keep], own[keep], docs[keep], begin[order[keep]]
+            length = _joined(group, "lengths", np.int32)[order[keep]]
+        else:
+            docs, begin, length = _joined(group, "docs", np.int64), _joined(group, "begins", np.int32), _joined(group, "lengths", np.int32)
+        return pa.table({"doc": docs, "begin": begin, "length": length, "own": own.view(np.int64), "removed": removed})
 
     dealt = texts.mapInArrow(freeing(run), "fragment int, " + ", ".join(f"{c} binary" for c in columns))
     return dealt.groupBy("fragment").applyInArrow(pick, "doc long, begin int, length int, own long, removed boolean")
 
 
 def _collisions(texts: DataFrame, fragments: int, count: int) -> DataFrame:
-    """(part, bucket, own): hashes of different paragraphs that share a MinHash, their bucket. A hot bucket comes as pairs of its blocks, so that any two members meet."""
+    """(part, bucket, own): hashes of different long paragraphs that share a MinHash, their bucket. A hot bucket comes as pairs of its blocks, so that any two members meet."""
     arrow = pa.schema([("fragment", pa.int32()), ("marks", pa.binary()), ("owns", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            words, _, _, _, own = _cut_batch(batch)
-            found = [paragraphs(w) for w in words]
-            marks = np.concatenate([minhashes(w, *f, count) for w, f in zip(words, found, strict=True)])
-            own, at = np.unique(own, return_index=True)
-            marks = marks[at] ^ np.arange(count, dtype=np.uint64) << np.uint64(60)
+        for _, t in _texts(batches):
+            found = long_paragraphs(t)
+            if not len(found.own):
+                continue
+            own, at = np.unique(found.own, return_index=True)
+            marks = minhashes(runs_of(t), Found(*(x[at] for x in found)), count) ^ np.arange(count, dtype=np.uint64) << np.uint64(60)
             flat, owners = marks.ravel(), np.repeat(own, count)
-            out = _dealt({"marks": flat, "owns": owners}, ((flat >> np.uint64(20)) % np.uint64(fragments)).astype(np.int64), fragments)
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+            yield pa.RecordBatch.from_pylist(_dealt({"marks": flat, "owns": owners}, ((flat >> np.uint64(20)) % np.uint64(fragments)).astype(np.int64)), schema=arrow)
 
     def pick(group: pa.Table) -> pa.Table:
         marks, own = _joined(group, "marks", np.uint64), _joined(group, "owns", np.uint64)
@@ -190,46 +256,44 @@ def _collisions(texts: DataFrame, fragments: int, count: int) -> DataFrame:
     return dealt.groupBy("fragment").applyInArrow(pick, "part long, bucket long, own long")
 
 
-def _bloom(own: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return (own % np.uint64(bits)).astype(np.int64), ((own >> np.uint64(24)) * np.uint64(0x9E3779B97F4A7C15) % np.uint64(bits)).astype(np.int64)
+#: Bits in one row of a filter.
+ROW = 1 << 15
+
+
+def _filter(names: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter with two bits for each name, packed; made on the executors, and brought in as rows of ROW bits."""
+    bit = F.explode(F.array(F.col("own").bitwiseAND(bits - 1), F.shiftrightunsigned("own", 24).bitwiseAND(bits - 1)))
+    rows = names.select(bit.alias("bit")).groupBy(F.shiftright("bit", 15).alias("row")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(ROW - 1)).alias("cells"))
+    out = np.zeros(bits // 8, np.uint8)
+    for row in rows.toLocalIterator():  # at most BLOOM_BITS / ROW of them
+        out[row.row * ROW // 8 : (row.row + 1) * ROW // 8] = np.frombuffer(row.cells, np.uint8)
+    return out
+
+
+def _held(cells: np.ndarray, own: np.ndarray) -> np.ndarray:
+    bits = np.uint64(8 * len(cells) - 1)
+    at = (own & bits, own >> np.uint64(24) & bits)
+    one, two = (cells[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8) & 1 for x in at)
+    return (one & two).astype(bool)
 
 
 def _named(texts: DataFrame, members: DataFrame) -> DataFrame:
-    """(own, doc, begin, length, runs): the paragraphs that are in `members`, with the distinct hashes of their runs."""
+    """(own, doc, begin, length, runs): the long paragraphs that are in `members`, with the distinct hashes of their runs."""
     names = members.select("own").distinct()
     bits = max(1 << 16, 1 << (16 * names.count() - 1).bit_length())
-    shared = None
-    if bits <= BLOOM_BITS:
-
-        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cells = np.zeros(bits, bool)
-            for b in batches:
-                for at in _bloom(b.column(0).to_numpy().view(np.uint64), bits):
-                    cells[at] = True
-            at = np.flatnonzero(np.packbits(cells))
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(np.packbits(cells)[at], pa.int32())], ["at", "byte"])
-
-        cells = np.zeros(bits // 8, np.uint8)
-        merged = names.coalesce(8).mapInArrow(freeing(part), "at long, byte int").groupBy("at").agg(F.bit_or("byte").alias("byte"))
-        for row in merged.toLocalIterator():  # at most BLOOM_BITS / 8 of them
-            cells[row["at"]] = row["byte"]
-        shared = texts.sparkSession.sparkContext.broadcast(cells.tobytes())
+    shared = texts.sparkSession.sparkContext.broadcast(_filter(names, bits)) if bits <= BLOOM_BITS else None
     arrow = pa.schema([("own", pa.int64()), ("doc", pa.int64()), ("begin", pa.int32()), ("length", pa.int32()), ("runs", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.unpackbits(np.frombuffer(shared.value, np.uint8)).view(bool) if shared else None
-        for batch in _slices(batches):
-            rows = []
-            words = word_hashes([r.as_buffer().to_pybytes() for r in batch.column(1)])
-            for doc, w in zip(batch.column(0).to_pylist(), words, strict=True):
-                begin, length, own = paragraphs(w)
-                keep = np.arange(len(own))
-                if cells is not None:
-                    one, two = _bloom(own, bits)
-                    keep = np.flatnonzero(cells[one] & cells[two])
-                rows += [(int(own[k].view(np.int64)), doc, int(begin[k]), int(length[k]), _packed(np.unique(shingled(w[begin[k] : begin[k] + length[k]], N)))) for k in keep]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+        for docs, t in _texts(batches):
+            found = long_paragraphs(t)
+            keep = _held(shared.value, found.own) if shared else np.ones(len(found.own), bool)
+            if not keep.any():
+                continue
+            found = Found(*(x[keep] for x in found))
+            h = runs_of(t)
+            sets = [_packed(np.unique(h[a:z])) for a, z in zip(found.place.tolist(), (found.place + found.length - N + 1).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(found.own.view(np.int64)), pa.array(docs[found.text]), pa.array((found.place - t.first[found.text]).astype(np.int32)), pa.array(found.length.astype(np.int32)), pa.array(sets, pa.binary())], schema=arrow)
 
     return texts.mapInArrow(freeing(run), "own long, doc long, begin int, length int, runs binary").join(names, "own", "left_semi")
 
@@ -375,34 +439,39 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """(key, n_repeated, n_removed, passages array<struct<begin, end, removed, components, cuts>>): the documents that hold repeated passages.
 
     Words are counted as runs of other characters than space and 09-0D, letters compared without case of A-Z; begin and end (exclusive) count words from 0.
-    A passage is a run of repeated paragraphs of `min_words` words or more; `removed` counts its words in removals, which are its `cuts`. Only what
-    stands in several documents is a repeat. Texts without one, null and empty ones and rows with a null key aren't in the result; rows that share a key
-    are one document.
+    A passage is made of repeated paragraphs that touch or overlap and has `min_words` words or more; `removed` counts its words in removals, which are
+    its `cuts`. Only what stands in several documents is a repeat. Texts without one, null and empty ones and rows with a null key aren't in the result;
+    rows that share a key are one document.
     """
     texts = docs.where(docs[key].isNotNull()).select(docs[key].cast("long").alias("doc"), utf8(text).alias("raw")).where(F.length("raw") > 0)
     size = texts.agg(F.sum(F.length("raw").cast("long"))).first()[0] or 0
-    units, count = size // 50 + 1, bands(similar, recall)
-    found = written(_repeated(texts, int(units // FRAGMENT + 1)), "repeated")
-    members = written(_collisions(texts, int(count * units // FRAGMENT + 1), count), "collisions")
-    if members.isEmpty():
-        every = found.withColumn("component", F.col("own"))
-        extra = []
-    else:
+    count = bands(similar, recall)
+    found = written(_repeated(texts, int(size // 50 // FRAGMENT + 1)), "repeated")
+    members = written(_collisions(texts, int(count * size // 70 // FRAGMENT + 1), count), "collisions")
+    every, extra = found.withColumn("component", F.col("own")).drop("own"), []
+    if not members.isEmpty():
         named = written(_named(texts, members), "named")
         links = written(_close(members, named, similar), "close")
         groups = written(components(links), "clusters")
-        # paragraphs of clusters of several: the first of a cluster stays
-        some = named.join(groups.withColumnRenamed("node", "own"), "own").select("doc", "begin", "length", "own", "component")
-        first = some.groupBy("component").agg(F.min(F.struct("doc", "begin")).alias("first"), F.max("doc").alias("last")).where("first.doc < last").drop("last")
-        some = some.join(first, "component").select("doc", "begin", "length", "own", (F.struct("doc", "begin") != F.col("first")).alias("removed"), "component")
-        rest = found.join(groups.select(F.col("node").alias("own")), "own", "left_anti").withColumn("component", F.col("own"))
-        every = rest.select("doc", "begin", "length", "own", "removed", "component").unionByName(some)
-        extra = [links]
+        # long paragraphs of clusters that stand in several documents: the first of these keeps its own
+        some = named.join(groups.withColumnRenamed("node", "own"), "own").select("doc", "begin", "length", "component")
+        first = some.groupBy("component").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
+        some = some.join(first, "component").select("doc", "begin", "length", (F.col("doc") != F.col("first")).alias("removed"), "component")
+        every, extra = every.unionByName(some), [links]
     forget(members, *extra)
-    at = Window.partitionBy("doc").orderBy("begin")
-    runs = every.withColumn("new", F.coalesce((F.col("begin") != F.lag(F.col("begin") + F.col("length")).over(at)) & (F.col("begin") != F.lag("begin").over(at)), F.lit(True)))
-    runs = runs.withColumn("run", F.sum(F.col("new").cast("int")).over(at))
-    whole = runs.groupBy("doc", "run").agg(F.min("begin").alias("begin"), F.max(F.col("begin") + F.col("length")).alias("end"), F.sum(F.when(F.col("removed"), F.col("length")).otherwise(0)).alias("removed"), F.sort_array(F.collect_set("component")).alias("components"), F.sort_array(F.collect_list(F.when(F.col("removed"), F.struct("begin", (F.col("begin") + F.col("length")).alias("end"))))).alias("cuts"))
+    return _passages(every, key, min_words)
+
+
+def _passages(every: DataFrame, key: str, min_words: int) -> DataFrame:
+    """Repeated paragraphs, put together: runs of what touches or overlaps, and in these the runs of removals."""
+    at = Window.partitionBy("doc").orderBy("begin", "end")
+    before, upto = at.rowsBetween(Window.unboundedPreceding, -1), at.rowsBetween(Window.unboundedPreceding, 0)
+    gone = F.when(F.col("removed"), F.col("end"))
+    rows = every.withColumn("end", F.col("begin") + F.col("length"))
+    rows = rows.withColumns({"new": F.coalesce(F.col("begin") > F.max("end").over(before), F.lit(True)), "apart": F.coalesce(F.col("begin") > F.max(gone).over(before), F.lit(True)) & F.col("removed")})
+    rows = rows.withColumns({"run": F.sum(F.col("new").cast("int")).over(upto), "cut": F.sum(F.col("apart").cast("int")).over(upto)})
+    cuts = rows.groupBy("doc", "run", "cut").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.min(F.when(F.col("removed"), F.col("begin"))).alias("a"), F.max(gone).alias("z"), F.collect_set("component").alias("components"))
+    whole = cuts.groupBy("doc", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.coalesce(F.sum(F.col("z") - F.col("a")), F.lit(0)).alias("removed"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("components")))).alias("components"), F.sort_array(F.collect_list(F.when(F.col("a").isNotNull(), F.struct(F.col("a").alias("begin"), F.col("z").alias("end"))))).alias("cuts"))
     whole = whole.where(F.col("end") - F.col("begin") >= min_words)
     return whole.groupBy(F.col("doc").alias(key)).agg(F.sum(F.col("end") - F.col("begin")).cast("long").alias("n_repeated"), F.sum("removed").cast("long").alias("n_removed"), F.sort_array(F.collect_list(F.struct("begin", "end", F.col("removed").cast("int").alias("removed"), "components", "cuts"))).alias("passages"))
 

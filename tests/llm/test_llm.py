@@ -436,33 +436,6 @@ def test_passages(spark, empty):
     assert passages.repeated_passages(empty).count() == 0
 
 
-def test_close_paragraphs_are_joined(spark, monkeypatch):
-    r = random.Random(4)
-    base = words(r, 40, 100000)
-    monkeypatch.setattr(passages, "cut", lambda w, reach=4: np.zeros(min(1, len(w)), np.int64))  # whole texts as paragraphs
-    other = base[:-1] + ["other"]
-    df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(other)), (3, " ".join(base[:20] + words(r, 20, 100000)))], "doc_id long, text string")
-    pairs = passages._collisions(df.select(F.col("doc_id").alias("doc"), F.col("text").cast("binary").alias("raw")), 1, passages.bands())
-    assert pairs.count() >= 1
-    assert 1 - (1 - 0.75) ** passages.bands() >= 0.99 and passages.bands(rows=2) == 6
-
-
-def test_all_of_a_bucket_are_compared(spark, monkeypatch):
-    """The two larger hashes are alike, and neither is like the least."""
-    r = random.Random(5)
-    monkeypatch.setattr(passages, "minhashes", lambda w, begin, length, own, count, n=5: np.ones((len(begin), count), np.uint64))  # one bucket
-    monkeypatch.setattr(passages, "cut", lambda w, reach=4: np.zeros(min(1, len(w)), np.int64))
-    hashed = lambda t: int(passages.paragraphs(shingles.word_hashes([t.encode()])[0])[2][0])
-    base = words(r, 40, 100000)
-    alike = [" ".join(base), " ".join(base[:-1] + ["other"])]
-    least = next(t for t in (" ".join(words(r, 40, 100000)) for _ in range(10_000)) if hashed(t) < min(map(hashed, alike)))
-    df = spark.createDataFrame([(1, least), (2, alike[0]), (3, alike[1])], "doc_id long, text string")
-    for group in (100_000, 1):  # and in blocks
-        monkeypatch.setattr(passages, "GROUP", group, raising=False)
-        got = {x.doc_id: x.n_removed for x in passages.repeated_passages(df).collect()}
-        assert got == {2: 0, 3: 40}
-
-
 def test_links_within_buckets_are_those_of_all_pairs():
     r = random.Random(6)
     sets, bucket = [], []
