@@ -98,3 +98,13 @@ def load_version(registry: DataFrame, key: list[str]) -> DataFrame:
 
 def coverage(forecasts: DataFrame, by: list[str], expected: int) -> DataFrame:
     return forecasts.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.count("*") * 100.0 / expected, 1).alias("coverage_pct"))
+
+
+def comma_joined(column: str) -> Column:
+    """A group's distinct values as one text, in order; null for a group without any."""
+    return F.array_join(F.sort_array(F.collect_set(column)), ",")
+
+
+def comma_split(df: DataFrame, column: str, name: str) -> DataFrame:
+    """A row for each item of a comma-joined text; none for null or empty ones."""
+    return df.where(F.length(column) > 0).withColumn(name, F.explode(F.split(column, ",")))

@@ -101,6 +101,13 @@ def covariates(frames: list[DataFrame], columns: list[str], keys: list[str] = ["
     return out.withColumns({c: F.lit(0.0) for c in columns if c not in out.columns})
 
 
+def fine_tuning(target: DataFrame, known: list[DataFrame], key: str = "country_code") -> DataFrame:
+    """(item_id, ts, target, known columns): hourly targets, an hour's last, beside what was known ahead; only rows that have a target."""
+    hourly = lambda f: shape.keep_last(f.withColumn("__t", F.col("ts")).withColumn("ts", F.date_trunc("hour", "ts")), [key, "ts"], [F.col("__t")]).drop("__t")
+    rows = reduce(lambda a, b: a.join(hourly(b), [key, "ts"], "left"), known, hourly(target.where(F.col("y").isNotNull())))
+    return rows.withColumnsRenamed({key: "item_id", "y": "target"})
+
+
 def zone_mean(points: DataFrame, zones: DataFrame, by: list[str], on: list[str], value: str) -> DataFrame:
     """The mean of points by their zones' weights, over the weights of points that have a value, and how many those are."""
     w = F.when(F.col(value).isNotNull(), F.col("weight"))
@@ -130,7 +137,5 @@ def sufficient(df: DataFrame, by: list[str], least: float | Column, y: str = "y"
 
 
 def large_enough(df: DataFrame, by: list[str], rows: int) -> DataFrame:
-    """The rows of groups that have `rows` of them."""
-    from pyspark.sql.window import Window
-
-    return df.withColumn("__n", F.count("*").over(Window.partitionBy(*by))).where(F.col("__n") >= rows).drop("__n")
+    """The rows of groups that have `rows` of them; only counts are shuffled."""
+    return df.join(df.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") >= rows).select(*by), by, "left_semi")
