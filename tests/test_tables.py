@@ -28,6 +28,45 @@ def test_save_forecasts(spark, tmp_path):
         sinks.save_forecasts(t, forecasts(spark, [1.0]).drop("model_name"))
 
 
+def test_upserts_touch_only_their_partitions(spark, tmp_path):
+    t = sinks.tables(spark, str(tmp_path))["forecasts"]
+    assert t.version() == 1 and t.read().count() == 0
+    sinks.save_forecasts(t, forecasts(spark, [1.0, 2.0]).unionByName(forecasts(spark, [5.0], "solar")))
+    first = {f["path"] for f in t._folders(2)}
+    sinks.save_forecasts(t, forecasts(spark, [4.0], "solar"))
+    assert len(first) == 2 and len(first & {f["path"] for f in t._folders(3)}) == 1
+    assert sorted(r.forecast_value for r in t.read().collect()) == [1.0, 2.0, 4.0]
+    assert sorted(r.forecast_value for r in t.read(2).collect()) == [1.0, 2.0, 5.0]
+    t.keep(1)
+    assert t.versions() == [3] and t.read().count() == 3
+    with pytest.raises(ValueError, match="forecast_type"):
+        t.upsert(forecasts(spark, [1.0]), ["country_code"])
+
+
+def test_a_crash_before_the_version_is_named_leaves_the_one_before(spark, tmp_path, monkeypatch):
+    t = sinks.VersionedTable(spark, str(tmp_path / "t"), sinks.FORECASTS)
+    sinks.save_forecasts(t, forecasts(spark, [1.0]))
+    with monkeypatch.context() as m:
+        m.setattr(sinks.VersionedTable, "_commit", lambda *_: (_ for _ in ()).throw(OSError("gone")))
+        with pytest.raises(OSError):
+            sinks.save_forecasts(t, forecasts(spark, [2.0]))
+    assert t.version() == 1 and [r.forecast_value for r in t.read().collect()] == [1.0]
+    sinks.save_forecasts(t, forecasts(spark, [3.0]))
+    assert [r.forecast_value for r in t.read().collect()] == [3.0]
+    with pytest.raises(RuntimeError, match="there already"):
+        t._commit(2, [])
+
+
+def test_evaluations(spark, tmp_path):
+    t = sinks.tables(spark, str(tmp_path))["model_evaluations"]
+    row = spark.createDataFrame([("DE", "load", "v1", "2024-01-01", 2.0)], "country_code string, forecast_type string, model_version string, evaluation_date string, mae double")
+    sinks.save_evaluation(t, row)
+    sinks.save_evaluation(t, row.withColumn("mae", F.lit(1.0)))
+    assert [r.mae for r in t.read().collect()] == [1.0]
+    with pytest.raises(ValueError, match="mae"):
+        sinks.save_evaluation(t, row.drop("mae"))
+
+
 def test_exports(spark, tmp_path):
     df = spark.createDataFrame([("a", 5.0), ("b", 2000.0), ("c", None)], "k string, mape double")
     sinks.to_json(df, str(tmp_path / "j"), "mape")
