@@ -217,27 +217,38 @@ def _repeated(texts: DataFrame, fragments: int) -> DataFrame:
 
 
 def _collisions(texts: DataFrame, fragments: int, count: int) -> DataFrame:
-    """(part, bucket, own): hashes of different long paragraphs that share a MinHash, their bucket. A hot bucket comes as pairs of its blocks, so that any two members meet."""
-    arrow = pa.schema([("fragment", pa.int32()), ("marks", pa.binary()), ("owns", pa.binary())])
+    """(part, bucket, own): hashes of different long paragraphs that share a MinHash, their bucket. A hot bucket comes as pairs of its blocks, so that any two members meet.
+
+    Paragraphs of one text overlap and so share buckets too. With each goes the sum of its documents' hashes; a bucket whose members all stand in the
+    same documents, as in one text or in exact copies, has nothing to link and goes.
+    """
+    columns = ("marks", "owns", "documents")
+    arrow = pa.schema([("fragment", pa.int32()), *((c, pa.binary()) for c in columns)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in _texts(batches):
+        for names, t in _texts(batches):
             found = long_paragraphs(t)
             if not len(found.own):
                 continue
-            own, at = np.unique(found.own, return_index=True)
-            marks = minhashes(runs_of(t), Found(*(x[at] for x in found)), count) ^ np.arange(count, dtype=np.uint64) << np.uint64(60)
-            flat, owners = marks.ravel(), np.repeat(own, count)
-            yield pa.RecordBatch.from_pylist(_dealt({"marks": flat, "owns": owners}, ((flat >> np.uint64(20)) % np.uint64(fragments)).astype(np.int64)), schema=arrow)
+            order = np.lexsort((found.text, found.own))
+            own, doc = found.own[order], names.view(np.uint64)[found.text[order]]
+            new = np.concatenate([[True], own[1:] != own[:-1]])
+            once = new | np.concatenate([[True], doc[1:] != doc[:-1]])  # a document counts once
+            documents = np.add.reduceat(np.where(once, mixed(doc), np.uint64(0)), np.flatnonzero(new))
+            marks = minhashes(runs_of(t), Found(*(x[order[new]] for x in found)), count) ^ np.arange(count, dtype=np.uint64) << np.uint64(60)
+            rows = {"marks": marks.ravel(), "owns": np.repeat(own[new], count), "documents": np.repeat(documents, count)}
+            yield pa.RecordBatch.from_pylist(_dealt(rows, ((rows["marks"] >> np.uint64(20)) % np.uint64(fragments)).astype(np.int64)), schema=arrow)
 
     def pick(group: pa.Table) -> pa.Table:
         marks, own = _joined(group, "marks", np.uint64), _joined(group, "owns", np.uint64)
         order = np.lexsort((own, marks))
         marks, own = marks[order], own[order]
-        new = np.concatenate([[True], (marks[1:] != marks[:-1]) | (own[1:] != own[:-1])])
-        marks, own = marks[new], own[new]
-        size = np.diff(np.append(np.flatnonzero(np.concatenate([[True], marks[1:] != marks[:-1]])), len(marks)))
-        size = np.repeat(size, size)
+        at = np.flatnonzero(np.concatenate([[True], (marks[1:] != marks[:-1]) | (own[1:] != own[:-1])]))
+        documents = np.add.reduceat(_joined(group, "documents", np.uint64)[order], at)
+        marks, own = marks[at], own[at]
+        at = np.flatnonzero(np.concatenate([[True], marks[1:] != marks[:-1]]))
+        size = np.diff(np.append(at, len(marks)))
+        size = np.repeat(np.where(np.minimum.reduceat(documents, at) != np.maximum.reduceat(documents, at), size, 0), size)
         cool = (size > 1) & (size <= GROUP)
         buckets, owns = [marks[cool]], [own[cool]]
         hot = size > GROUP
@@ -252,7 +263,7 @@ def _collisions(texts: DataFrame, fragments: int, count: int) -> DataFrame:
         bucket = np.concatenate(buckets)
         return pa.table({"part": (bucket >> np.uint64(8)).view(np.int64) % (8 * fragments), "bucket": bucket.view(np.int64), "own": np.concatenate(owns).view(np.int64)})
 
-    dealt = texts.mapInArrow(freeing(run), "fragment int, marks binary, owns binary")
+    dealt = texts.mapInArrow(freeing(run), "fragment int, " + ", ".join(f"{c} binary" for c in columns))
     return dealt.groupBy("fragment").applyInArrow(pick, "part long, bucket long, own long")
 
 
@@ -278,7 +289,7 @@ def _held(cells: np.ndarray, own: np.ndarray) -> np.ndarray:
 
 
 def _named(texts: DataFrame, members: DataFrame) -> DataFrame:
-    """(own, doc, begin, length, runs): the long paragraphs that are in `members`, with the distinct hashes of their runs."""
+    """(own, doc, begin, length, runs): the long paragraphs that are in `members`, and some others. Of equal ones in a batch the first has the distinct hashes of its runs."""
     names = members.select("own").distinct()
     bits = max(1 << 16, 1 << (16 * names.count() - 1).bit_length())
     shared = texts.sparkSession.sparkContext.broadcast(_filter(names, bits)) if bits <= BLOOM_BITS else None
@@ -292,10 +303,12 @@ def _named(texts: DataFrame, members: DataFrame) -> DataFrame:
                 continue
             found = Found(*(x[keep] for x in found))
             h = runs_of(t)
-            sets = [_packed(np.unique(h[a:z])) for a, z in zip(found.place.tolist(), (found.place + found.length - N + 1).tolist(), strict=True)]
+            first = np.zeros(len(found.own), bool)
+            first[np.unique(found.own, return_index=True)[1]] = True
+            sets = [_packed(np.unique(h[a:z])) if f else None for a, z, f in zip(found.place.tolist(), (found.place + found.length - N + 1).tolist(), first.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(found.own.view(np.int64)), pa.array(docs[found.text]), pa.array((found.place - t.first[found.text]).astype(np.int32)), pa.array(found.length.astype(np.int32)), pa.array(sets, pa.binary())], schema=arrow)
 
-    return texts.mapInArrow(freeing(run), "own long, doc long, begin int, length int, runs binary").join(names, "own", "left_semi")
+    return texts.mapInArrow(freeing(run), "own long, doc long, begin int, length int, runs binary")
 
 
 def needed(n, m, similar: int):
@@ -424,7 +437,7 @@ def links_within(bucket: np.ndarray, own: np.ndarray, size: np.ndarray, every: n
 
 def _close(members: DataFrame, named: DataFrame, similar: int) -> DataFrame:
     """(a, b): paragraphs of a bucket whose exact Jaccard similarity reaches the threshold."""
-    sets = named.groupBy("own").agg(F.first("runs").alias("runs"))  # equal for equal hashes
+    sets = named.where("runs is not null").groupBy("own").agg(F.first("runs").alias("runs"))  # equal for equal hashes
 
     def check(group: pa.Table) -> pa.Table:
         bucket, own = (group.column(c).to_numpy().view(np.uint64) for c in ("bucket", "own"))
