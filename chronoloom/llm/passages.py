@@ -26,7 +26,7 @@ from .shingles import BASE, SPACE, _powers, mixed, word_hashes
 
 REACH, MIN_WORDS, SIMILAR, N = 4, 25, 75, 5
 #: Long paragraphs. Two of a text begin more than SPREAD words apart, too far to be similar to each other.
-WINDOW, SPREAD = 40, 5
+WINDOW, SPREAD = 40, 7
 #: Texts of at least so many words, but fewer than WINDOW, are one long paragraph.
 SHORT = 20
 #: Paragraphs that a fragment's task holds, and members in one block of a bucket.
@@ -217,7 +217,7 @@ def _repeated(texts: DataFrame, fragments: int) -> DataFrame:
 
 
 def _collisions(texts: DataFrame, fragments: int, count: int) -> DataFrame:
-    """(part, bucket, own): hashes of different long paragraphs that share a MinHash, their bucket. A hot bucket comes as pairs of its blocks, so that any two members meet.
+    """(part, bucket, own): hashes of different long paragraphs that share a MinHash. Their bucket is named by its members, so that equal ones of several bands are one. A hot bucket comes as pairs of its blocks, so that any two members meet.
 
     Paragraphs of one text overlap and so share buckets too. With each goes the sum of its documents' hashes; a bucket whose members all stand in the
     same documents, as in one text or in exact copies, has nothing to link and goes.
@@ -248,9 +248,10 @@ def _collisions(texts: DataFrame, fragments: int, count: int) -> DataFrame:
         marks, own = marks[at], own[at]
         at = np.flatnonzero(np.concatenate([[True], marks[1:] != marks[:-1]]))
         size = np.diff(np.append(at, len(marks)))
+        bucket = np.repeat(mixed(np.add.reduceat(mixed(own), at) + size.astype(np.uint64)), size)
         size = np.repeat(np.where(np.minimum.reduceat(documents, at) != np.maximum.reduceat(documents, at), size, 0), size)
         cool = (size > 1) & (size <= GROUP)
-        buckets, owns = [marks[cool]], [own[cool]]
+        buckets, owns = [bucket[cool]], [own[cool]]
         hot = size > GROUP
         for mark in np.unique(marks[hot]):
             members = own[marks == mark]
@@ -264,7 +265,7 @@ def _collisions(texts: DataFrame, fragments: int, count: int) -> DataFrame:
         return pa.table({"part": (bucket >> np.uint64(8)).view(np.int64) % (8 * fragments), "bucket": bucket.view(np.int64), "own": np.concatenate(owns).view(np.int64)})
 
     dealt = texts.mapInArrow(freeing(run), "fragment int, " + ", ".join(f"{c} binary" for c in columns))
-    return dealt.groupBy("fragment").applyInArrow(pick, "part long, bucket long, own long")
+    return dealt.groupBy("fragment").applyInArrow(pick, "part long, bucket long, own long").distinct()
 
 
 #: Bits in one row of a filter.
