@@ -1,9 +1,10 @@
-"""Toxicity: a support vector machine on a gap-weighted subsequence kernel with Nystroem landmarks, trained on labelled texts.
+"""Toxicity: a support vector machine on a gap-weighted subsequence kernel with Nystroem landmarks, trained on labelled sentences.
 
 The kernel of two words sums, over all triples of letters that both have in this order, a weight that decays with the letters the triple spans, so
-words with inserted letters stay close to their originals (Lodhi et al. 2002). Landmarks are words; in their feature space a linear machine with squared
-hinge loss is fitted. A text's margin is that of its most toxic word; a logistic curve turns it into a score. Words written with dots, blanks or other signs between
-their letters are also read without them.
+words with inserted letters stay close to their originals (Lodhi et al. 2002). A sentence's kernel with a landmark is that of its closest word; in the
+landmarks' feature space a linear machine with squared hinge loss is fitted to sentences. Labels mark texts: sentences of clean ones are negative, and of
+a toxic one those that the machine itself takes for the worst (multiple-instance learning; Andrews et al. 2002). A text's margin is that of its worst
+sentence; a logistic curve turns it into a score. Words written with dots, blanks or other signs between their letters are also read without them.
 """
 
 from __future__ import annotations
@@ -24,45 +25,73 @@ from pyspark.sql import functions as F
 
 from .common import forget, freeing, written
 
-DECAY = 0.6
+#: Weight lost for each letter that a triple spans, and the most letters that one may span.
+DECAY, SPAN = 0.6, 7
 #: Longer words are cut into windows of LONG letters, STEP apart, which hold every word of up to LONG - STEP letters whole.
 LONG, STEP = 24, 12
-#: Labelled rows to fit on (a bound; fewer if there are fewer), candidates that come to the driver, landmarks, words kept by a worker.
-SAMPLE_ROWS, CANDIDATES, NEGATIVES, HARD, LANDMARKS, KEPT = 4000, 3000, 4000, 1000, 96, 200_000
+#: Labelled rows to fit on (a bound; fewer if there are fewer) and the sentences of each that are looked at in a round; words among which landmarks are
+#: chosen; landmarks; words kept by a worker.
+SAMPLE_ROWS, SENTENCES, CANDIDATES, LANDMARKS, KEPT = 4000, 6, 3000, 96, 100_000
 ROUNDS = 3
+#: Sentences of more words come as windows of so many, half as far apart.
+WORDS = 24
+#: A toxic text whose worst sentence has a lower margin than this shows nothing that others show; it isn't learned from.
+UNSEEN = -0.7
 #: Triples of an alphabet that are tabled whole.
 DENSE = 1 << 20
 #: Words less like any clean one than this are also learned with a letter inserted.
 APART = 0.4
 
 WORD = re.compile(r"[^\W_]+")
+SIGNS = ".,;:!?\"'()[]{}*#$%&_-"
 #: Single letters with blanks between.
 SPACED = re.compile(r"(?<!\S)[^\W_](?:\s[^\W_])+(?!\S)")
 
 
-def words_of(text: str) -> set[str]:
-    """The distinct words of a text, in lower case, long ones as windows; those with signs or blanks between their letters joined as well."""
+#: Where sentences end.
+END = re.compile(r"(?<=[.!?;])\s+|\n+")
+
+
+def _tokens(sentence: str) -> list[str]:
+    """The words of a sentence in lower case: of a token with signs in it its parts and these joined, long words as windows."""
+    out: list[str] = []
+    for token in sentence.split():
+        if token.isalnum() or (token := token.strip(SIGNS)).isalnum():
+            out.append(token)
+        elif parts := WORD.findall(token):
+            out += parts
+            if len(parts) > 1:
+                out.append("".join(parts))
+    if out and max(map(len, out)) > LONG:
+        out = [x for w in out for x in ([w] if len(w) <= LONG else [w[k : k + LONG] for k in range(0, len(w) - STEP, STEP)])]
+    return out
+
+
+def sentences_of(text: str) -> list[list[str]]:
+    """The words of each sentence; of letters with blanks between also what they spell. Long sentences are windows of WORDS words, half as far apart."""
+    out = []
     text = text.lower()
-    out = set()
-    for token in set(text.split()):
-        if token.isalnum():
-            out.add(token)
+    spaced = SPACED.search(text) is not None
+    for sentence in END.split(text):
+        words = _tokens(sentence)
+        if spaced:
+            words += ["".join(x.split()) for x in SPACED.findall(sentence)]
+        if len(words) <= WORDS:
+            if words:
+                out.append(words)
         else:
-            parts = WORD.findall(token)
-            out.update(parts)
-            if len(parts) > 1:
-                out.add("".join(parts))
-    out.update("".join(x.split()) for x in SPACED.findall(text))
-    if long := [w for w in out if len(w) > LONG]:
-        out.difference_update(long)
-        out.update(w[k : k + LONG] for w in long for k in range(0, len(w) - STEP, STEP))
+            out += [words[k : k + WORDS] for k in range(0, len(words) - WORDS // 2, WORDS // 2)]
     return out
 
 
+def words_of(text: str) -> set[str]:
+    return {w for s in sentences_of(text) for w in s}
+
+
 @lru_cache(maxsize=None)
 def _triples(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
-    """Positions of all triples in n letters, their weights, and the scale that gives a word without repeated triples length 1."""
-    t = np.array(list(combinations(range(n), 3)), np.int64).reshape(-1, 3)
+    """Positions of all triples in n letters that span SPAN at most, their weights, and the scale that gives a word without repeated triples length 1."""
+    t = np.array([x for x in combinations(range(n), 3) if x[2] - x[0] < SPAN], np.int64).reshape(-1, 3)
     w = DECAY ** (t[:, 2] - t[:, 0] + 1.0)
     return t[:, 0], t[:, 1], t[:, 2], w.astype(np.float32), float(np.sqrt((w**2).sum())) or 1.0
 
@@ -107,8 +136,8 @@ class Machine:
     slope: float = 0.0
     shift: float = -math.inf
 
-    def margins(self, words: list[str]) -> np.ndarray:
-        return kernel(words, self.letters, self.triples) @ self.weights + np.float32(self.intercept)
+    def features(self, words: list[str]) -> np.ndarray:
+        return kernel(words, self.letters, self.triples)
 
     def score(self, margin: float) -> float:
         if self.shift == -math.inf:
@@ -120,7 +149,7 @@ def _coded(x: np.ndarray, letters: str) -> np.ndarray:
     """Places of characters in the sorted alphabet, from 1; 0 for others."""
     points = np.array([ord(c) for c in letters] or [0], np.uint32)
     found = np.minimum(np.searchsorted(points, x), len(points) - 1)
-    return np.where(points[found] == x, found + 1, 0) if letters else np.zeros(x.shape, np.int64)
+    return np.where(points[found] == x, found + 1, 0).astype(np.int32 if len(points) < 1000 else np.int64) if letters else np.zeros(x.shape, np.int64)
 
 
 def tabled(marks: list[str], letters: str) -> Triples:
@@ -151,13 +180,16 @@ def kernel(words: list[str], letters: str, triples: Triples) -> np.ndarray:
         c = _coded(x, letters)
         i, j, k, w, scale = _triples(x.shape[1])
         step = max(1, 20_000 // len(i))
+        weight = (w / scale).astype(np.float32)
         for lo in range(0, len(at), step):
             y = c[lo : lo + step]
             f = triples.at((y[:, i] * a + y[:, j]) * a + y[:, k])
             row, column = np.nonzero(f)
             if len(row):
                 begins = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                out[np.array(at[lo : lo + step])[row[begins]]] = np.add.reduceat(triples.rows[f[row, column]] * (w / scale)[column, None], begins)
+                held = triples.rows[f[row, column]]
+                held *= weight[column, None]
+                out[np.array(at[lo : lo + step])[row[begins]]] = np.add.reduceat(held, begins)
     return (out + out**4) / 2
 
 
@@ -179,13 +211,12 @@ def _hinge(z: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 20.0)
 
 def _spread(words: list[str], most: int, letters: str) -> list[str]:
     """Up to `most` words: the first, and then always the one that is least like those taken."""
-    words = words[:400]
-    alike = kernel(words, letters, tabled(words, letters))
     taken = [0]
+    alike = kernel(words, letters, tabled(words[:1], letters))[:, 0]
     while len(taken) < min(most, len(words)):
-        near = alike[:, taken].max(1)
-        near[taken] = np.inf
-        taken.append(int(near.argmin()))
+        alike[taken] = np.inf
+        taken.append(int(alike.argmin()))
+        alike = np.maximum(alike, kernel(words, letters, tabled([words[taken[-1]]], letters))[:, 0])
     return [words[k] for k in taken]
 
 
@@ -194,22 +225,41 @@ def inserted(word: str) -> list[str]:
     return [word[:k] + c + word[k:] for k in range(1, len(word)) for c in ("0", word[k - 1])] if len(word) >= 4 else []
 
 
-def fit_words(positive: list[str], negative: list[str], landmarks: int = LANDMARKS) -> Machine:
-    """The machine that tells positive from negative words: half the landmarks are positive words, half the negative words closest to them."""
-    letters = "".join(sorted({c for w in positive for c in w}))
-    marks = _spread(positive, landmarks // 2, letters)
-    close = np.argsort(-kernel(negative, letters, tabled(marks, letters)).max(1), kind="stable")[: 4 * landmarks]
-    marks += _spread([negative[k] for k in close], landmarks // 2, letters)
-    apart = [w for w, near in zip(positive, kernel(positive, letters, tabled([negative[k] for k in close], letters)).max(1), strict=True) if near < APART]
-    known = set(negative)
-    changed = [w for w in dict.fromkeys(chain.from_iterable(map(inserted, apart))) if w not in known]
+def machine_of(marks: list[str], letters: str) -> tuple[Machine, np.ndarray]:
+    """A machine without weights over landmarks, and the map from kernels to its feature space."""
     triples = tabled(marks, letters)
     values, vectors = np.linalg.eigh(kernel(marks, letters, triples) + 1e-4 * np.eye(len(marks)))
-    root = vectors / np.sqrt(np.maximum(values, 1e-4))
-    z = kernel(positive + changed + negative, letters, triples) @ root
-    n = len(positive), len(changed), len(negative)
-    w, b = _hinge(z, np.repeat([1.0, 1.0, -1.0], n), np.repeat([10.0, 0.5, 1.0], n))
-    return Machine(letters, triples, (root @ w).astype(np.float32), b)
+    return Machine(letters, triples), vectors / np.sqrt(np.maximum(values, 1e-4))
+
+
+def fit_sentences(machine: Machine, root: np.ndarray, x: np.ndarray, docs: np.ndarray, toxic: np.ndarray, worst: np.ndarray, changed: np.ndarray) -> Machine:
+    """Weights from sentences: their kernels x, the text of each, its label, and how toxic each sentence seems so far.
+
+    Of each toxic text the worst sentence is positive, and so is any that the machine then takes for toxic; the other ones aren't used. `changed` are
+    kernels of insults with an inserted letter; each is put into a clean sentence."""
+    z, clean = x @ root, np.flatnonzero(toxic == 0)
+    more = np.maximum(changed, x[clean[np.arange(len(changed)) % len(clean)]]) @ root if len(changed) and len(clean) else np.zeros((0, z.shape[1]))
+    seen = worst.astype(float)
+    for step in range(6):
+        order = np.lexsort((-seen, docs))
+        first = order[np.concatenate([[True], docs[order][1:] != docs[order][:-1]])]
+        positive = np.zeros(len(z), bool)
+        positive[first] = True
+        positive &= toxic > 0
+        if step:
+            positive = (toxic > 0) & (positive & (seen > UNSEEN) | (seen > 0))
+        if not positive.any():
+            break
+        rows = np.concatenate([z[positive], more, z[clean]])
+        n = int(positive.sum()), len(more), len(clean)
+        w, b = _hinge(rows, np.repeat([1.0, 1.0, -1.0], n), np.repeat([2.0, 2.0 * min(1.0, n[0] / max(1, n[1])) * 0.25, 1.0], n))
+        new = z @ w + b
+        done = np.abs(new - seen).max() < 1e-6
+        seen = new
+        machine.weights, machine.intercept = (root @ w).astype(np.float32), b
+        if done:
+            break
+    return machine
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -285,9 +335,10 @@ def _threshold(sizes: list, rate: float) -> int:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS) -> Machine:
     """Fit on a sample of at most `rows` labelled rows that aren't held out, near copies left out. Without a toxic one, the machine scores 0 everywhere.
 
-    Words and stems that only toxic texts have, and more of them than chance explains, are insults; words that begin with such a stem are as well. Word
-    statistics are made by Spark; to the driver come at most CANDIDATES words, as many stems, NEGATIVES + ROUNDS * HARD other words and one margin for
-    each sampled row.
+    Landmarks are chosen among the words and stems that only toxic texts have, more of them than chance explains (up to 2 * CANDIDATES of these and
+    CANDIDATES words that begin with such a stem, the most frequent first), and the 4 * LANDMARKS words of clean texts closest to them. The machine is
+    then trained on sentences, in ROUNDS: in each, every sampled text's SENTENCES sentences that the machine takes for the worst come to the driver as
+    rows of LANDMARKS numbers. Statistics of words, kernels and margins are made by Spark.
     """
     drawn = written(sample(docs, labels, key, text, label, rows), "drawn")  # cut here, or the planner moves the removal of copies below the draw, onto all texts
     chosen = written(_unlike(drawn), "sample")
@@ -303,29 +354,93 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     for n in (4, 5, 6):
         begins |= F.substring("word", 1, n).isin([x for x in stems if len(x) == n])
     positive = list(dict.fromkeys([r.word for r in units if not r.stem] + [r.word for r in stats.where("not stem and good = 0").where(begins).orderBy(F.desc("bad"), "word").limit(CANDIDATES).collect()]))
-    clean = stats.where("not stem and good > 0")
-    negative = [r.word for r in clean.orderBy(F.xxhash64("word")).limit(NEGATIVES).collect()]
-    if not positive or not negative:
+    if not positive:
         forget(chosen, stats)
         return Machine()
-    machine = fit_words(positive, negative)
-    for _ in range(ROUNDS):  # the words of clean texts that come closest join the negative ones
-        margin = _margin_udf(machine)
-        hard = clean.select("word", margin("word").alias("m")).orderBy(F.desc("m"), "word").limit(HARD).collect()
-        negative = list(dict.fromkeys(negative + [r.word for r in hard]))
-        machine = fit_words(positive, negative)
+    # landmarks of both classes: insults, spread out, and the words of clean texts that come closest to these, spread out as well
+    letters = "".join(sorted({c for w in [*positive, *stems] for c in w}))
+    marks = _spread(list(dict.fromkeys(r.word for r in units)), LANDMARKS // 2, letters)
+    nearest = _nearest(tabled(marks, letters), letters)
+    close = [r.word for r in stats.where("not stem and good > 0").select("word", nearest("word").alias("near")).orderBy(F.desc("near"), "word").limit(4 * LANDMARKS).collect()]
+    other = _spread(close, LANDMARKS // 2, letters) if close else []
+    machine, root = machine_of(marks + other, letters)
+    near = kernel(positive, letters, tabled(close, letters)).max(1) if close else np.zeros(len(positive))
+    known = set(close)
+    changed = machine.features([w for w in dict.fromkeys(chain.from_iterable(inserted(w) for w, k in zip(positive, near, strict=True) if k < APART)) if w not in known])
+    rank = np.zeros(len(marks) + len(other), np.float32)
+    rank[: len(marks)] = 1  # the first round takes the sentences closest to an insult
+    seen: dict[tuple[int, int], tuple[int, np.ndarray, float]] = {}
+    for k in range(ROUNDS):
+        for r in _worst_sentences(chosen, machine, rank if not k else None).collect():
+            seen[r.doc, r.place] = (r.toxic, np.frombuffer(r.x, np.float32), r.margin)
+        keys = list(seen)
+        x = np.stack([seen[i][1] for i in keys]).astype(np.float64)
+        worst = np.array([seen[i][2] for i in keys]) if not k else x @ machine.weights + machine.intercept
+        machine = fit_sentences(machine, root, x, np.array([i[0] for i in keys]), np.array([seen[i][0] for i in keys]), worst, changed)
     margins = scored(chosen, machine, "doc", "text", keep=("toxic",)).select("margin", "toxic").collect()
     machine.slope, machine.shift = _logistic(np.array([r.margin for r in margins], float), np.array([r.toxic for r in margins], float))
     forget(chosen, stats)
     return machine
 
 
-def _margin_udf(machine: Machine):
+def _nearest(triples: Triples, letters: str):
+    """The kernel of a word with the closest of some landmarks, as a column."""
+
     @F.pandas_udf("double")
-    def margin(words):
-        return words.__class__(machine.margins(words.tolist()).astype(float))
+    def near(words):
+        return words.__class__(kernel(words.tolist(), letters, triples).max(1).astype(float))
+
+    return near
+
+
+class Reader:
+    """Kernels of words, kept for at most KEPT of them, and from these those of sentences."""
+
+    def __init__(self, machine: Machine) -> None:
+        self.machine, self.known = machine, {}
+        self.rows = np.zeros((1 << 10, machine.triples.rows.shape[1]), np.float32)
+
+    def _places(self, words: set[str]) -> None:
+        if len(self.known) + len(words) > KEPT:
+            self.known = {}
+        if missing := [w for w in words if w not in self.known]:
+            n = len(self.known)
+            if n + len(missing) > len(self.rows):
+                self.rows = np.resize(self.rows, (max(n + len(missing), min(2 * len(self.rows), KEPT)), self.rows.shape[1]))
+            self.rows[n : n + len(missing)] = self.machine.features(missing)
+            self.known.update(zip(missing, range(n, n + len(missing)), strict=True))
+
+    def kernels(self, sentences: list[list[str]]) -> Iterator[np.ndarray]:
+        """Of each sentence with each landmark that of its closest word, about 20,000 words at a time."""
+        at = 0
+        while at < len(sentences):
+            end, n = at, 0
+            while end < len(sentences) and (n == 0 or n + len(sentences[end]) <= 20_000):
+                n += len(sentences[end])
+                end += 1
+            part = sentences[at:end]
+            self._places(set().union(*part))
+            rows = self.rows[np.fromiter(map(self.known.__getitem__, chain.from_iterable(part)), np.int64, n)]
+            yield np.maximum.reduceat(rows, np.cumsum([0, *map(len, part)])[:-1], axis=0)
+            at = end
+
+
+def _worst_sentences(rows: DataFrame, machine: Machine, rank: np.ndarray | None, most: int = SENTENCES) -> DataFrame:
+    """(doc, toxic, place, margin, x): the kernels of each text's `most` sentences of the highest margin, or, with `rank`, of the highest kernel with a ranked landmark."""
+    arrow = pa.schema([("doc", pa.int64()), ("toxic", pa.int32()), ("place", pa.int32()), ("margin", pa.float64()), ("x", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(machine)
+        for batch in batches:
+            for doc, toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if not (sentences := sentences_of(text.as_py())):
+                    continue
+                x = np.concatenate(list(reader.kernels(sentences)))
+                margin = (x * rank).max(1) if rank is not None else x @ machine.weights + np.float32(machine.intercept)
+                top = np.argsort(-margin, kind="stable")[:most]
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(top), pa.int64()), pa.array([toxic] * len(top), pa.int32()), pa.array(top.astype(np.int32)), pa.array(margin[top].astype(float)), pa.array([x[k].tobytes() for k in top], pa.binary())], schema=arrow)
 
-    return margin
+    return rows.select("doc", "toxic", "text").mapInArrow(freeing(run), "doc long, toxic int, place int, margin double, x binary")
 
 
 def scored(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -336,18 +451,17 @@ def scored(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "
     whole = text in keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
+        reader = Reader(machine)
         for batch in batches:
-            margins = []
-            for at in range(0, batch.num_rows, 128):
-                sets = [words_of(t.as_py() or "") for t in batch.column(0).slice(at, 128)]
-                every = set().union(*sets)
-                if len(known) > KEPT:
-                    known.clear()
-                if missing := [w for w in every if w not in known]:
-                    known.update(zip(missing, machine.margins(missing).tolist(), strict=True))
-                margins += [max(map(known.__getitem__, s), default=machine.intercept) for s in sets]
-            scores = [machine.score(m) for m in margins]
+            margins = np.full(batch.num_rows, machine.intercept)
+            for at in range(0, batch.num_rows, 64):
+                parts = [sentences_of(t.as_py() or "") for t in batch.column(0).slice(at, 64)]
+                if every := list(chain.from_iterable(parts)):
+                    each = np.concatenate([x @ machine.weights for x in reader.kernels(every)]) + np.float32(machine.intercept)
+                    size = np.array([len(p) for p in parts])
+                    begins = (np.cumsum(size) - size)[size > 0]
+                    margins[at + np.flatnonzero(size)] = np.maximum.reduceat(each, begins)
+            scores = [machine.score(m) for m in margins.tolist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *batch.columns[:whole], pa.array(margins, pa.float64()), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], [*batch.schema.names[1:], *[text][:whole], "margin", "score", "predicted"])
 
     kept = rows.select(*rows.columns[1:], *([F.col("__text").alias(text)] if whole else []))

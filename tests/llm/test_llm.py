@@ -494,14 +494,56 @@ def test_toxicity(spark):
     assert [x.score for x in none] == [0.0] * 10
 
 
-def test_insults_in_a_second_script():
-    """More letters than any one script has; the highest code points count as well."""
+def test_insults_in_a_second_script_and_odd_rows(spark):
+    """More letters than any one script has; the highest code points count as well. Copies of a text, long words and sentences without an end."""
     r = random.Random(12)
-    bad = ["abcdefghijklm", "nopqrstuvwxyz", "αβγδεζηθικλμ", "νξοπρστυφχψω", "гадюкашь", "\U00010428\U00010429\U0001042a\U0001042b\U0001042c"]
-    clean = ["".join(r.choice(x) for _ in range(6)) for x in ("aeioubkmt", "αειοτσκ", "оеинтск") for _ in range(60)]
-    machine = toxicity.fit_words(bad, clean)
-    assert (machine.margins(bad) > 0).all() and (machine.margins(clean) < 0).all()
-    assert (machine.margins(["гадюкаашь", "neutral", "ничего"]) > 0).tolist() == [True, False, False]
+    scripts = ("aeioubkmt", "αειοτσκ", "оеинтск")
+    clean = ["".join(r.choice(x) for _ in range(r.randrange(4, 8))) for x in scripts for _ in range(150)]
+    bad = ["wexlingzodp", "νξοπρστυφχψω", "гадюкашь"]
+    rows = []
+    for k in range(600):
+        w = [r.choice(clean) for _ in range(30)]
+        if k % 3 == 0:
+            w[r.randrange(30)] = bad[k // 3 % 3]
+        w[14] += "."
+        rows.append((k, " ".join(w)))
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    more = {1000: "гадюкаашь", 1001: "neutral ничего", 1002: "what a гадюк0ашь", 1003: " ".join(r.choice(clean) for _ in range(3000)), 1004: " ".join([r.choice(clean) for _ in range(3000)] + ["wexlingzodp"]), 1005: "taktak" * 500, 1006: "?!"}
+    df = spark.createDataFrame([*rows, *more.items(), (1000, more[1000]), (None, "гадюкашь")], "doc_id long, text string")
+    got = {x.doc_id: x.predicted for x in toxicity.toxicity(df, labels).collect()}
+    assert df.count() == len(rows) + len(more) + 2
+    held = [got[k] == (k % 3 == 0) for k, _ in rows if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert sum(held) >= 0.97 * len(held)
+    assert [got[k] for k in sorted(more)] == [1, 0, 1, 0, 1, 0, 0] and got[None] == 1
+
+
+def test_sentences():
+    assert toxicity.sentences_of("One two. Three-four\nFIVE! d o t") == [["one", "two"], ["three", "four", "threefour"], ["five"], ["d", "o", "t", "dot"]]
+    long = toxicity.sentences_of(" ".join(f"w{k}" for k in range(100)))
+    assert all(len(x) <= toxicity.WORDS for x in long) and {w for x in long for w in x} == {f"w{k}" for k in range(100)}
+    assert toxicity.sentences_of("") == [] and toxicity.sentences_of(" .. \n") == []
+
+
+def test_spaced_kernel_is_that_of_all_triples():
+    """Against the definition: all triples of letters that span SPAN at most, weighted by their span in both words."""
+    def brute(x, y):
+        def weights(w):
+            out = Counter()
+            for i in range(len(w)):
+                for j in range(i + 1, len(w)):
+                    for k in range(j + 1, len(w)):
+                        if k - i < toxicity.SPAN:
+                            out[w[i] + w[j] + w[k]] += toxicity.DECAY ** (k - i + 1)
+            n = len(w)
+            scale = sum(toxicity.DECAY ** (2 * (k - i + 1)) for i in range(n) for j in range(i + 1, n) for k in range(j + 1, n) if k - i < toxicity.SPAN) ** 0.5 or 1.0
+            return {t: v / scale for t, v in out.items()}
+        a, b = weights(x), weights(y)
+        v = sum(a[t] * b[t] for t in a if t in b)
+        return (v + v**4) / 2
+
+    marks, every = ["idiot", "worthless"], ["idiot", "idi0ot", "w0r0thless", "clean", "xx"]
+    got = toxicity.kernel(every, "".join(sorted(set("".join(marks)))), toxicity.tabled(marks, "".join(sorted(set("".join(marks))))))
+    assert np.allclose(got, [[brute(x, m) for m in marks] for x in every], atol=1e-5)
 
 
 def test_sorted_triples_count_as_tabled_ones(monkeypatch):
