@@ -83,27 +83,38 @@ def utf8(column: str = "text") -> F.Column:
 
 
 #: Edges that one task may join; beyond this many the rounds of `_stars` do it.
-FEW = 1 << 20
+FEW = 4 << 20
+
+
+def forest(x: np.ndarray, y: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Join the components of nodes 0 to n - 1 by edges (x, y): `label`, the least node of each one's component so far, is brought up to date. Returns the
+    places of the edges that were needed, a spanning forest of what was apart."""
+    used: list[np.ndarray] = []
+    while True:
+        a, b = label[x], label[y]
+        apart = np.flatnonzero(a != b)
+        if not len(apart):
+            return np.concatenate(used) if used else apart
+        # each component but the least takes one edge to a lesser one
+        high, first = np.unique(np.maximum(a[apart], b[apart]), return_index=True)
+        took = apart[first]
+        label[high] = np.minimum(a[took], b[took])
+        used.append(took)
+        while not np.array_equal(low := label[label], label):
+            label[:] = low
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A partition's edges as stars: (node, least node it is connected to here)."""
-    top: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := top.setdefault(x, x)) != x:
-            top[x] = x = top[up]
-        return x
-
-    for b in batches:
-        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            u, v = find(u), find(v)
-            if u != v:
-                top[max(u, v)] = min(u, v)
-    nodes = sorted(top)
-    for at in range(0, len(nodes), 1 << 16):
-        part = nodes[at : at + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], ["node", "component"])
+    parts = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches]
+    if not parts:
+        return
+    nodes, at = np.unique(np.concatenate(parts, 1), return_inverse=True)
+    at = at.reshape(2, -1)
+    label = np.arange(len(nodes))
+    forest(at[0], at[1], label)
+    for k in range(0, len(nodes), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[k : k + (1 << 16)]), pa.array(nodes[label[k : k + (1 << 16)]])], ["node", "component"])
 
 
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, forget, freeing, parts_of, utf8, written
+from .common import components, forest, forget, freeing, parts_of, utf8, written
 from .shingles import BASE, SPACE, _powers, mixed, word_hashes
 
 REACH, MIN_WORDS, SIMILAR, N = 4, 25, 75, 5
@@ -385,7 +385,6 @@ def links_within(bucket: np.ndarray, own: np.ndarray, size: np.ndarray, every: n
     label = np.arange(len(own))
 
     def flush() -> None:
-        nonlocal label
         if waiting:
             x, y = (np.concatenate(w) for w in zip(*waiting, strict=True))
             waiting.clear()
@@ -395,14 +394,9 @@ def links_within(bucket: np.ndarray, own: np.ndarray, size: np.ndarray, every: n
             both = _overlap(x, y, at, size, every)
             good = 100 * both >= similar * (size[x] + size[y] - both)
             x, y = x[good], y[good]
-            a.append(own[x])
-            b.append(own[y])
-            while (label[x] != label[y]).any():
-                low = np.minimum(label[x], label[y])
-                np.minimum.at(label, label[x], low)
-                np.minimum.at(label, label[y], low)
-                while (label != label[label]).any():
-                    label = label[label]
+            needed_ones = forest(x, y, label)
+            a.append(own[x[needed_ones]])
+            b.append(own[y[needed_ones]])
 
     def compare(x: np.ndarray, y: np.ndarray) -> None:
         waiting.append((x, y))
