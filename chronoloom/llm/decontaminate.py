@@ -7,7 +7,6 @@ long, so only such runs are looked up, and a hit is a match of all its words, no
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -16,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freeing, utf8
+from .common import forget, freeing, utf8, written
 
 N = 10
 #: Words are runs of these bytes of the UTF-8: digits, letters, and all of any character beyond ASCII. A-Z become lower case.
 WORDS = bytes(ord(" ") if b < 0x30 or 0x39 < b < 0x41 or 0x5A < b < 0x61 or 0x7A < b < 0x80 else b + 32 * (0x41 <= b <= 0x5A) for b in range(256))
 #: Bytes of benchmark text that one broadcast set may be made of; more items make more sets, each with a pass of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 
 
 def words_of(raw: bytes) -> list[bytes]:
@@ -34,28 +33,50 @@ def split_words(raw: bytes) -> list[bytes]:
 
 
 class Windows:
-    """Windows of benchmark items, by their length: packed word numbers to the items that hold them."""
+    """Windows of benchmark items, by their length: sorted hashes of their word numbers, and where in `flat`, the items' words one after the other, each one is."""
 
     def __init__(self, items: list[tuple[str, bytes]], n: int = N) -> None:
         self.vocabulary: dict[bytes, int] = {}
-        self.sets: dict[int, dict[bytes, set[str]]] = defaultdict(lambda: defaultdict(set))
-        for item, raw in items:
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in split_words(raw)], np.int32)
-            size = min(n, len(ids))
-            for k in range(len(ids) - size + 1 if size else 0):
-                self.sets[size][ids[k : k + size].tobytes()].add(item)
-        self.sets = {k: dict(v) for k, v in self.sets.items()}
+        self.names = [item for item, _ in items]
+        number = self.vocabulary.setdefault
+        words = [np.array([number(w, len(self.vocabulary) + 1) for w in split_words(raw)], np.int32) for _, raw in items]
+        self.flat = np.concatenate([np.zeros(0, np.int32), *words])
+        size = np.array([len(w) for w in words], np.int64)
+        first = np.cumsum(size) - size
+        self.sets: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for width in np.unique(np.minimum(size[size > 0], n)).tolist():
+            mine = np.flatnonzero(np.minimum(size, n) == width)
+            counts = size[mine] - width + 1
+            at = np.repeat(first[mine] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            h = self._hashes(self.flat, at, width)
+            order = np.argsort(h, kind="stable")
+            self.sets[width] = h[order], at[order], np.repeat(mine, counts)[order]
+
+    @staticmethod
+    def _hashes(ids: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+        h = np.zeros(len(at), np.uint64)
+        for k in range(width):
+            h = (h ^ ids[at + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return h
 
     def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
-        """Which words lie in a window's occurrence, and the items whose windows occur."""
+        """Which words lie in a window's occurrence, and the items whose windows occur. A hash only proposes a window; its words decide."""
         ids = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int32, len(words))
         hit, items = np.zeros(len(words), bool), set()
         sums = np.concatenate([[0], np.cumsum(ids > 0)])
-        for size, table in self.sets.items():
-            for at in np.flatnonzero(sums[size:] - sums[:-size] == size):
-                if (found := table.get(ids[at : at + size].tobytes())) is not None:
-                    hit[at : at + size] = True
-                    items |= found
+        for width, (hashes, places, owners) in self.sets.items():
+            at = np.flatnonzero(sums[width:] - sums[:-width] == width)
+            if not len(at):
+                continue
+            h = self._hashes(ids, at, width)
+            low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            for a, lo, hi in zip(*(x[low < high].tolist() for x in (at, low, high)), strict=True):
+                steps = np.arange(width)
+                same = (self.flat[places[lo:hi, None] + steps] == ids[a : a + width]).all(1)
+                if same.any():
+                    hit[a : a + width] = True
+                    items.update(self.names[k] for k in owners[lo:hi][same].tolist())
         return hit, items
 
 
@@ -84,11 +105,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     byte to its last word's last.
 
     The benchmark's size is never taken on trust: it is cut into blocks of `block_bytes`, each a broadcast set of its own, and every document goes
-    through the sets one after the other, taking its hits along.
+    through the sets one after the other, taking its hits along. The driver holds one block at a time; from the second one on, documents with their hits
+    so far are a written table, so that no task holds two sets.
     """
-    parts = list(blocks(benchmark, item, text, block_bytes))
     rows = docs.select(docs[key].cast("long").alias(key), utf8(text).alias("__raw"), F.lit(b"").alias("__bits"), F.array().cast("array<string>").alias("items"), *keep)
-    for part in parts:
+    for k, part in enumerate(blocks(benchmark, item, text, block_bytes)):
+        if k:
+            done = written(rows, "scanned")
+            if k > 1:
+                forget(before)
+            rows = before = done
         rows = _marked(rows, part, n)
     return _finished(rows, key, remove, keep)
 
