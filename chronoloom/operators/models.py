@@ -111,8 +111,9 @@ def random_search(df: DataFrame, features: list[str], space: dict[str, list], tr
     return grid_search(df, features, [{k: r.choice(v) for k, v in sorted(space.items())} for _ in range(trials)], folds, algorithm, ts)
 
 
-def compare_algorithms(df: DataFrame, features: list[str], folds: int = 3, ts: str = "ts") -> list[tuple[str, float]]:
-    return sorted(((name, grid_search(df, features, [{}], folds, name, ts)[1]) for name in PRESETS), key=lambda x: x[1])
+def compare_algorithms(df: DataFrame, features: list[str], folds: int = 3, params: dict | None = None, ts: str = "ts") -> list[tuple[str, float]]:
+    """(algorithm, mean absolute error over expanding folds), the best first."""
+    return sorted(((name, grid_search(df, features, [params or {}], folds, name, ts)[1]) for name in PRESETS), key=lambda x: x[1])
 
 
 def cascade(df: DataFrame, features: list[str], stages: list[str], target: str = "y", folds: int = 5, params: dict | None = None, ts: str = "ts") -> tuple[Forecaster, DataFrame]:

@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import control, crossval, evaluation, joins, validation
-from ..sources import series, sinks
+from ..functions import scalars
+from ..operators import control, crossval, joins, validation
+from ..sources import series
 from .registry import E, H, events, hours, query, read, sql_mean, sql_text, text
 from .table_queries import _folder
 
@@ -197,3 +198,28 @@ def _tested(spark, sf):
 
 def _validated(spark, sf):
     return validation.by_fold(_tested(spark, sf), ["k"], "base")
+
+
+@query(f"WITH {E} SELECT event_id, CAST(greatest(1, floor((epoch(ts) - epoch(TIMESTAMP '2024-01-10 00:30:00')) / 3600)) AS BIGINT) AS horizon_hours FROM e")
+def horizons(spark, sf):
+    now = F.lit("2024-01-10 00:30:00").cast("timestamp")
+    return events(spark, sf).select("event_id", scalars.horizon_hours(F.col("ts"), now).cast("long").alias("horizon_hours"))
+
+
+@query("SELECT c_custkey, coalesce(nullif(c_acctbal, 0) > 1000, false) AS unreliable FROM customer")
+def unreliable_mape(spark, sf):
+    c = read(spark, sf, "customer")
+    return c.select("c_custkey", scalars.unreliable(F.nullif(F.col("c_acctbal"), F.lit(0.0))).alias("unreliable"))
+
+
+@query("SELECT c_nationkey, c_mktsegment, count(*) AS n, round(count(*) * 100.0 / 24, 1) AS coverage_pct FROM customer GROUP BY 1, 2")
+def forecast_coverage(spark, sf):
+    got = control.coverage(read(spark, sf, "customer"), ["c_nationkey", "c_mktsegment"], 24)
+    return got.withColumn("coverage_pct", F.col("coverage_pct").cast("double"))
+
+
+@query("WITH r AS (SELECT DISTINCT l_returnflag AS c, l_suppkey AS t, CASE l_linenumber WHEN 1 THEN 'production' WHEN 2 THEN 'legacy' ELSE 'candidate' END AS location, CAST(l_orderkey AS VARCHAR) AS version FROM lineitem) SELECT c, t, location, version FROM r WHERE location <> 'candidate' QUALIFY row_number() OVER (PARTITION BY c, t ORDER BY CASE location WHEN 'production' THEN 0 ELSE 1 END, version DESC) = 1")
+def version_to_load(spark, sf):
+    place = F.when(F.col("l_linenumber") == 1, "production").when(F.col("l_linenumber") == 2, "legacy").otherwise("candidate")
+    r = read(spark, sf, "lineitem").select(F.col("l_returnflag").alias("c"), F.col("l_suppkey").alias("t"), place.alias("location"), F.col("l_orderkey").cast("string").alias("version")).distinct()
+    return control.load_version(r, ["c", "t"])

@@ -36,7 +36,7 @@ def ts_cv_forecast(spark, sf):
 def cascade_oof(spark, sf):
     """A target explained by out-of-fold forecasts of two other series."""
     h = hours(spark, sf)
-    m = matrix(spark, sf).join(of(h, "view", "load"), "ts").join(of(h, "signup", "renewable"), "ts") if h.where("k = 'signup'").head(1) else matrix(spark, sf).join(of(h, "view", "load"), "ts").withColumn("renewable", F.col("x"))
+    m = matrix(spark, sf).join(of(h, "view", "load"), "ts").join(of(h, "signup", "renewable"), "ts", "left").fillna(0.0, ["renewable"])
     base = [c for c in _features(m) if c not in ("load", "renewable")]
     model, out = models.cascade(m, base, ["load", "renewable"], folds=2, params=SMALL)
     return out.select(text("ts").alias("ts"), "y", "cascade_load", "cascade_renewable", "cascade_residual")

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from chronoloom.operators import models
+from chronoloom.operators import crossval, features, models, validation
 from chronoloom.sources import series, sinks
 from chronoloom.streaming import hourly
 
@@ -121,3 +121,26 @@ def test_model(spark, tmp_path):
     assert again.predict(df.limit(5)).collect() == model.predict(df.limit(5)).collect()
     with pytest.raises(ValueError):
         models.Forecaster(["x"], algorithm="other")
+
+
+def test_models_are_trained_fold_by_fold(spark):
+    rows = [(k, T0 + timedelta(hours=h), float(h % 24), float((3 if k == "a" else 5) * (h % 24))) for k in "ab" for h in range(24 * 20)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, x double, y double")
+    folds = crossval.walk_forward_folds(df, ["k"], folds=2, test_days=3, gap_days=1, least_days=8)
+    got = validation.trained(df, folds, ["k"], lambda: models.Forecaster(["x"], params={"maxIter": 5, "maxDepth": 5})).withColumn("base", F.col("y") + 10).cache()
+    each = validation.by_fold(got, ["k"], "base").collect()
+    assert sorted((r.k, r.fold) for r in each) == [("a", 1), ("a", 2), ("b", 1), ("b", 2)] and all(r.mae < 5 and r.skill > 0.5 for r in each)
+    assert {r.k: r.folds for r in validation.summary(got, ["k"], "base").collect()} == {"a": 2, "b": 2}
+    none = validation.trained(df, folds.where("false"), ["k"], lambda: None)
+    assert none.count() == 0 and "p" in none.columns
+
+
+def test_searches(spark):
+    df = spark.createDataFrame([(T0 + timedelta(hours=h), float(h % 24), float(3 * (h % 24))) for h in range(200)], "ts timestamp, x double, y double")
+    best, loss = models.random_search(df, ["x"], {"maxDepth": [1, 5], "maxIter": [2]}, trials=2, folds=2, seed=1)
+    assert best["maxDepth"] in (1, 5) and loss >= 0
+    assert {n for n, _ in models.compare_algorithms(df, ["x"], 2, {"maxIter": 2, "maxDepth": 2})} == set(models.PRESETS)
+
+
+def test_model_columns_come_in_a_fixed_order():
+    assert features.model_columns(["y_roll_24h_mean", "hour", "x", "y_lag_1d", "is_holiday"]) == ["hour", "is_holiday", "y_lag_1d", "y_roll_24h_mean", "x"]
