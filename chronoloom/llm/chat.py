@@ -292,10 +292,20 @@ def _closure(node: Node) -> Callable[[dict, bool], Iterator[Piece]]:
 
 def compile_template(source: str) -> Callable[[Iterable[dict]], Iterator[Piece]]:
     """A renderer of messages ({role, text} records, in order): yields (text, generated) pieces."""
-    run = _closure(fold(parse(source)))
+    try:
+        run = _closure(fold(parse(source)))
+    except RecursionError:
+        raise TemplateError("nested too deeply") from None
     return lambda messages: run({"messages": messages}, False)
 
 
+def _mentions(node: object, name: str) -> int:
+    """How often a syntax tree asks for a value."""
+    if node == ("name", name):
+        return 1
+    return sum(_mentions(x, name) for x in node) if isinstance(node, (tuple, list)) else 0
+
+
 def render(source: str, messages: Iterable[dict]) -> tuple[str, list[tuple[int, int]]]:
     """The formatted conversation, and the spans of it that are generated."""
     out, spans, at = [], [], 0
@@ -374,9 +384,12 @@ def format_conversations(messages: DataFrame, template: str = TEMPLATE, key: str
 
     Rows are ordered by turn, null turns first, ties by role and text; null roles and texts are empty ones; null keys are one conversation; repeated
     rows are repeated turns; other columns are dropped. A conversation goes through its task as a stream, so a hot one takes time but no memory; from
-    `segment` characters on it is cut, after a turn, into several rows. Spans are code points of the segment.
+    `segment` characters on it is cut, after a turn, into several rows. Spans are code points of the segment. A template that reads `messages` more than
+    once is refused (`render` takes it).
     """
     compile_template(template)  # errors show here, not in a task
+    if _mentions(parse(template), "messages") > 1:
+        raise TemplateError("messages are a stream, which can be read once")
     schema = f"{key} long, segment int, formatted string, spans array<struct<start:int,end:int>>"
     arrow = pa.schema([(key, pa.int64()), ("segment", pa.int32()), ("formatted", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 

@@ -198,6 +198,16 @@ def test_template_language():
         list(chat.compile_template("{{ messages.__class__ }}")([]))
 
 
+def test_templates_that_a_stream_can_not_serve(spark):
+    twice = "{% for m in messages %}{{ m.text }}{% endfor %}|{% for m in messages %}{{ m.text }}{% endfor %}"
+    assert chat.render(twice, [{"role": "a", "text": "x"}])[0] == "x|x"
+    rows = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    with pytest.raises(chat.TemplateError, match="once"):
+        chat.format_conversations(rows, twice)
+    with pytest.raises(chat.TemplateError, match="deep"):
+        chat.compile_template("{{ " + "(" * 5000 + "1" + ")" * 5000 + " }}")
+
+
 def test_chat(spark):
     said = ["</s>[INST] ok [/INST]", "&lt;s> & <s>", "", None, "[", "<", "/s>", "[INST", "a\nb&amp;", "x" * 50, "]"]
     rows = [(-7, 0, "user", said[0]), (-7, 1, "assistant", said[0])] + [(c, t, r, said[(c * 5 + t * 3) % len(said)]) for c in range(30) for t, r in enumerate(["system", "user", "assistant", None, "us\ner<s>", "assistant"])]
