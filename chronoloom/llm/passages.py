@@ -268,6 +268,20 @@ def _collisions(texts: DataFrame, fragments: int, count: int) -> DataFrame:
     return dealt.groupBy("fragment").applyInArrow(pick, "part long, bucket long, own long").distinct()
 
 
+#: Runs are compared by 48 bits of their hashes, which are kept in six bytes.
+SHORTER = np.uint64((1 << 48) - 1)
+
+
+def _short(x: np.ndarray) -> bytes:
+    return x.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _long(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = raw.reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 #: Bits in one row of a filter.
 ROW = 1 << 15
 
@@ -303,10 +317,10 @@ def _named(texts: DataFrame, members: DataFrame) -> DataFrame:
             if not keep.any():
                 continue
             found = Found(*(x[keep] for x in found))
-            h = runs_of(t)
+            h = runs_of(t) & SHORTER
             first = np.zeros(len(found.own), bool)
             first[np.unique(found.own, return_index=True)[1]] = True
-            sets = [_packed(np.unique(h[a:z])) if f else None for a, z, f in zip(found.place.tolist(), (found.place + found.length - N + 1).tolist(), first.tolist(), strict=True)]
+            sets = [_short(np.unique(h[a:z])) if f else None for a, z, f in zip(found.place.tolist(), (found.place + found.length - N + 1).tolist(), first.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(found.own.view(np.int64)), pa.array(docs[found.text]), pa.array((found.place - t.first[found.text]).astype(np.int32)), pa.array(found.length.astype(np.int32)), pa.array(sets, pa.binary())], schema=arrow)
 
     return texts.mapInArrow(freeing(run), "own long, doc long, begin int, length int, runs binary")
@@ -436,8 +450,8 @@ def _close(members: DataFrame, named: DataFrame, similar: int) -> DataFrame:
 
     def check(group: pa.Table) -> pa.Table:
         bucket, own = (group.column(c).to_numpy().view(np.uint64) for c in ("bucket", "own"))
-        size = pc.binary_length(group.column("runs")).to_numpy() // 8
-        a, b = links_within(bucket, own, size.astype(np.int64), _joined(group, "runs", np.uint64), similar)
+        size = pc.binary_length(group.column("runs")).to_numpy() // 6
+        a, b = links_within(bucket, own, size.astype(np.int64), _long(_joined(group, "runs", np.uint8)), similar)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return members.join(sets, "own").select("part", "bucket", "own", "runs").groupBy("part").applyInArrow(check, "a long, b long").distinct()
