@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from . import shape, windows
+from . import joins, shape, windows
 
 #: Public holidays as (month, day) and the countries that keep them. The countries' laws.
 COUNTRIES = "AT BE BG CH CZ DE EE ES FI FR GR HR HU IT LT LV NL NO PL PT RO SE SI SK"
@@ -104,6 +104,14 @@ def feature_matrix(df: DataFrame, keys: list[str], covariates: list[str], lag_da
     return df.dropna(subset=must).fillna(0.0)
 
 
+def lagged(df: DataFrame, keys: list[str], days: list[int], ts: str = "ts", y: str = "y") -> DataFrame:
+    """Calendar, cycles, and y so many days earlier by time: rows to forecast have these as well as those of the past."""
+    out = df.withColumns(scalars.calendar(ts) | scalars.cyclical(ts))
+    for d in days:
+        out = joins.offset_lookup(out, keys, 24 * d, f"{y}_lag_{d}d", ts, y)
+    return out
+
+
 def error_features(df: DataFrame, keys: list[str], ts: str = "ts", actual: str = "y", tso: str = "tso") -> DataFrame:
     """Of a forecast beside its truth: the error, its lags by rows and its trailing statistics with the row itself, and the forecast's trailing mean."""
     df = df.withColumn("err", F.col(actual) - F.col(tso)).withColumns(scalars.calendar(ts))

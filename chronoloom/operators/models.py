@@ -154,5 +154,5 @@ def eliminate(df: DataFrame, features: list[str], rounds: int = 5, share: float
     return log
 
 
-#: Named callables (work rows, features) -> forecasts that a job may run beside the built-in model.
+#: Named runners (history, hours to forecast) -> forecasts `p`, which `jobs.forecasts` runs if it is given none.
 RUNNERS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {}

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import control, crossval, joins, validation
-from ..sources import series
-from .registry import E, H, events, hours, query, read, sql_mean, sql_text, text
+from ..operators import control, crossval, jobs, joins, validation
+from ..sources import series, sinks
+from .registry import E, H, events, hours, local, query, read, sql_mean, sql_text, text
 from .table_queries import _folder
 
 #: Event types as countries. Others have none.
@@ -223,3 +223,14 @@ def version_to_load(spark, sf):
     place = F.when(F.col("l_linenumber") == 1, "production").when(F.col("l_linenumber") == 2, "legacy").otherwise("candidate")
     r = read(spark, sf, "lineitem").select(F.col("l_returnflag").alias("c"), F.col("l_suppkey").alias("t"), place.alias("location"), F.col("l_orderkey").cast("string").alias("version")).distinct()
     return control.load_version(r, ["c", "t"])
+
+
+@query(f"""WITH {F_}, w AS (SELECT country_code, horizon, TIMESTAMP '2024-01-20' + (horizon * 24 + h) * INTERVAL 1 HOUR AS ts FROM (VALUES ('BE'), ('DE')) c(country_code), (VALUES (1), (2)) d(horizon), range(24) r(h))
+SELECT w.country_code, 'load' AS forecast_type, {sql_text('w.ts')} AS ts, CAST(epoch(w.ts - TIMESTAMP '2024-01-20 06:00:00') // 3600 AS BIGINT) AS horizon_hours, y AS forecast_value, 'persistence' AS model_name FROM w JOIN f ON f.country_code = w.country_code AND f.ts = w.ts - horizon * INTERVAL 24 HOUR""")
+def daily_forecasts(spark, sf):
+    """The daily job for two countries and two days ahead, stored and read back."""
+    history = hours(spark, sf).withColumn("country_code", _country()).where(F.col("country_code").isNotNull()).withColumn("forecast_type", F.lit("load"))
+    work = local(spark, [(c, "load", d) for c in ("BE", "DE") for d in (1, 2)], "country_code string, forecast_type string, horizon int")
+    table = sinks.tables(spark, _folder(spark))["forecasts"]
+    sinks.save_forecasts(table, jobs.forecasts(history, work, {"persistence": jobs.persistence}, "2024-01-20 06:00:00"))
+    return table.read().select("country_code", "forecast_type", text("target_timestamp_utc").alias("ts"), F.col("horizon_hours").cast("long").alias("horizon_hours"), "forecast_value", "model_name")

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from chronoloom.operators import crossval, features, models, validation
+from chronoloom.operators import crossval, features, jobs, models, validation
 from chronoloom.sources import series, sinks
 from chronoloom.streaming import hourly
 
@@ -144,3 +144,14 @@ def test_searches(spark):
 
 def test_model_columns_come_in_a_fixed_order():
     assert features.model_columns(["y_roll_24h_mean", "hour", "x", "y_lag_1d", "is_holiday"]) == ["hour", "is_holiday", "y_lag_1d", "y_roll_24h_mean", "x"]
+
+
+def test_daily_job_with_models(spark):
+    rows = [(c, "load", T0 + timedelta(hours=h), float(h % 24 + (5 if c == "DE" else 0))) for c in ("BE", "DE") for h in range(24 * 25)]
+    history = spark.createDataFrame(rows, "country_code string, forecast_type string, ts timestamp, y double")
+    work = spark.createDataFrame([(c, "load", d) for c in ("BE", "DE") for d in (1, 2)], "country_code string, forecast_type string, horizon int")
+    run = lambda h, w: jobs.boosted(h, w, params={"maxIter": 5, "maxDepth": 5})
+    got = jobs.forecasts(history, work, {"boosted": run, "persistence": jobs.persistence}, "2024-01-22 06:00:00").collect()
+    assert len(got) == 2 * 2 * 24 * 2
+    assert all(abs(r.forecast_value - (r.target_timestamp_utc.hour + (5 if r.country_code == "DE" else 0))) < 3 for r in got)
+    assert {r.horizon_hours for r in got} == set(range(18, 66))
