@@ -53,7 +53,7 @@ END = re.compile(r"(?<=[.!?;])\s+|\n+")
 
 
 def _tokens(sentence: str) -> list[str]:
-    """The words of a sentence in lower case: of a token with signs in it its parts and these joined, long words as windows."""
+    """The words of three letters or more of a sentence in lower case: of a token with signs in it its parts and these joined, long words as windows."""
     out: list[str] = []
     for token in sentence.split():
         if token.isalnum() or (token := token.strip(SIGNS)).isalnum():
@@ -62,6 +62,7 @@ def _tokens(sentence: str) -> list[str]:
             out += parts
             if len(parts) > 1:
                 out.append("".join(parts))
+    out = [w for w in out if len(w) > 2]  # shorter ones have no triple
     if out and max(map(len, out)) > LONG:
         out = [x for w in out for x in ([w] if len(w) <= LONG else [w[k : k + LONG] for k in range(0, len(w) - STEP, STEP)])]
     return out

@@ -528,9 +528,9 @@ def test_insults_in_a_second_script_and_odd_rows(spark):
 
 
 def test_sentences():
-    assert toxicity.sentences_of("One two. Three-four\nFIVE! d o t") == [["one", "two"], ["three", "four", "threefour"], ["five"], ["d", "o", "t", "dot"]]
+    assert toxicity.sentences_of("One two. Three-four\nFIVE! d o t") == [["one", "two"], ["three", "four", "threefour"], ["five"], ["dot"]]
     long = toxicity.sentences_of(" ".join(f"w{k}" for k in range(100)))
-    assert all(len(x) <= toxicity.WORDS for x in long) and {w for x in long for w in x} == {f"w{k}" for k in range(100)}
+    assert all(len(x) <= toxicity.WORDS for x in long) and {w for x in long for w in x} == {f"w{k}" for k in range(10, 100)}
     assert toxicity.sentences_of("") == [] and toxicity.sentences_of(" .. \n") == []
 
 
