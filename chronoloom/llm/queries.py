@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, jaccard, line_dedup, media, passages, secret_scan, sharding, toxicity
+from . import bpe, chat, decontaminate, jaccard, line_dedup, media, multi_index, passages, secret_scan, sharding, toxicity, trie, whitening
 from .common import table
 
 
@@ -59,7 +59,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_fingerprints, op2_byte_bpe, op3_rendezvous_shards, op4_decontamination, op5_chat_format, op6_ngram_jaccard, op7_line_dedup, op8_secret_scan, op9_repeated_passages, op10_toxicity)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(table(spark, sf_dir, "embeddings"), lambda key: key % 100 == 0)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_fingerprints, op2_byte_bpe, op3_rendezvous_shards, op4_decontamination, op5_chat_format, op6_ngram_jaccard, op7_line_dedup, op8_secret_scan, op9_repeated_passages, op10_toxicity, op11_whitening, op12_multi_index, op13_prefix_trie)}
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -99,4 +111,17 @@ WITH l AS (SELECT doc_id, i, s[i] AS line, {LOWER.format(f"trim(s[i], {BLANK})")
 h AS (SELECT key, max(doc_id) AS last FROM l WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
 k AS (SELECT l.*, h.key IS NOT NULL AND doc_id <> last AS drop FROM l LEFT JOIN h USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE drop) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT drop), '')) AS kept_sha256 FROM k GROUP BY doc_id""",
+    "op13_prefix_trie": """
+WITH k AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, n)) AS tab),
+t AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, m) - 1 AS i FROM (SELECT conv_id AS c, turn, md5(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS m, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL)),
+v AS (SELECT c, c - c % 20 AS base, xor(list_reduce(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda a, x: xor(a >> 8, tab[CAST(xor(a, x) & 255 AS INT) + 1]), 4294967295), 4294967295) % 4 AS h FROM (SELECT DISTINCT c FROM t), k),
+r AS (SELECT v.c, i, m, words FROM v JOIN t ON t.c = base WHERE i < h UNION ALL SELECT v.c, i, m, words FROM v JOIN t USING (c) WHERE i >= h),
+p AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY i) AS d, md5(string_agg(m, '') OVER (PARTITION BY c ORDER BY i)) AS p, words FROM r UNION ALL SELECT c, 0, '', 0 FROM v),
+n AS (SELECT p, d, min(c) AS owner, count(*) AS n, max(words) AS words FROM p GROUP BY ALL),
+up AS (SELECT n.p, u.p AS above FROM n JOIN p u ON u.c = n.owner AND u.d = n.d - 1),
+kids AS (SELECT above AS p, count(*) AS kids FROM up GROUP BY 1),
+sub AS (SELECT a.p, sum((n.n - 1) * n.words) AS saved, count(*) FILTER (WHERE kids IS NULL) AS leaves FROM n LEFT JOIN kids USING (p) JOIN p a ON a.c = n.owner AND a.d <= n.d GROUP BY 1),
+ends AS (SELECT p, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS said FROM (SELECT c, arg_max(p, d) AS p FROM p GROUP BY 1) GROUP BY 1)
+SELECT n.owner AS conv_id, n.d AS depth, o.owner AS parent_conv_id, n.n AS n_convs, coalesce(kids, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(said, '')) AS ends_sha256
+FROM n LEFT JOIN up USING (p) LEFT JOIN n o ON o.p = up.above LEFT JOIN kids ON kids.p = n.p JOIN sub ON sub.p = n.p LEFT JOIN ends ON ends.p = n.p""",
 }
