@@ -182,7 +182,7 @@ def search(df: DataFrame, asks: Callable[[Column], Column], k: int = 10, key: st
     """
     spark = df.sparkSession
     rows = df.select(df[key].cast("long").alias("id"), df[vector].alias("vector")).where("id is not null").where(finite(F.col("vector")) & F.exists("vector", lambda c: c != 0))
-    rows = rows.groupBy("id").agg(F.min("vector").alias("vector"))
+    rows = written(rows.groupBy("id").agg(F.min("vector").alias("vector")), "vectors")
     none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d = dimension(rows)
     if not d:
@@ -221,5 +221,5 @@ def search(df: DataFrame, asks: Callable[[Column], Column], k: int = 10, key: st
         place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
         found.append(written(near.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "found"))
         sent.unpersist()
-    forget(entries, queries)
+    forget(rows, entries, queries)
     return reduce(DataFrame.unionByName, found) if found else none
