@@ -1,6 +1,6 @@
 """Forecast metrics as aggregate columns: each works on all groups of a `groupBy` at once. y is the truth, p the forecast, e = p - y.
 
-Rows where either is null don't count. Ratios without a denominator are null.
+Rows where either is null or NaN don't count. Ratios without a denominator are null.
 """
 
 from __future__ import annotations
@@ -18,10 +18,14 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def mean(x: Column | str, scale: int = 10) -> Column:
-    """The mean of numbers below 1e18, summed as decimals: it doesn't depend on the order in which rows are added up."""
-    x = _c(x)
-    return F.sum(x.cast(f"decimal(28,{scale})")).cast("double") / F.when(F.count(x) > 0, F.count(x))
+def number(x: Column | str) -> Column:
+    """A double; null for NaN, which counts as missing."""
+    return F.nanvl(_c(x).cast("double"), F.lit(None).cast("double"))
+
+
+def mean(x: Column | str) -> Column:
+    """The mean of what is there. A plain sum of doubles: right to about 13 digits of the largest addend, at any magnitude and in any order."""
+    return F.avg(number(x))
 
 
 def error(y: Column | str, p: Column | str) -> Column:
@@ -33,7 +37,7 @@ def mae(y="y", p="p") -> Column:
 
 
 def rmse(y="y", p="p") -> Column:
-    return F.sqrt(F.avg(error(y, p) * error(y, p)))
+    return F.sqrt(mean(error(y, p) * error(y, p)))
 
 
 def bias(y="y", p="p") -> Column:
@@ -43,29 +47,29 @@ def bias(y="y", p="p") -> Column:
 def mape(y="y", p="p", floor: float | Column = 1.0) -> Column:
     """Over rows whose |y| is over `floor`, in percent."""
     y, p = _c(y), _c(p)
-    return F.avg(F.when(F.abs(y) > floor, F.abs(error(y, p) / F.when(y != 0, y)))) * 100
+    return mean(F.when(F.abs(y) > floor, F.abs(error(y, p) / F.when(y != 0, y)))) * 100
 
 
 def mape_unit(y="y", p="p") -> Column:
     """With 1 in place of a zero truth."""
     y, p = _c(y), _c(p)
-    return F.avg(F.abs(error(y, p) / F.when(y == 0, 1.0).otherwise(y))) * 100
+    return mean(F.abs(error(y, p) / F.when(y == 0, 1.0).otherwise(y))) * 100
 
 
 def mape_plain(y="y", p="p") -> Column:
     """Without a floor: null where a truth is zero."""
-    return F.avg(F.abs(F.try_divide(error(y, p), _c(y)))) * 100
+    return mean(F.abs(F.try_divide(error(y, p), _c(y)))) * 100
 
 
 def smape(y="y", p="p", eps: float = 1e-8) -> Column:
     y, p = _c(y), _c(p)
-    return F.avg(F.abs(error(y, p)) / ((F.abs(y) + F.abs(p)) / 2 + eps)) * 100
+    return mean(F.abs(error(y, p)) / ((F.abs(y) + F.abs(p)) / 2 + eps)) * 100
 
 
 def smape_whole(y="y", p="p", eps: float = 1e-8) -> Column:
     """With `eps` beside the whole denominator, not its half."""
     y, p = _c(y), _c(p)
-    return F.avg(2 * F.abs(error(y, p)) / (F.abs(y) + F.abs(p) + eps)) * 100
+    return mean(2 * F.abs(error(y, p)) / (F.abs(y) + F.abs(p) + eps)) * 100
 
 
 def skill(model: Column, base: Column) -> Column:
@@ -90,14 +94,14 @@ def peak(hour: Column | str, y="y", p="p") -> dict[str, Column]:
     return {
         "peak_mae": inside,
         "offpeak_mae": outside,
-        "peak_mape": F.avg(F.when(on & (F.abs(_c(y)) > 1), F.abs(error(y, p) / F.when(_c(y) != 0, _c(y))))) * 100,
+        "peak_mape": mean(F.when(on & (F.abs(_c(y)) > 1), F.abs(error(y, p) / F.when(_c(y) != 0, _c(y))))) * 100,
         "peak_ratio": F.when((inside > 0) & (outside > 0), inside / outside),
     }
 
 
 def distribution(e: Column | str) -> dict[str, Column]:
     """Mean, population deviation, quantiles, skewness and excess kurtosis (0 for a constant), and extremes of an error."""
-    e = _c(e)
+    e = number(e)
     q = F.percentile(e, F.array(*map(F.lit, (0.05, 0.25, 0.5, 0.75, 0.95))))
     flat = F.stddev_pop(e) == 0
     return {
@@ -109,4 +113,4 @@ def distribution(e: Column | str) -> dict[str, Column]:
 
 
 def bundle(y="y", p="p", floor: float | Column = 1.0) -> dict[str, Column]:
-    return {"mae": mae(y, p), "rmse": rmse(y, p), "mape": mape(y, p, floor), "smape": smape(y, p), "bias": bias(y, p), "n": F.count(error(y, p))}
+    return {"mae": mae(y, p), "rmse": rmse(y, p), "mape": mape(y, p, floor), "smape": smape(y, p), "bias": bias(y, p), "n": F.count(number(error(y, p)))}

@@ -40,7 +40,7 @@ def hourly(df: DataFrame, by: list[str], ts: str = "ts", y: str = "y", p: str =
 def seasonal(df: DataFrame, by: list[str], base: str, ts: str = "ts", y: str = "y", p: str = "p") -> DataFrame:
     """By season, with the skill over the rows that have a baseline."""
     has = F.col(base).isNotNull()
-    model, other = F.avg(F.when(has, F.abs(F.col(p) - F.col(y)))), F.avg(F.when(has, F.abs(F.col(base) - F.col(y))))
+    model, other = metrics.mean(F.when(has, F.abs(F.col(p) - F.col(y)))), metrics.mean(F.when(has, F.abs(F.col(base) - F.col(y))))
     return df.groupBy(*by, scalars.season(ts).alias("season")).agg(metrics.mae(y, p).alias("mae"), metrics.rmse(y, p).alias("rmse"), F.count("*").alias("n"), metrics.skill(model, other).alias("skill"))
 
 
@@ -51,7 +51,7 @@ def error_distribution(df: DataFrame, by: list[str], y: str = "y", p: str = "p")
 def scaled_error(df: DataFrame, by: list[str], lag: int = 24, ts: str = "ts", y: str = "y", p: str = "p") -> DataFrame:
     """mase: the mean absolute error in units of the seasonal naive one; null if there are too few rows, or that is 0."""
     rows = df.withColumn("naive", F.abs(F.col(y) - F.lag(y, lag).over(Window.partitionBy(*by).orderBy(ts))))
-    return rows.groupBy(*by).agg(F.try_divide(metrics.mae(y, p), F.avg("naive")).alias("mase"))
+    return rows.groupBy(*by).agg(F.try_divide(metrics.mae(y, p), metrics.mean("naive")).alias("mase"))
 
 
 def directional(df: DataFrame, by: list[str], ts: str = "ts", y: str = "y", p: str = "p") -> DataFrame:
@@ -68,7 +68,7 @@ def crps(df: DataFrame, by: list[str], row: list[str], q: str = "q", pred: str =
     hit = (F.col(q) - (F.col(y) <= F.col(pred)).cast("double")) ** 2
     steps = df.withColumn("__h", hit).withColumns({"__q": F.lead(q).over(w), "__n": F.lead("__h").over(w)})
     each = steps.groupBy(*by, *row).agg(F.sum((F.col("__q") - F.col(q)) / 2 * (F.col("__h") + F.col("__n"))).alias("crps"))
-    return each.groupBy(*by).agg(F.avg("crps").alias("crps"))
+    return each.groupBy(*by).agg(metrics.mean("crps").alias("crps"))
 
 
 def dm_statistic(df: DataFrame, by: list[str], horizon: int = 1, ts: str = "ts", a: str = "loss_a", b: str = "loss_b") -> DataFrame:

@@ -16,34 +16,55 @@ def lags(df: DataFrame, keys: list[str], days: list[int], ts: str = "ts", y: str
     return df.withColumns({f"{y}_lag_{d}d": F.lag(y, per_day * d).over(_w(keys, ts)) for d in days})
 
 
-def _sums(y: str, over, scale: int):
-    d = F.col(y).cast(f"decimal(18,{scale})")
-    return F.count(y).over(over), F.sum(d).over(over), F.sum((d * d).cast(f"decimal(38,{2 * scale})")).over(over)
+STATS = ("mean", "std", "min", "max")
 
 
-def _stat(name: str, y: str, over, scale: int) -> Column:
-    """A statistic of a window. Means and deviations come from decimal sums, and so don't depend on what the window held before (as running floats do)."""
-    if name in ("min", "max"):
-        return getattr(F, name)(y).over(over)
-    n, total, squares = _sums(y, over, scale)
-    if name == "mean":
-        return F.when(n > 0, total.cast("double") / n)
-    spread = n.cast("double") * squares.cast("double") - total.cast("double") * total.cast("double")
-    return F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (n.cast("double") * (n - 1))))
+def _part(centre: str, over) -> Column:
+    """Count, mean and sum of squared deviations of __v, as distances from a value that is one of them; and the extremes."""
+    d = F.col("__v") - F.col(centre)
+    return F.struct(F.count("__v").over(over).alias("n"), F.col(centre).alias("c"), F.avg(d).over(over).alias("m"), (F.var_pop(d).over(over) * F.count("__v").over(over)).alias("s"), F.min("__v").over(over).alias("min"), F.max("__v").over(over).alias("max"))
 
 
-STATS = ("mean", "std", "min", "max")
+def _merged(a: Column, b: Column) -> dict[str, Column]:
+    """The statistics of two parts together; either may be null or empty."""
+    has_a, has_b = F.coalesce(a.n, F.lit(0)) > 0, F.coalesce(b.n, F.lit(0)) > 0
+    both, n = has_a & has_b, F.when(has_a, a.n).otherwise(0) + F.when(has_b, b.n).otherwise(0)
+    shift = (b.c - a.c) + (b.m - a.m)
+    mean = F.when(both, a.c + (a.m + shift * (b.n / n))).when(has_a, a.c + a.m).when(has_b, b.c + b.m)
+    squares = F.when(both, a.s + b.s + shift * shift * (a.n * (b.n / n))).when(has_a, a.s).when(has_b, b.s)
+    return {"mean": mean, "std": F.when(n > 1, F.sqrt(squares / (n - 1))), "min": F.least(a["min"], b["min"]), "max": F.greatest(a["max"], b["max"])}
+
+
+def _rolled(df: DataFrame, keys: list[str], widths: list[int], ts: str, y: str, stats: tuple[str, ...], skip: int) -> DataFrame:
+    """{y}_roll_{w}h_{stat} over the w rows that end `skip` rows before a row.
+
+    Rows are cut into blocks of w; a window is the end of one block and the beginning of the next, and both are running aggregates, so a row's cost doesn't
+    grow with w. Deviations are taken from the block's own first and last values, which belong to what they measure: nothing cancels, however large
+    values are beside their spread, and nothing is cut off, however small they are (down to spreads of 1e-150, whose squares a double still holds).
+    """
+    row = Window.partitionBy(*keys).orderBy("__i")
+    out = df.withColumns({"__i": F.row_number().over(_w(keys, ts)) - 1, "__v": F.nanvl(F.col(y).cast("double"), F.lit(None).cast("double"))})
+    for w in widths:
+        block = [*keys, F.floor(F.col("__i") / w)]
+        ahead, back = (Window.partitionBy(*block).orderBy(order).rowsBetween(Window.unboundedPreceding, 0) for order in (F.asc("__i"), F.desc("__i")))
+        out = out.withColumn("__f", F.first("__v", ignorenulls=True).over(ahead)).withColumn("__head", _part("__f", ahead)).drop("__f")
+        out = out.withColumn("__f", F.first("__v", ignorenulls=True).over(back)).withColumn("__tail", _part("__f", back)).drop("__f")
+        one_block = (F.col("__i") - skip) % w == w - 1
+        out = out.withColumns({"__a": F.when(~one_block, F.lag("__tail", w - 1 + skip).over(row)), "__b": F.lag("__head", skip).over(row)})
+        got = _merged(F.col("__a"), F.col("__b"))
+        out = out.withColumns({f"{y}_roll_{w}h_{s}": got[s] for s in stats}).drop("__head", "__tail", "__a", "__b")
+    return out.drop("__i", "__v")
 
 
-def trailing(df: DataFrame, keys: list[str], widths: list[int], ts: str = "ts", y: str = "y", stats: tuple[str, ...] = STATS, scale: int = 6) -> DataFrame:
-    """{y}_roll_{w}h_{stat} over the w rows before a row, itself left out; one sort for all. Sums are of numbers with `scale` decimals."""
-    return df.withColumns({f"{y}_roll_{w}h_{s}": _stat(s, y, _w(keys, ts).rowsBetween(-w, -1), scale) for w in widths for s in stats})
+def trailing(df: DataFrame, keys: list[str], widths: list[int], ts: str = "ts", y: str = "y", stats: tuple[str, ...] = STATS) -> DataFrame:
+    """{y}_roll_{w}h_{stat} over the w rows before a row, itself left out. Nulls and NaN don't count; one value has no deviation."""
+    return _rolled(df, keys, widths, ts, y, stats, 1)
 
 
-def trailing_inclusive(df: DataFrame, keys: list[str], widths: list[int], ts: str = "ts", y: str = "y", stats: tuple[str, ...] = ("mean", "std"), scale: int = 6) -> DataFrame:
+def trailing_inclusive(df: DataFrame, keys: list[str], widths: list[int], ts: str = "ts", y: str = "y", stats: tuple[str, ...] = ("mean", "std")) -> DataFrame:
     """Over the w rows up to and with a row; a missing deviation is 0."""
-    value = lambda w, s: _stat(s, y, _w(keys, ts).rowsBetween(1 - w, 0), scale)
-    return df.withColumns({f"{y}_roll_{w}h_{s}": F.coalesce(value(w, s), F.lit(0.0)) if s == "std" else value(w, s) for w in widths for s in stats})
+    out = _rolled(df, keys, widths, ts, y, stats, 0)
+    return out.fillna(0.0, [f"{y}_roll_{w}h_std" for w in widths]) if "std" in stats else out
 
 
 def last_per_hour(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import control, crossval, jobs, joins, validation
 from ..sources import series, sinks
-from .registry import E, H, events, hours, local, query, read, sql_mean, sql_text, text
+from .registry import E, H, events, hours, local, query, r7, read, sql_mean, sql_text, text
 from .table_queries import _folder
 
 #: Event types as countries. Others have none.
@@ -174,19 +174,19 @@ f AS (SELECT k, CAST(3 - b AS INT) AS fold, a, z - (b * 4 + 4) * INTERVAL 1 DAY
 p AS (SELECT f.k, f.fold, h.ts, h.y, q.y AS p, s.y AS base FROM f JOIN h ON h.k = f.k AND h.ts BETWEEN t0 AND t1 JOIN h q ON q.k = h.k AND q.ts = h.ts - INTERVAL 48 HOUR LEFT JOIN h s ON s.k = h.k AND s.ts = h.ts - INTERVAL 168 HOUR)"""
 
 
-@query(f"WITH {FOLDS} SELECT k, fold, count(*) AS n, {sql_mean('abs(p - y)')} AS mae, round(1 - {sql_mean('CASE WHEN base IS NOT NULL THEN abs(p - y) END')} / {sql_mean('abs(base - y)')}, 9) AS skill FROM p GROUP BY 1, 2")
+@query(f"WITH {FOLDS} SELECT k, fold, count(*) AS n, {sql_mean('abs(p - y)')} AS mae, round(1 - avg(CASE WHEN base IS NOT NULL THEN abs(p - y) END) / avg(abs(base - y)), 9) AS skill FROM p GROUP BY 1, 2")
 def walk_forward_validated(spark, sf):
     """Persistence, judged fold by fold against the week before; see validation.validate for models that are trained."""
     got = _validated(spark, sf)
-    return got.select("k", "fold", "n", "mae", F.round("skill", 9).alias("skill"))
+    return got.select("k", "fold", "n", r7("mae").alias("mae"), F.round("skill", 9).alias("skill"))
 
 
-@query(f"WITH {FOLDS}, g AS (SELECT k, fold, 1 - {sql_mean('CASE WHEN base IS NOT NULL THEN abs(p - y) END')} / {sql_mean('abs(base - y)')} AS skill FROM p GROUP BY 1, 2), m AS (SELECT k, avg(skill) AS mean_skill, count(*) AS folds FROM g GROUP BY k) SELECT p.k, any_value(folds) AS folds, count(*) AS n, {sql_mean('abs(p - y)')} AS mae, round(any_value(mean_skill), 9) AS mean_skill FROM p JOIN m USING (k) GROUP BY p.k")
+@query(f"WITH {FOLDS}, g AS (SELECT k, fold, 1 - avg(CASE WHEN base IS NOT NULL THEN abs(p - y) END) / avg(abs(base - y)) AS skill FROM p GROUP BY 1, 2), m AS (SELECT k, avg(skill) AS mean_skill, count(*) AS folds FROM g GROUP BY k) SELECT p.k, any_value(folds) AS folds, count(*) AS n, {sql_mean('abs(p - y)')} AS mae, round(any_value(mean_skill), 9) AS mean_skill FROM p JOIN m USING (k) GROUP BY p.k")
 def walk_forward_summary(spark, sf):
     """Metrics over all test rows of a series, and the mean of its folds' skills."""
     rows = _tested(spark, sf)
     out = validation.summary(rows, ["k"], "base")
-    return out.select("k", "folds", "n", "mae", F.round("mean_skill", 9).alias("mean_skill"))
+    return out.select("k", "folds", "n", r7("mae").alias("mae"), F.round("mean_skill", 9).alias("mean_skill"))
 
 
 def _tested(spark, sf):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import control, features, joins, shape, windows
 from ..sources import series
-from .registry import D, E, H, days, events, hours, local, query, read, sql_text, text
+from .registry import D, E, H, HALF, days, events, hours, local, query, r7, read, sql_text, text
 
 W = "(PARTITION BY k ORDER BY ts)"
 
@@ -307,23 +307,14 @@ def lag_days(spark, sf):
     return windows.lags(hours(spark, sf), ["k"], [1, 7, 14]).drop("y").withColumn("ts", text("ts"))
 
 
-def sql_trailing_mean(y: str, over: str) -> str:
-    return f"(CAST(sum(CAST({y} AS DECIMAL(18,6))) {over} AS DOUBLE) / nullif(count({y}) {over}, 0))"
-
-
-def sql_trailing_std(y: str, over: str) -> str:
-    n, total, squares = f"CAST(count({y}) {over} AS DOUBLE)", f"CAST(sum(CAST({y} AS DECIMAL(18,6))) {over} AS DOUBLE)", f"CAST(sum(CAST(CAST({y} AS DECIMAL(18,6)) * CAST({y} AS DECIMAL(18,6)) AS DECIMAL(38,12))) {over} AS DOUBLE)"
-    return f"CASE WHEN {n} > 1 THEN sqrt(greatest({n} * {squares} - {total} * {total}, 0.0) / ({n} * ({n} - 1))) END"
-
-
 def _rolling_sql(w: int) -> str:
     over = f"OVER (PARTITION BY k ORDER BY ts ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING)"
-    return f"WITH {H} SELECT k, {sql_text('ts')} AS ts, {sql_trailing_mean('y', over)} AS y_roll_{w}h_mean, round({sql_trailing_std('y', over)}, 7) AS y_roll_{w}h_std, min(y) {over} AS y_roll_{w}h_min, max(y) {over} AS y_roll_{w}h_max FROM h"
+    return f"WITH {H} SELECT k, {sql_text('ts')} AS ts, round(avg(y) {over} + {HALF}, 7) AS y_roll_{w}h_mean, round(stddev_samp(y) {over}, 7) AS y_roll_{w}h_std, min(y) {over} AS y_roll_{w}h_min, max(y) {over} AS y_roll_{w}h_max FROM h"
 
 
 def _rolling(spark, sf, w: int):
     out = windows.trailing(hours(spark, sf), ["k"], [w]).drop("y").withColumn("ts", text("ts"))
-    return out.withColumn(f"y_roll_{w}h_std", F.round(f"y_roll_{w}h_std", 7))
+    return out.withColumns({f"y_roll_{w}h_mean": r7(F.col(f"y_roll_{w}h_mean") + HALF), f"y_roll_{w}h_std": r7(f"y_roll_{w}h_std")})
 
 
 query(_rolling_sql(24), "rolling_24")(lambda spark, sf: _rolling(spark, sf, 24))
@@ -343,9 +334,9 @@ def err_lags(spark, sf):
     return _errors(spark, sf).select(text("ts").alias("ts"), "err", "err_lag_1d", "err_lag_2d", "err_lag_7d")
 
 
-@query(f"WITH {ERR} SELECT {sql_text('ts')} AS ts, {sql_trailing_mean('err', 'OVER a')} AS m24, round(coalesce({sql_trailing_std('err', 'OVER a')}, 0.0), 6) AS s24, {sql_trailing_mean('err', 'OVER b')} AS m168, {sql_trailing_mean('tso', 'OVER a')} AS t24 FROM c WINDOW a AS (ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), b AS (ORDER BY ts ROWS BETWEEN 167 PRECEDING AND CURRENT ROW)")
+@query(f"WITH {ERR} SELECT {sql_text('ts')} AS ts, round(avg(err) OVER a + {HALF}, 7) + 0.0 AS m24, round(coalesce(stddev_samp(err) OVER a, 0.0), 6) AS s24, round(avg(err) OVER b + {HALF}, 7) + 0.0 AS m168, round(avg(tso) OVER a + {HALF}, 7) AS t24 FROM c WINDOW a AS (ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), b AS (ORDER BY ts ROWS BETWEEN 167 PRECEDING AND CURRENT ROW)")
 def err_rolling_incl(spark, sf):
-    return _errors(spark, sf).select(text("ts").alias("ts"), F.col("err_roll_24h_mean").alias("m24"), F.round("err_roll_24h_std", 6).alias("s24"), F.col("err_roll_168h_mean").alias("m168"), F.col("tso_roll_24h_mean").alias("t24"))
+    return _errors(spark, sf).select(text("ts").alias("ts"), r7(F.col("err_roll_24h_mean") + HALF).alias("m24"), F.round("err_roll_24h_std", 6).alias("s24"), r7(F.col("err_roll_168h_mean") + HALF).alias("m168"), r7(F.col("tso_roll_24h_mean") + HALF).alias("t24"))
 
 
 @query(f"WITH {H} SELECT k, CAST(hour(ts) AS BIGINT) AS hour, {sql_text('max(ts)')} AS ts, arg_max(y, ts) AS y FROM h GROUP BY 1, 2")
@@ -429,8 +420,8 @@ def matrix(spark, sf, target: str = "click", covariate: str = "purchase"):
 
 @query(f"""WITH {H}, j AS (SELECT a.k, a.ts, a.y, b.y AS x FROM (SELECT * FROM h WHERE k = 'click') a LEFT JOIN (SELECT * FROM h WHERE k = 'purchase') b USING (ts)),
 g AS (SELECT k, ts, y, coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY k ORDER BY ts ROWS UNBOUNDED PRECEDING), first_value(x IGNORE NULLS) OVER (PARTITION BY k ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS x FROM j),
-m AS (SELECT *, lag(y, 24) OVER {W} AS l1, lag(y, 168) OVER {W} AS l7, lag(y, 336) OVER {W} AS l14, {sql_trailing_mean('y', 'OVER (PARTITION BY k ORDER BY ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)')} AS m24, {sql_trailing_mean('y', 'OVER (PARTITION BY k ORDER BY ts ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING)')} AS m168 FROM g)
+m AS (SELECT *, lag(y, 24) OVER {W} AS l1, lag(y, 168) OVER {W} AS l7, lag(y, 336) OVER {W} AS l14, round(avg(y) OVER (PARTITION BY k ORDER BY ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) + {HALF}, 7) AS m24, round(avg(y) OVER (PARTITION BY k ORDER BY ts ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING) + {HALF}, 7) AS m168 FROM g)
 SELECT {sql_text('ts')} AS ts, y, coalesce(x, 0.0) AS x, l1, l7, l14, m24, m168, CAST(isodow(ts) >= 6 AS BIGINT) AS is_weekend FROM m WHERE l14 IS NOT NULL AND l7 IS NOT NULL AND l1 IS NOT NULL""")
 def feature_matrix(spark, sf):
     m = matrix(spark, sf)
-    return m.select(text("ts").alias("ts"), "y", "x", F.col("y_lag_1d").alias("l1"), F.col("y_lag_7d").alias("l7"), F.col("y_lag_14d").alias("l14"), F.col("y_roll_24h_mean").alias("m24"), F.col("y_roll_168h_mean").alias("m168"), F.col("is_weekend").cast("long").alias("is_weekend"))
+    return m.select(text("ts").alias("ts"), "y", "x", F.col("y_lag_1d").alias("l1"), F.col("y_lag_7d").alias("l7"), F.col("y_lag_14d").alias("l14"), r7(F.col("y_roll_24h_mean") + HALF).alias("m24"), r7(F.col("y_roll_168h_mean") + HALF).alias("m168"), F.col("is_weekend").cast("long").alias("is_weekend"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,16 +9,16 @@ from pyspark.sql.window import Window
 
 from ..functions import metrics
 from ..operators import crossval, evaluation
+from ..session import shared_dir
 from ..sources.sinks import VersionedTable
 from ..streaming import hourly
 from .evaluation_queries import CORE, P, rounded, scored
-from .registry import E, H, events, hours, query, read, sql_mean, sql_text, text
+from .registry import E, H, events, hours, query, r7, read, sql_mean, sql_text, text
 
 
 def _folder(spark) -> str:
-    """A new folder in the one that driver and executors share; one of our own only where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="chronoloom-")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder in the one that driver and executors share."""
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query(f"WITH {E}, g AS (SELECT k, date_trunc('hour', ts) AS t, avg(y) AS y FROM e GROUP BY 1, 2) SELECT k, {sql_text('t')} AS ts, round(y, 8) AS y FROM g WHERE t + INTERVAL 1 HOUR <= (SELECT max(ts) FROM e) - INTERVAL 2 HOUR")
@@ -35,7 +34,7 @@ def streaming_hourly(spark, sf):
 
 @query(f"WITH {P} SELECT k AS model_name, count(*) AS n, {sql_mean("p")} AS mean, min(p) AS min, max(p) AS max FROM a GROUP BY k")
 def model_summary(spark, sf):
-    return scored(spark, sf).groupBy(F.col("k").alias("model_name")).agg(F.count("*").alias("n"), metrics.mean("p").alias("mean"), F.min("p").alias("min"), F.max("p").alias("max"))
+    return scored(spark, sf).groupBy(F.col("k").alias("model_name")).agg(F.count("*").alias("n"), r7(metrics.mean("p")).alias("mean"), F.min("p").alias("min"), F.max("p").alias("max"))
 
 
 @query(f"WITH {P}, c AS (SELECT k, {CORE} FROM a GROUP BY k) SELECT *, rank() OVER (ORDER BY mae, k) AS place FROM c")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -23,3 +24,14 @@ def session(master: str | None = None, app: str = "chronoloom", **conf: str) ->
     for k, v in (CONF | conf).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from `spark.checkpoint.dir`; one of our own only where that is unset and the master is local."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="chronoloom-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
