@@ -153,6 +153,3 @@ def eliminate(df: DataFrame, features: list[str], rounds: int = 5, share: float
         now = [c for c in now if c not in gone]
     return log
 
-
-#: Named runners (history, hours to forecast) -> forecasts `p`, which `jobs.forecasts` runs if it is given none.
-RUNNERS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {}

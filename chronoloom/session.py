@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -35,3 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
         found = tempfile.mkdtemp(prefix="chronoloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` written as a Parquet table in the shared folder and read again: later work starts from there, also after executors are lost."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
