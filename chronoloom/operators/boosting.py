@@ -161,6 +161,11 @@ def _doubles(df: DataFrame, columns: list[str]) -> list:
     return [F.col(c).cast("double").alias(c) for c in dict.fromkeys(columns)]
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows by key over all tasks: groups are little data and much work, so their partitions mustn't be put together for being small."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def fit_all(df: DataFrame, keys: list[str], features: list[str] | list[list[str]], target: str = "y", trials: list[dict] | None = None, algorithm: str = "xgboost", check: str | None = None, ts: str = "ts", patience: int = PATIENCE) -> DataFrame:
     """Models (keys, then MODEL) of all groups of `keys`, all trained in one job: for each of `trials` (parameters over the algorithm's preset; one by
     default) a row. `features` may be a list of columns for each trial. Rows whose target is null don't count; those where the column `check` is true
@@ -189,7 +194,7 @@ def fit_all(df: DataFrame, keys: list[str], features: list[str] | list[list[str]
         return pa.table(out | {c: pa.array([m[c] for m in found], kind) for c, kind in zip(names, kinds, strict=True)})
 
     form = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.groupBy(*keys).applyInArrow(run, f"{form}, {MODEL}")
+    return spread(rows, keys).groupBy(*keys).applyInArrow(run, f"{form}, {MODEL}")
 
 
 def predict_all(df: DataFrame, models: DataFrame, keys: list[str], features: list[str] | list[list[str]], name: str = "p") -> DataFrame:
@@ -210,7 +215,7 @@ def predict_all(df: DataFrame, models: DataFrame, keys: list[str], features: lis
         return pa.concat_tables(out)
 
     form = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return wide.groupBy(*keys).cogroup(models.groupBy(*keys)).applyInArrow(run, f"{form}, trial int, `{name}` double")
+    return spread(wide, keys).groupBy(*keys).cogroup(spread(models, keys).groupBy(*keys)).applyInArrow(run, f"{form}, trial int, `{name}` double")
 
 
 def importance(models: DataFrame, keys: list[str], features: list[str]) -> DataFrame:

@@ -111,4 +111,4 @@ def search_all(rows: DataFrame, keys: list[str], features: list[str], target: st
         return pa.table(out | {"trial": pa.array(range(len(log)), pa.int32()), "params": pa.array([json.dumps(p, sort_keys=True) for p, _, _ in log], pa.string()), "loss": pa.array([t[1] for t in log], pa.float64()), "pruned": pa.array([t[2] for t in log], pa.bool_()), "best": pa.array([k == best for k in range(len(log))], pa.bool_())})
 
     form = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return lot.groupBy(*keys).applyInArrow(task, f"{form}, trial int, params string, loss double, pruned boolean, best boolean")
+    return boosting.spread(lot, keys).groupBy(*keys).applyInArrow(task, f"{form}, trial int, params string, loss double, pruned boolean, best boolean")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from math import pi
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import scalars
 from ..operators import control, features, joins, shape, windows
@@ -95,10 +96,15 @@ def minimum_size(spark, sf):
     return series.large_enough(days(spark, sf), ["k"], 100).withColumn("ts", text("ts"))
 
 
-@query("SELECT CAST(x AS BIGINT) AS i, strftime(t, '%Y-%m-%d %H:%M:%S') AS ts FROM (VALUES (1, TIMESTAMP '2024-01-01 00:00:00'), (2, TIMESTAMP '2024-01-01 00:00:00'), (3, TIMESTAMP '2024-01-01 00:00:00'), (4, NULL)) v(x, t)")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN strftime(CAST(o_orderdate AS TIMESTAMP) + (o_orderkey % 24) * INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') END AS ts FROM orders")
 def mixed_timestamps(spark, sf):
-    rows = local(spark, [(1, "2024-01-01 00:00:00"), (2, "2024-01-01 00:00:00+00:00"), (3, "2024-01-01T01:00:00+01:00"), (4, "no time")], "i long, t string")
-    return rows.select("i", text(scalars.parse_timestamp(F.col("t"))).alias("ts"))
+    """Times of orders, written in three ways (plain, in UTC, two hours ahead of it) and one that says nothing."""
+    o = read(spark, sf, "orders")
+    ts = o.o_orderdate.cast("timestamp") + F.make_dt_interval(hours=(F.col("o_orderkey") % 24).cast("int"))
+    plain, ahead = F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.date_format(ts + F.expr("interval 2 hours"), "yyyy-MM-dd'T'HH:mm:ss")
+    kind = F.col("o_orderkey") % 4
+    written = F.when(kind == 0, plain).when(kind == 1, F.concat(plain, F.lit("+00:00"))).when(kind == 2, F.concat(ahead, F.lit("+02:00"))).otherwise("no time")
+    return o.select("o_orderkey", text(scalars.parse_timestamp(written)).alias("ts"))
 
 
 # shaping
@@ -248,31 +254,33 @@ def pairwise_models(spark, sf):
     return joins.pairs_of_models(m, "model", ["k", "ts"], 10).groupBy("a", "b").agg(F.count("*").alias("n"), r9(F.avg(F.col("loss_a") - F.col("loss_b"))).alias("diff"))
 
 
-COUNTRIES, TYPES = ("BE", "DE", "FR"), ("load", "price", "solar")
+WORK = "w AS (SELECT n_name AS country, c_mktsegment AS type, horizon FROM nation, (SELECT DISTINCT c_mktsegment FROM customer), (VALUES (1), (2)) h(horizon))"
+#: Which runner takes what: two by lists, one for all, one that is switched off.
+TAKES = [("builtin", ["all"], ["all"], True), ("tso", ["FRANCE", "GERMANY"], ["BUILDING"], True), ("night", ["all"], ["MACHINERY"], True), ("off", ["all"], ["all"], False)]
 
 
-def work(spark):
-    rows = lambda name, values: local(spark, [(v,) for v in values], f"{name} string")
-    return rows("country", COUNTRIES).crossJoin(rows("type", TYPES)).crossJoin(local(spark, [(1,), (2,)], "horizon int"))
-
-
-WORK = "w AS (SELECT country, type, horizon FROM (VALUES ('BE'), ('DE'), ('FR')) a(country), (VALUES ('load'), ('price'), ('solar')) b(type), (VALUES (1), (2)) c(horizon))"
+def work(spark, sf):
+    """Every nation with every market segment, one and two days ahead."""
+    types = read(spark, sf, "customer").select(F.col("c_mktsegment").alias("type")).distinct()
+    return read(spark, sf, "nation").select(F.col("n_name").alias("country")).crossJoin(types).crossJoin(local(spark, [(1,), (2,)], "horizon int"))
 
 
 @query(f"WITH {WORK} SELECT * FROM w")
 def worklist_cross(spark, sf):
-    return work(spark)
+    return work(spark, sf)
 
 
-@query(f"WITH {WORK} SELECT * FROM w WHERE NOT (country = 'BE' AND type = 'solar')")
+@query(f"WITH {WORK} SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_name = country AND c_mktsegment = type AND c_acctbal > 9950)")
 def skiplist_anti(spark, sf):
-    return joins.skipped(work(spark), local(spark, [("BE", "solar")], "country string, type string"), ["country", "type"])
+    """Without the items on a list, of those that a rich customer stands for."""
+    c = read(spark, sf, "customer").where("c_acctbal > 9950").join(read(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    return joins.skipped(work(spark, sf), c.select(F.col("n_name").alias("country"), F.col("c_mktsegment").alias("type")), ["country", "type"])
 
 
-@query(f"WITH {WORK} SELECT w.*, r.name FROM w JOIN (VALUES ('builtin', ['all'], ['all'], true), ('tso', ['DE', 'FR'], ['load'], true), ('off', ['all'], ['all'], false)) r(name, cs, ts, enabled) ON enabled AND (list_contains(cs, 'all') OR list_contains(cs, country)) AND (list_contains(ts, 'all') OR list_contains(ts, type))")
+@query(f"WITH {WORK} SELECT w.*, r.name FROM w JOIN (VALUES {', '.join(f'({name!r}, {cs}, {ts}, {str(on).lower()})' for name, cs, ts, on in TAKES)}) r(name, cs, ts, enabled) ON enabled AND (list_contains(cs, 'all') OR list_contains(cs, country)) AND (list_contains(ts, 'all') OR list_contains(ts, type))")
 def runner_theta(spark, sf):
-    runners = local(spark, [("builtin", ["all"], ["all"], True), ("tso", ["DE", "FR"], ["load"], True), ("off", ["all"], ["all"], False)], "name string, countrys array<string>, types array<string>, enabled boolean")
-    return joins.applicable(work(spark), runners).select("country", "type", "horizon", "name")
+    runners = local(spark, TAKES, "name string, countrys array<string>, types array<string>, enabled boolean")
+    return joins.applicable(work(spark, sf), runners).select("country", "type", "horizon", "name")
 
 
 @query(f"WITH {H}, c AS (SELECT a.ts, a.y AS tso, CASE WHEN hour(a.ts) < 12 THEN b.y - 300 END AS error FROM (SELECT * FROM h WHERE k = 'click') a LEFT JOIN (SELECT * FROM h WHERE k = 'view') b USING (ts)) SELECT {sql_text('ts')} AS ts, 'tso_raw' AS model, tso AS value FROM c UNION ALL SELECT {sql_text('ts')}, 'tso_corrected', greatest(0.0, tso + error) FROM c WHERE error IS NOT NULL")
@@ -320,23 +328,31 @@ def _rolling(spark, sf, w: int):
 query(_rolling_sql(24), "rolling_24")(lambda spark, sf: _rolling(spark, sf, 24))
 query(_rolling_sql(168), "rolling_168")(lambda spark, sf: _rolling(spark, sf, 168))
 
-ERR = H + ", c AS (SELECT a.ts, a.y - b.y AS err, b.y AS tso FROM (SELECT * FROM h WHERE k = 'click') a JOIN (SELECT * FROM h WHERE k = 'view') b USING (ts))"
+#: Each series beside a forecast of it: the mean of the others in the hour, which isn't there where they have no value.
+ERR = H + ", c AS (SELECT k, ts, y, CAST(sum(CAST(y AS DECIMAL(28,12))) OVER (PARTITION BY ts) - CAST(y AS DECIMAL(28,12)) AS DOUBLE) / nullif(count(*) OVER (PARTITION BY ts) - 1, 0) AS tso FROM h), e2 AS (SELECT k, ts, y, tso, y - tso AS err FROM c WHERE tso IS NOT NULL)"
 
 
-def _errors(spark, sf):
-    h = hours(spark, sf)
-    both = of(h, "click").join(of(h, "view", "tso"), "ts").withColumn("s", F.lit(1))
-    return features.error_features(both, ["s"])
+def beside_others(spark, sf):
+    """(k, ts, y, tso, others): every series' hours with the mean and the sum of the other series'."""
+    w = Window.partitionBy("ts")
+    y = F.col("y").cast("decimal(28,12)")
+    others = (F.sum(y).over(w) - y).cast("double")
+    return hours(spark, sf).withColumns({"others": others, "tso": others / F.nullif(F.count("*").over(w) - 1, F.lit(0))})
 
 
-@query(f"WITH {ERR} SELECT {sql_text('ts')} AS ts, err, lag(err, 24) OVER (ORDER BY ts) AS err_lag_1d, lag(err, 48) OVER (ORDER BY ts) AS err_lag_2d, lag(err, 168) OVER (ORDER BY ts) AS err_lag_7d FROM c")
+def errors(spark, sf):
+    """Every series with its features of the forecast's errors."""
+    return features.error_features(beside_others(spark, sf).where("tso is not null").drop("others"), ["k"])
+
+
+@query(f"WITH {ERR} SELECT k, {sql_text('ts')} AS ts, round(err, 7) + 0.0 AS err, round(lag(err, 24) OVER {W}, 7) + 0.0 AS err_lag_1d, round(lag(err, 48) OVER {W}, 7) + 0.0 AS err_lag_2d, round(lag(err, 168) OVER {W}, 7) + 0.0 AS err_lag_7d FROM e2")
 def err_lags(spark, sf):
-    return _errors(spark, sf).select(text("ts").alias("ts"), "err", "err_lag_1d", "err_lag_2d", "err_lag_7d")
+    return errors(spark, sf).select("k", text("ts").alias("ts"), *[r7(c).alias(c) for c in ("err", "err_lag_1d", "err_lag_2d", "err_lag_7d")])
 
 
-@query(f"WITH {ERR} SELECT {sql_text('ts')} AS ts, round(avg(err) OVER a + {HALF}, 7) + 0.0 AS m24, round(coalesce(stddev_samp(err) OVER a, 0.0), 6) AS s24, round(avg(err) OVER b + {HALF}, 7) + 0.0 AS m168, round(avg(tso) OVER a + {HALF}, 7) AS t24 FROM c WINDOW a AS (ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), b AS (ORDER BY ts ROWS BETWEEN 167 PRECEDING AND CURRENT ROW)")
+@query(f"WITH {ERR} SELECT k, {sql_text('ts')} AS ts, round(avg(err) OVER a + {HALF}, 7) + 0.0 AS m24, round(coalesce(stddev_samp(err) OVER a, 0.0), 6) AS s24, round(avg(err) OVER b + {HALF}, 7) + 0.0 AS m168, round(avg(tso) OVER a + {HALF}, 7) AS t24 FROM e2 WINDOW a AS (PARTITION BY k ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), b AS (PARTITION BY k ORDER BY ts ROWS BETWEEN 167 PRECEDING AND CURRENT ROW)")
 def err_rolling_incl(spark, sf):
-    return _errors(spark, sf).select(text("ts").alias("ts"), r7(F.col("err_roll_24h_mean") + HALF).alias("m24"), F.round("err_roll_24h_std", 6).alias("s24"), r7(F.col("err_roll_168h_mean") + HALF).alias("m168"), r7(F.col("tso_roll_24h_mean") + HALF).alias("t24"))
+    return errors(spark, sf).select("k", text("ts").alias("ts"), r7(F.col("err_roll_24h_mean") + HALF).alias("m24"), F.round("err_roll_24h_std", 6).alias("s24"), r7(F.col("err_roll_168h_mean") + HALF).alias("m168"), r7(F.col("tso_roll_24h_mean") + HALF).alias("t24"))
 
 
 @query(f"WITH {H} SELECT k, CAST(hour(ts) AS BIGINT) AS hour, {sql_text('max(ts)')} AS ts, arg_max(y, ts) AS y FROM h GROUP BY 1, 2")
@@ -411,17 +427,18 @@ def degree_days(spark, sf):
     return features.weather_features(h).select("k", text("ts").alias("ts"), *[r9(c).alias(c) for c in ("temperature_c", "heating_degree", "cooling_degree")])
 
 
-def matrix(spark, sf, target: str = "click", covariate: str = "purchase"):
-    """The training frame of one type's hours, explained by another's."""
-    h = hours(spark, sf)
-    both = of(h, target).join(of(h, covariate, "x"), "ts", "left").withColumn("k", F.lit(target))
-    return features.feature_matrix(both, ["k"], ["x"])
+def matrix(spark, sf):
+    """The training frame of all types' hours, explained by the others' sum in the hour."""
+    return features.feature_matrix(beside_others(spark, sf).select("k", "ts", "y", F.col("others").alias("x")), ["k"], ["x"])
 
 
-@query(f"""WITH {H}, j AS (SELECT a.k, a.ts, a.y, b.y AS x FROM (SELECT * FROM h WHERE k = 'click') a LEFT JOIN (SELECT * FROM h WHERE k = 'purchase') b USING (ts)),
-g AS (SELECT k, ts, y, coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY k ORDER BY ts ROWS UNBOUNDED PRECEDING), first_value(x IGNORE NULLS) OVER (PARTITION BY k ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS x FROM j),
-m AS (SELECT *, lag(y, 24) OVER {W} AS l1, lag(y, 168) OVER {W} AS l7, lag(y, 336) OVER {W} AS l14, round(avg(y) OVER (PARTITION BY k ORDER BY ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) + {HALF}, 7) AS m24, round(avg(y) OVER (PARTITION BY k ORDER BY ts ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING) + {HALF}, 7) AS m168 FROM g)
-SELECT {sql_text('ts')} AS ts, y, coalesce(x, 0.0) AS x, l1, l7, l14, m24, m168, CAST(isodow(ts) >= 6 AS BIGINT) AS is_weekend FROM m WHERE l14 IS NOT NULL AND l7 IS NOT NULL AND l1 IS NOT NULL""")
+@query(f"""WITH {H}, g AS (SELECT k, ts, y, CAST(sum(CAST(y AS DECIMAL(28,12))) OVER (PARTITION BY ts) - CAST(y AS DECIMAL(28,12)) AS DOUBLE) AS x FROM h),
+m AS (SELECT *, lag(y, 24) OVER {W} AS l1, lag(y, 168) OVER {W} AS l7, lag(y, 336) OVER {W} AS l14, round(avg(y) OVER (PARTITION BY k ORDER BY ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) + {HALF}, 7) AS m24, round(avg(y) OVER (PARTITION BY k ORDER BY ts ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING) + {HALF}, 7) AS m168,
+round(stddev_samp(y) OVER (PARTITION BY k ORDER BY ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING), 7) AS s24, min(y) OVER (PARTITION BY k ORDER BY ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS low24, max(y) OVER (PARTITION BY k ORDER BY ts ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING) AS high168 FROM g)
+SELECT k, {sql_text('ts')} AS ts, y, round(x, 7) + 0.0 AS x, l1, l7, l14, m24, m168, s24, low24, high168, {CALENDAR}, {_cycle('hour', 'hour(ts)', 24)}, {_cycle('dow', 'isodow(ts) - 1', 7)}, {_cycle('month', 'month(ts)', 12)} FROM m WHERE l14 IS NOT NULL AND l7 IS NOT NULL AND l1 IS NOT NULL""")
 def feature_matrix(spark, sf):
     m = matrix(spark, sf)
-    return m.select(text("ts").alias("ts"), "y", "x", F.col("y_lag_1d").alias("l1"), F.col("y_lag_7d").alias("l7"), F.col("y_lag_14d").alias("l14"), r7(F.col("y_roll_24h_mean") + HALF).alias("m24"), r7(F.col("y_roll_168h_mean") + HALF).alias("m168"), F.col("is_weekend").cast("long").alias("is_weekend"))
+    names = {"y_lag_1d": "l1", "y_lag_7d": "l7", "y_lag_14d": "l14", "y_roll_24h_min": "low24", "y_roll_168h_max": "high168"}
+    means = {"y_roll_24h_mean": "m24", "y_roll_168h_mean": "m168"}
+    calendar, cycles = list(scalars.calendar("ts")), list(scalars.cyclical("ts"))
+    return m.select("k", text("ts").alias("ts"), "y", r7("x").alias("x"), *[F.col(c).alias(n) for c, n in names.items()], *[r7(F.col(c) + HALF).alias(n) for c, n in means.items()], r7("y_roll_24h_std").alias("s24"), *[F.col(c).cast("long").alias(c) for c in calendar], *[(r9(F.col(c)) + 0.0).alias(c) for c in cycles])
