@@ -48,6 +48,22 @@ def error_distribution(df: DataFrame, by: list[str], y: str = "y", p: str = "p")
     return df.groupBy(*by).agg(*_agg(metrics.distribution(metrics.error(y, p))))
 
 
+#: The size of a quantile sketch, and the error of its ranks: in 99 of 100 cases a quantile's true rank is off by less.
+SKETCH, RANK_ERROR = 800, 0.005
+
+
+def error_sketches(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
+    """(by, n, sketch): a quantile sketch of each group's errors, some kilobytes whatever the number of rows. Sketches of days add up to that of a year."""
+    e = metrics.number(metrics.error(y, p))
+    return df.where(e.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.kll_sketch_agg_double(e, SKETCH).alias("sketch"))
+
+
+def error_quantiles(sketches: DataFrame, by: list[str], at: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
+    """(by, n, q, value) of sketches of parts, put together; see RANK_ERROR. The exact percentiles of `error_distribution` need all values of a group in one task."""
+    whole = sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", SKETCH).alias("__s"))
+    return whole.select(*by, "n", F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.kll_sketch_get_quantile_double("__s", F.lit(q)).alias("value")) for q in at])).alias("__q")).select(*by, "n", "__q.*")
+
+
 def scaled_error(df: DataFrame, by: list[str], lag: int = 24, ts: str = "ts", y: str = "y", p: str = "p") -> DataFrame:
     """mase: the mean absolute error in units of the seasonal naive one; null if there are too few rows, or that is 0."""
     rows = df.withColumn("naive", F.abs(F.col(y) - F.lag(y, lag).over(Window.partitionBy(*by).orderBy(ts))))

@@ -13,17 +13,17 @@ from . import joins, shape, windows
 #: Public holidays as (month, day) and the countries that keep them. The countries' laws.
 COUNTRIES = "AT BE BG CH CZ DE EE ES FI FR GR HR HU IT LT LV NL NO PL PT RO SE SI SK"
 FIXED = {
-    (1, 1): COUNTRIES, (1, 2): "RO SI", (1, 6): "AT ES FI GR HR IT PL SE SK", (1, 24): "RO",
+    (1, 1): COUNTRIES, (1, 2): "RO SI", (1, 6): "AT ES FI GR HR IT PL RO SE SK", (1, 7): "RO", (1, 24): "RO",
     (2, 8): "SI", (2, 16): "LT", (2, 24): "EE", (3, 3): "BG", (3, 11): "LT", (3, 15): "HU", (3, 25): "GR",
     (4, 25): "IT PT", (4, 27): "NL", (5, 1): "AT BE BG CZ DE EE ES FI FR GR HR HU IT LT LV NO PL PT RO SE SI SK", (5, 2): "SI", (5, 3): "PL",
-    (5, 4): "LV", (5, 6): "BG", (5, 8): "CZ FR SK", (5, 17): "NO", (5, 24): "BG", (5, 30): "HR",
-    (6, 1): "RO", (6, 2): "IT", (6, 6): "SE", (6, 10): "PT", (6, 22): "HR", (6, 23): "EE LV", (6, 24): "EE LT LV", (6, 25): "SI",
+    (5, 4): "LV", (5, 5): "NL", (5, 6): "BG", (5, 8): "CZ FR SK", (5, 17): "NO", (5, 24): "BG", (5, 30): "HR",
+    (6, 1): "RO", (6, 2): "IT", (6, 6): "SE", (6, 10): "PT", (6, 22): "HR", (6, 23): "EE LV", (6, 24): "EE LT LV", (6, 25): "HR SI",
     (7, 5): "CZ SK", (7, 6): "CZ LT", (7, 14): "FR", (7, 21): "BE",
     (8, 1): "CH", (8, 5): "HR", (8, 15): "AT BE ES FR GR HR IT LT PL PT RO SI", (8, 20): "EE HU", (8, 29): "SK",
     (9, 1): "SK", (9, 6): "BG", (9, 15): "SK", (9, 22): "BG", (9, 28): "CZ",
-    (10, 3): "DE", (10, 5): "PT", (10, 12): "ES", (10, 23): "HU", (10, 26): "AT", (10, 28): "CZ GR", (10, 31): "SI",
+    (10, 3): "DE", (10, 5): "PT", (10, 8): "HR", (10, 12): "ES", (10, 23): "HU", (10, 26): "AT", (10, 28): "CZ GR", (10, 31): "SI",
     (11, 1): "AT BE ES FR HR HU IT LT PL PT SI SK", (11, 2): "LT", (11, 11): "BE FR PL", (11, 17): "CZ SK", (11, 18): "HR LV", (11, 30): "RO",
-    (12, 1): "PT RO", (12, 6): "ES FI", (12, 8): "AT ES IT PT", (12, 24): "BG CZ EE LT LV SK", (12, 25): COUNTRIES,
+    (12, 1): "PT RO", (12, 6): "ES FI", (12, 8): "AT ES IT PT", (12, 24): "BG CZ EE LT LV PL SK", (12, 25): COUNTRIES,
     (12, 26): "AT BG CZ DE EE FI GR HR HU IT LT LV NL NO PL RO SE SI SK", (12, 31): "LV",
 }
 #: Days from Easter Sunday, which ORTHODOX countries take from the Julian calendar. Fixed values.
@@ -34,7 +34,35 @@ EASTER = {
 }
 ORTHODOX = "BG GR RO"
 #: The first such weekday (Monday is 0) on or after (month, day).
-WEEKDAY = {(6, 20, 5): "FI SE", (10, 31, 5): "FI SE", (5, 1, 6): "LT LV", (6, 1, 6): "LT"}
+WEEKDAY = {(6, 20, 5): "FI SE", (10, 31, 5): "FI SE", (5, 1, 6): "LT", (5, 8, 6): "LV", (6, 1, 6): "LT"}
+
+#: (country, rule) -> the spans of years in which it holds, first and last; rules not named here hold in all. A rule is a key of the tables above.
+YEARS = {
+    ("RO", (1, 6)): [(2024, 9999)], ("RO", (1, 7)): [(2024, 9999)], ("RO", (1, 24)): [(2017, 9999)], ("RO", (6, 1)): [(2017, 9999)], ("RO", -2): [(2018, 9999)], ("PL", (12, 24)): [(2025, 9999)],
+    ("HR", (6, 25)): [(0, 2019)], ("HR", (10, 8)): [(0, 2019)], ("HR", (5, 30)): [(2020, 9999)], ("HR", (11, 18)): [(2020, 9999)], ("SK", (9, 1)): [(0, 2023)], ("SK", (11, 17)): [(0, 2024)],
+    ("CZ", -2): [(2016, 9999)], ("HU", -2): [(2017, 9999)], ("LT", (11, 2)): [(2020, 9999)], ("SI", (1, 2)): [(0, 2012), (2017, 9999)],
+    ("PT", 60): [(0, 2012), (2016, 9999)], ("PT", (10, 5)): [(0, 2012), (2016, 9999)], ("PT", (11, 1)): [(0, 2012), (2016, 9999)], ("PT", (12, 1)): [(0, 2012), (2016, 9999)],
+}
+#: Days that were holidays once.
+ONCE = {"DE": [date(2017, 10, 31)], "SK": [date(2018, 10, 30)], "GR": [date(2021, 5, 4), date(2022, 5, 2), date(2024, 5, 7)]}
+
+
+def _moved(country: str, days: set[date], y: int) -> set[date]:
+    """What a country's laws move or add by weekday, given the year's days by date."""
+    if country == "NL":  # the king's birthday isn't kept on a Sunday; liberation is a day off every five years
+        if date(y, 4, 27).weekday() == 6:
+            days = days - {date(y, 4, 27)} | {date(y, 4, 26)}
+        return days if y % 5 == 0 else days - {date(y, 5, 5)}
+    if country == "BG" and y >= 2017:  # for each day that falls on a weekend the next working day, in turn
+        out = set(days)
+        for d in sorted(d for d in days if d.weekday() >= 5 and (d.month, d.day) in FIXED):
+            while d in out or d.weekday() >= 5:
+                d += timedelta(days=1)
+            out.add(d)
+        return out
+    if country == "LV":
+        return days | {d + timedelta(days=7 - d.weekday()) for d in (date(y, 5, 4), date(y, 11, 18)) if d.weekday() >= 5}
+    return days
 
 
 def easter(year: int) -> date:
@@ -59,17 +87,19 @@ def orthodox_easter(year: int) -> date:
 
 
 def holidays(country: str, years: range) -> list[date]:
-    """A country's nationwide holidays; one without a calendar here has Germany's."""
+    """A country's nationwide holidays in those years, by the laws of each; one without a calendar here has Germany's."""
     country = country.upper() if country.upper() in COUNTRIES.split() else "DE"
     sunday = orthodox_easter if country in ORTHODOX.split() else easter
+    holds = lambda rule, y: any(a <= y <= z for a, z in YEARS.get((country, rule), [(0, 9999)]))
     out = set()
     for y in years:
-        out |= {date(y, m, d) for (m, d), who in FIXED.items() if country in who.split()}
-        out |= {sunday(y) + timedelta(days=k) for k, who in EASTER.items() if country in who.split()}
+        days = {date(y, m, d) for (m, d), who in FIXED.items() if country in who.split() and holds((m, d), y)}
+        days |= {sunday(y) + timedelta(days=k) for k, who in EASTER.items() if country in who.split() and holds(k, y)}
         for (m, d, weekday), who in WEEKDAY.items():
             if country in who.split():
                 first = date(y, m, d)
-                out.add(first + timedelta(days=(weekday - first.weekday()) % 7))
+                days.add(first + timedelta(days=(weekday - first.weekday()) % 7))
+        out |= _moved(country, days, y) | {d for d in ONCE.get(country, []) if d.year == y}
     return sorted(out)
 
 

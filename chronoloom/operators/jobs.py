@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics, scalars
 from ..session import written
-from . import joins, prediction, windows
+from . import evaluation, joins, prediction, windows
 
 Runner = Callable[[DataFrame, DataFrame], DataFrame]
 SERIES = ["country_code", "forecast_type"]
@@ -141,3 +141,11 @@ def train_all(history: DataFrame, work: DataFrame, as_of: str, algorithm: str =
     reason = F.when(F.col("rows").isNull(), "no data").when(F.col("rows") < least_rows, "insufficient data").when(F.col("n").isNull(), "no rows left to train on")
     report = report.select(*SERIES, F.when(reason.isNull(), "completed").otherwise("skipped").alias("status"), reason.alias("reason"), F.coalesce("rows", F.lit(0)).alias("rows"), "trees", F.col("loss").alias("mae"), "persistence_mae", metrics.skill(F.col("loss"), F.col("persistence_mae")).alias("skill"))
     return report, found, names
+
+
+def baselines_all(history: DataFrame, work: DataFrame, as_of: str, days: int = 90) -> DataFrame:
+    """Scores of the baselines (the value 48 hours before, that of the week before, the mean of the same hour) of all series of the work list, over the last
+    `days` of what was known; one job."""
+    known = prediction.known(history, as_of).join(work.select(*SERIES).distinct(), SERIES, "left_semi").withColumn("y", F.col("y").cast("double"))
+    rows = joins.same_hour_mean(joins.offset_lookup(joins.offset_lookup(known, SERIES, 48, "persistence"), SERIES, 168, "seasonal"), SERIES, "weekly")
+    return evaluation.baseline_scores(prediction.known(rows, as_of, days), SERIES, ["persistence", "seasonal", "weekly"])

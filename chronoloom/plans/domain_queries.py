@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,6 +102,37 @@ def weather_multipoint(spark, sf):
     return series.multipoint(spark, _at(spark, {"weather_data_multipoint": rows}), "wind_onshore", "DE").select("country_code", text("ts").alias("ts"), "wind")
 
 
+@query(f"WITH {X}, {WEATHER} SELECT country_code, {sql_text('ts')} AS ts, {sql_text('run')} AS run, temperature_2m_k FROM w WHERE quality = 'forecast' AND run = TIMESTAMP '2024-01-04 18:00:00' AND ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-09'")
+def weather_of_a_run(spark, sf):
+    """All hours of one given run."""
+    root = _at(spark, {"weather_data": _weather(spark, sf)})
+    got = series.weather_run(spark, root, "2024-01-02", "2024-01-09", "2024-01-04 18:00:00", columns=["temperature_2m_k"])
+    return got.select("country_code", text("ts").alias("ts"), text("forecast_run_time").alias("run"), "temperature_2m_k")
+
+
+@query(f"WITH {X}, {WEATHER} SELECT type, name, count(*) AS n, round(avg(v), 7) AS mean FROM (SELECT CASE WHEN name = 'temperature_2m_k' THEN ['load', 'price', 'hydro_total', 'biomass'] WHEN name = 'relative_humidity_2m_frac' THEN ['load'] ELSE ['price', 'renewable', 'wind_onshore', 'wind_offshore'] END AS types, name, v FROM (SELECT 'temperature_2m_k' AS name, temperature_2m_k AS v FROM w UNION ALL SELECT 'relative_humidity_2m_frac', relative_humidity_2m_frac FROM w UNION ALL SELECT 'wind_speed_100m_ms', 0.0 FROM w)), (SELECT unnest(['load', 'price', 'renewable', 'solar', 'wind_onshore', 'wind_offshore', 'hydro_total', 'biomass']) AS type) WHERE list_contains(types, type) GROUP BY 1, 2")
+def columns_by_type(spark, sf):
+    """What each series type learns from, of the columns that are there."""
+    w = _weather(spark, sf).select("temperature_2m_k", "wind_speed_100m_ms", "relative_humidity_2m_frac")
+    rows = [w.unpivot([], series.weather_columns(kind, w.columns), "name", "v").withColumn("type", F.lit(kind)) for kind in jobs.TYPES if series.weather_columns(kind, w.columns)]
+    return reduce(DataFrame.unionByName, rows).groupBy("type", "name").agg(F.count("*").alias("n"), r7(F.avg("v")).alias("mean"))
+
+
+ZONES = [(c, p, w) for c, lot in (("BE", (0.5, 0.5, 0.0)), ("DE", (0.2, 0.3, 0.5)), ("FR", (1.0, 2.0, 4.0))) for p, w in enumerate(lot)]
+
+
+@query(f"""WITH {X}, h AS (SELECT country_code, date_trunc('hour', ts) AS ts, avg(y * 10) AS y FROM x WHERE quality = 'actual' GROUP BY 1, 2),
+p AS (SELECT country_code, date_trunc('hour', ts) AS ts, event_id % 4 AS point, CASE WHEN event_id % 9 > 0 THEN y + 200 END AS t FROM x), z AS (SELECT * FROM (VALUES {', '.join(f"('{c}', {p}, {w!r}::DOUBLE)" for c, p, w in ZONES)}) z(country_code, point, weight)),
+m AS (SELECT country_code, ts, sum(weight * t) / nullif(sum(CASE WHEN t IS NOT NULL THEN weight END), 0) AS t, count(DISTINCT point) AS n_points FROM p JOIN z USING (country_code, point) GROUP BY 1, 2)
+SELECT country_code, {sql_text('ts')} AS ts, round(y, 7) AS y, round(t, 7) AS temperature_2m_k, n_points FROM h LEFT JOIN m USING (country_code, ts)""")
+def training_frame_multipoint(spark, sf):
+    """Hourly load of all countries with the weather of their zones, weighted."""
+    root = _at(spark, _energy(spark, sf))
+    points = _rows(spark, sf).select("country_code", F.col("timestamp_utc").alias("ts"), (F.col("event_id") % 4).cast("int").alias("point"), F.when(F.col("event_id") % 9 > 0, F.col("y") + 200).alias("temperature_2m_k"))
+    got = series.training_multipoint(series.energy(spark, root, "load"), points, local(spark, ZONES, "country_code string, point int, weight double"), ["temperature_2m_k"])
+    return got.select("country_code", text("ts").alias("ts"), r7("y").alias("y"), r7("temperature_2m_k").alias("temperature_2m_k"), "n_points")
+
+
 @query(f"""WITH {X}, h AS (SELECT country_code, date_trunc('hour', ts) AS ts, CAST(sum(CAST(y * 10 AS DECIMAL(28,10))) AS DOUBLE) / count(*) AS y FROM x WHERE quality = 'actual' GROUP BY 1, 2),
 w AS (SELECT country_code, date_trunc('hour', ts) AS ts, min(y + 200) AS t FROM x WHERE event_id % 5 > 1 GROUP BY 1, 2)
 SELECT country_code, {sql_text('ts')} AS ts, round(y, 7) AS y, t AS temperature_2m_k FROM h LEFT JOIN w USING (country_code, ts)""")
@@ -149,13 +181,23 @@ def covariate_frame(spark, sf):
     return series.covariates([price, series.tso_load(spark, root)], ["gas"]).select("country_code", text("ts").alias("ts"), "price", "tso", "gas")
 
 
-@query(f"""WITH {F_}, p AS (SELECT country_code, date_trunc('hour', ts) AS ts, arg_max(y - 50, ts) AS target FROM x WHERE quality = 'actual' AND country_code = 'DE' AND ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-20' GROUP BY 1, 2), l AS (SELECT ts, y * 10 + 3 AS load_forecast FROM f WHERE country_code = 'DE' AND hour(ts) % 5 <> 0)
-SELECT 'DE' AS item_id, {sql_text('p.ts')} AS ts, target, load_forecast FROM p LEFT JOIN l ON l.ts = p.ts""".replace(f"WITH {F_}", f"WITH {X}, h AS (SELECT k, date_trunc('hour', ts) AS ts, CAST(sum(CAST(y AS DECIMAL(18,2))) AS DOUBLE) / count(y) AS y FROM e GROUP BY 1, 2), f AS (SELECT {SQL_COUNTRY} AS country_code, ts, y FROM h WHERE {SQL_COUNTRY} IS NOT NULL)"))
+@query(f"""WITH {X}, a AS (SELECT country_code, date_trunc('hour', ts) AS ts, avg(y * 10) AS y FROM x WHERE quality = 'actual' GROUP BY 1, 2), g AS (SELECT k, date_trunc('hour', ts) AS ts, CAST(sum(CAST(y AS DECIMAL(18,2))) AS DOUBLE) / count(y) AS y FROM e GROUP BY 1, 2)
+SELECT country_code, {sql_text('ts')} AS ts, round(a.y - (g.y * 10 + 3), 7) AS tso_error FROM a JOIN (SELECT {SQL_COUNTRY} AS country_code, ts, y FROM g WHERE hour(ts) % 5 <> 0) g USING (country_code, ts) WHERE ts >= TIMESTAMP '2024-01-12 09:00:00' AND ts < TIMESTAMP '2024-01-20 09:00:00'""")
+def recent_errors(spark, sf):
+    """Errors of the last eight days before a moment, of all countries."""
+    root = _at(spark, _energy(spark, sf) | _forecasts(spark, sf))
+    got = series.recent_errors(series.energy(spark, root, "load"), series.tso_load(spark, root), "2024-01-20 09:00:00")
+    return got.select("country_code", text("ts").alias("ts"), r7("tso_error").alias("tso_error"))
+
+
+@query(f"""WITH {X}, h AS (SELECT k, date_trunc('hour', ts) AS ts, CAST(sum(CAST(y AS DECIMAL(18,2))) AS DOUBLE) / count(y) AS y FROM e GROUP BY 1, 2), f AS (SELECT {SQL_COUNTRY} AS item_id, ts, y FROM h WHERE {SQL_COUNTRY} IS NOT NULL),
+p AS (SELECT country_code AS item_id, date_trunc('hour', ts) AS ts, arg_max(y - 50, ts) AS target FROM x WHERE quality = 'actual' AND ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-20' GROUP BY 1, 2), l AS (SELECT item_id, ts, y * 10 + 3 AS load_forecast FROM f WHERE hour(ts) % 5 <> 0)
+SELECT p.item_id, {sql_text('p.ts')} AS ts, target, load_forecast FROM p LEFT JOIN l ON l.ts = p.ts AND l.item_id = p.item_id""")
 def fine_tune_frame(spark, sf):
-    """Targets of one item with what was known ahead, for fine-tuning a sequence model."""
+    """Targets of all items with what was known ahead, for fine-tuning a sequence model."""
     root = _at(spark, _energy(spark, sf) | _forecasts(spark, sf))
-    price = series.energy(spark, root, "price", "DE", "2024-01-02", "2024-01-20")
-    known = series.tso_load(spark, root, country="DE").withColumnRenamed("tso", "load_forecast")
+    price = series.energy(spark, root, "price", None, "2024-01-02", "2024-01-20")
+    known = series.tso_load(spark, root).withColumnRenamed("tso", "load_forecast")
     got = series.fine_tuning(price, [known], "country_code")
     return got.select("item_id", text("ts").alias("ts"), "target", "load_forecast")
 
@@ -225,12 +267,53 @@ def version_to_load(spark, sf):
     return control.load_version(r, ["c", "t"])
 
 
-@query(f"""WITH {F_}, w AS (SELECT country_code, horizon, TIMESTAMP '2024-01-20' + (horizon * 24 + h) * INTERVAL 1 HOUR AS ts FROM (VALUES ('BE'), ('DE')) c(country_code), (VALUES (1), (2)) d(horizon), range(24) r(h))
-SELECT w.country_code, 'load' AS forecast_type, {sql_text('w.ts')} AS ts, CAST(epoch(w.ts - TIMESTAMP '2024-01-20 06:00:00') // 3600 AS BIGINT) AS horizon_hours, y AS forecast_value, 'persistence' AS model_name FROM w JOIN f ON f.country_code = w.country_code AND f.ts = w.ts - horizon * INTERVAL 24 HOUR""")
+TYPES = ("load", "price", "solar")
+HISTORY = f"{F_}, y AS (SELECT country_code, forecast_type, ts, y * CASE forecast_type WHEN 'load' THEN 10 WHEN 'price' THEN 2 ELSE 1 END AS y FROM f, (SELECT unnest(['load', 'price', 'solar']) AS forecast_type))"
+
+
+def _history(spark, sf):
+    """Three types of series for each country."""
+    h = hours(spark, sf).withColumn("country_code", _country()).where(F.col("country_code").isNotNull())
+    scaled = {"load": F.col("y") * 10, "price": F.col("y") * 2, "solar": F.col("y") * 1}
+    types = F.explode(F.array(*[F.struct(F.lit(t).alias("forecast_type"), c.alias("y")) for t, c in scaled.items()])).alias("t")
+    return h.select("country_code", "ts", types).select("country_code", "t.forecast_type", "ts", "t.y")
+
+
+@query(f"""WITH {HISTORY}, w AS (SELECT country_code, forecast_type, horizon, TIMESTAMP '2024-01-20' + (horizon * 24 + h) * INTERVAL 1 HOUR AS ts FROM (SELECT unnest(['BE', 'DE', 'FR']) AS country_code), (SELECT unnest(['load', 'price', 'solar']) AS forecast_type), (VALUES (1), (2)) d(horizon), range(24) r(h))
+SELECT w.country_code, w.forecast_type, {sql_text('w.ts')} AS ts, CAST(epoch(w.ts - TIMESTAMP '2024-01-20 06:00:00') // 3600 AS BIGINT) AS horizon_hours, y AS forecast_value, 'persistence' AS model_name FROM w JOIN y ON y.country_code = w.country_code AND y.forecast_type = w.forecast_type AND y.ts = w.ts - horizon * INTERVAL 24 HOUR""")
 def daily_forecasts(spark, sf):
-    """The daily job for two countries and two days ahead, stored and read back."""
-    history = hours(spark, sf).withColumn("country_code", _country()).where(F.col("country_code").isNotNull()).withColumn("forecast_type", F.lit("load"))
-    work = local(spark, [(c, "load", d) for c in ("BE", "DE") for d in (1, 2)], "country_code string, forecast_type string, horizon int")
+    """The daily job for all countries and types, two days ahead, by a runner that works and one that fails; stored and read back."""
+
+    def failing(history, hours):
+        raise RuntimeError("no such model")
+
+    work = jobs.work_list(spark, sorted(COUNTRIES.values()), list(TYPES), [1, 2])
     table = sinks.tables(spark, _folder(spark))["forecasts"]
-    sinks.save_forecasts(table, jobs.forecasts(history, work, {"persistence": jobs.persistence}, "2024-01-20 06:00:00"))
+    jobs.run_all(_history(spark, sf), work, lambda rows: sinks.save_forecasts(table, rows), "2024-01-20 06:00:00", {"persistence": jobs.persistence, "failing": failing})
     return table.read().select("country_code", "forecast_type", text("target_timestamp_utc").alias("ts"), F.col("horizon_hours").cast("long").alias("horizon_hours"), "forecast_value", "model_name")
+
+
+@query()
+def daily_boosted(spark, sf):
+    """The same job by boosted models of all series."""
+    work = jobs.work_list(spark, sorted(COUNTRIES.values()), list(TYPES), [1, 2])
+    runner = lambda h, w: jobs.boosted(h, w, validation_rows=48)
+    got = jobs.forecasts(_history(spark, sf), work, {"boosted": runner}, "2024-01-24 06:00:00")
+    return got.select("country_code", "forecast_type", text("target_timestamp_utc").alias("ts"), "horizon_hours", "forecast_value", "model_name")
+
+
+@query(f"""WITH {HISTORY}, w AS (SELECT DISTINCT country_code, forecast_type FROM y WHERE forecast_type <> 'solar' UNION SELECT 'IT', 'load'), n AS (SELECT country_code, forecast_type, count(*) AS n FROM y WHERE ts < TIMESTAMP '2024-01-25' GROUP BY 1, 2)
+SELECT w.country_code, w.forecast_type, CASE WHEN n >= 500 THEN 'completed' ELSE 'skipped' END AS status, CASE WHEN n IS NULL THEN 'no data' WHEN n < 500 THEN 'insufficient data' END AS reason, coalesce(n, 0) AS rows FROM w LEFT JOIN n USING (country_code, forecast_type)""")
+def train_all_report(spark, sf):
+    """The training job's report: which series were trained, and why not the others."""
+    work = jobs.work_list(spark, sorted(COUNTRIES.values()), ["load", "price"]).unionByName(jobs.work_list(spark, ["IT"], ["load"]))
+    report, _, _ = jobs.train_all(_history(spark, sf), work, "2024-01-24 06:00:00", least_rows=500, validation_rows=48, params={"rounds": 20})
+    return report.select("country_code", "forecast_type", "status", "reason", "rows")
+
+
+@query()
+def train_all_losses(spark, sf):
+    """The training job's losses beside persistence's, of all series."""
+    work = jobs.work_list(spark, sorted(COUNTRIES.values()), list(TYPES))
+    report, _, _ = jobs.train_all(_history(spark, sf), work, "2024-01-24 06:00:00", least_rows=500, validation_rows=48)
+    return report

@@ -159,6 +159,17 @@ def error_distribution(spark, sf):
     return rounded(evaluation.error_distribution(scored(spark, sf), ["k"]))
 
 
+@query(f"WITH {P} SELECT k, q, count(*) AS n, true AS within FROM a, (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95])::DOUBLE AS q) GROUP BY 1, 2")
+def error_quantiles(spark, sf):
+    """Quantiles of errors from sketches of single days, put together, and whether each one's true rank is as near as promised."""
+    s = scored(spark, sf)
+    got = evaluation.error_quantiles(evaluation.error_sketches(s.withColumn("day", F.to_date("ts")), ["k", "day"]), ["k"])
+    e = s.select("k", (F.col("p") - F.col("y")).alias("e"))
+    ranks = e.join(got, "k").groupBy("k", "q", "n").agg(F.avg((F.col("e") <= F.col("value")).cast("double")).alias("high"), F.avg((F.col("e") < F.col("value")).cast("double")).alias("low"))  # five quantiles a series
+    within = (F.col("low") - evaluation.RANK_ERROR <= F.col("q")) & (F.col("q") <= F.col("high") + evaluation.RANK_ERROR)
+    return ranks.select("k", "q", "n", within.alias("within"))
+
+
 @query(f"WITH {P}, x AS (SELECT k, strftime(ts, '%Y-%m-%d') AS day, y, p FROM a) SELECT k, day, {CORE} FROM x GROUP BY GROUPING SETS ((k, day), (k))")
 def daily_rollup(spark, sf):
     return rounded(evaluation.daily_and_total(scored(spark, sf).withColumn("day", F.date_format("ts", "yyyy-MM-dd")), ["k"]))

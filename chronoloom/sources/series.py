@@ -21,6 +21,17 @@ VALUES = {
     "biomass": ("energy_renewable", "biomass_mw"),
 }
 WEATHER = ["temperature_2m_k", "relative_humidity_2m_frac", "wind_speed_10m_ms", "wind_speed_100m_ms", "shortwave_radiation_wm2", "direct_radiation_wm2", "diffuse_radiation_wm2"]
+#: Weather columns that a series type learns from. Fixed values.
+WEATHER_OF = {
+    "load": ["temperature_2m_k", "relative_humidity_2m_frac"],
+    "price": ["temperature_2m_k", "wind_speed_100m_ms", "shortwave_radiation_wm2"],
+    "renewable": ["shortwave_radiation_wm2", "direct_radiation_wm2", "diffuse_radiation_wm2", "wind_speed_100m_ms", "wind_speed_10m_ms"],
+    "solar": ["shortwave_radiation_wm2", "direct_radiation_wm2", "diffuse_radiation_wm2"],
+    "wind_onshore": ["wind_speed_100m_ms", "wind_speed_10m_ms"],
+    "wind_offshore": ["wind_speed_100m_ms", "wind_speed_10m_ms"],
+    "hydro_total": ["temperature_2m_k"],
+    "biomass": ["temperature_2m_k"],
+}
 #: Forecast columns by series type; any other type reads the total. Fixed values.
 GENERATION = {"solar": "solar_mw", "wind_onshore": "wind_onshore_mw", "wind_offshore": "wind_offshore_mw"}
 
@@ -52,6 +63,13 @@ def energy(spark: SparkSession, root: str, kind: str, country: str | None = None
     return between(df, start, end, country_code=country, data_quality=None if parts else quality).select("country_code", F.col("timestamp_utc").alias("ts"), value_of(kind).alias("y"))
 
 
+def history(spark: SparkSession, root: str, types: list[str], countries: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """(country_code, forecast_type, ts, y): hourly means of several series types under each other."""
+    each = [energy(spark, root, kind, None, start, end) for kind in types]
+    chosen = [e if countries is None else e.where(F.col("country_code").isin(countries)) for e in each]
+    return reduce(DataFrame.unionByName, [shape.resample(e, ["country_code"]).withColumn("forecast_type", F.lit(kind)) for kind, e in zip(types, chosen, strict=True)])
+
+
 def weather(spark: SparkSession, root: str, country: str | None = None, start: str | None = None, end: str | None = None, quality: str = "actual", columns: list[str] = WEATHER) -> DataFrame:
     df = between(spark.read.parquet(f"{root}/weather_data.parquet"), start, end, country_code=country, data_quality=quality)
     return df.select("country_code", F.col("timestamp_utc").alias("ts"), "forecast_run_time", *columns)
@@ -64,6 +82,40 @@ def latest_weather(spark: SparkSession, root: str, start: str, end: str, country
     return joins.with_fallback(joins.latest_run(rows, ["country_code", "day"], "forecast_run_time"), actual, ["country_code", "day"])
 
 
+def weather_run(spark: SparkSession, root: str, start: str, end: str, run: str | None = None, country: str | None = None, columns: list[str] = WEATHER) -> DataFrame:
+    """Forecast weather as one run gave it; without `run`, as each country's latest run for these hours did."""
+    rows = weather(spark, root, country, start, end, "forecast", columns)
+    if run is not None:
+        return rows.where(F.col("forecast_run_time") == F.lit(run).cast("timestamp"))
+    return joins.latest_run(rows, ["country_code"], "forecast_run_time")
+
+
+def weather_columns(kind: str, there: list[str], derived: tuple[str, ...] = ("temperature_c", "heating_degree", "cooling_degree")) -> list[str]:
+    """Of the columns that are there those that a series type learns from, in the type's order; what is derived from the temperature comes along, degrees of
+    heating and cooling for loads only."""
+    if kind not in WEATHER_OF:
+        raise ValueError(f"no series type {kind!r}; there are {', '.join(WEATHER_OF)}")
+    also = [c for c in derived if c in there and (kind == "load" or "degree" not in c)]
+    return [c for c in WEATHER_OF[kind] if c in there] + (also if "temperature_2m_k" in WEATHER_OF[kind] else [])
+
+
+def recent_errors(actual: DataFrame, tso: DataFrame, as_of: str, days: int = 8) -> DataFrame:
+    """Truth beside the external forecast, and its error, of the `days` before `as_of`: what a correction needs of the past. Filters reach both scans."""
+    until = F.lit(as_of).cast("timestamp")
+    near = lambda df: df.where((F.col("ts") >= until - F.make_dt_interval(days=F.lit(days))) & (F.col("ts") < until))
+    return tso_beside_actual(near(actual), near(tso))
+
+
+def training_multipoint(energy_rows: DataFrame, points: DataFrame, zones: DataFrame, columns: list[str], most_zones: int = 10_000) -> DataFrame:
+    """Hourly means of the target with the weather of its country, weighted over the points of `zones` (country_code, point, weight): of each column over the
+    points that have a value in the hour. `zones` is broadcast up to `most_zones` rows, more are joined by shuffle."""
+    table = F.broadcast(zones) if zones.limit(most_zones + 1).count() <= most_zones else zones
+    w = lambda c: F.when(F.col(c).isNotNull(), F.col("weight"))
+    hours = points.withColumn("ts", F.date_trunc("hour", "ts")).join(table, ["country_code", "point"])
+    means = hours.groupBy("country_code", "ts").agg(*[F.try_divide(F.sum(w(c) * F.col(c)), F.sum(w(c))).alias(c) for c in columns], F.count_distinct("point").alias("n_points"))
+    return shape.resample(energy_rows, ["country_code"]).join(means, ["country_code", "ts"], "left")
+
+
 def multipoint(spark: SparkSession, root: str, kind: str, country: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
     df = between(spark.read.parquet(f"{root}/weather_data_multipoint.parquet"), start, end, country_code=country, forecast_type=kind)
     return df.withColumnRenamed("timestamp_utc", "ts")
@@ -111,7 +163,7 @@ def fine_tuning(target: DataFrame, known: list[DataFrame], key: str = "country_c
 def zone_mean(points: DataFrame, zones: DataFrame, by: list[str], on: list[str], value: str) -> DataFrame:
     """The mean of points by their zones' weights, over the weights of points that have a value, and how many those are."""
     w = F.when(F.col(value).isNotNull(), F.col("weight"))
-    return points.join(F.broadcast(zones), on).groupBy(*by).agg(F.try_divide(F.sum(w * F.col(value)), F.sum(w)).alias(value), F.count(value).alias("n_points"))  # zones: a fixed list of under a hundred
+    return points.join(zones, on).groupBy(*by).agg(F.try_divide(F.sum(w * F.col(value)), F.sum(w)).alias(value), F.count(value).alias("n_points"))
 
 
 def latest(df: DataFrame, by: list[str], ts: str = "timestamp_utc") -> DataFrame:

@@ -203,3 +203,22 @@ def test_feature_sets(spark):
     assert got["a"].better == got["b"].better == "b" and got["a"].mae_b < got["a"].mae_a / 2 and got["a"].n == 540 and got["a"].blocks == 23
     assert got["c"].better != "b" or got["c"].change_pct > -5
     assert boosting.BINS == 64
+
+
+def test_commands(spark, tmp_path):
+    """Baselines, training with promotion, and forecasts by the model in production, as commands on tables of two countries."""
+    from chronoloom import __main__ as commands
+
+    root = str(tmp_path)
+    rows = [(c, T0 + timedelta(hours=h), float(100 + h % 24 * 5 + d + h // 24 % 3), "actual") for c, d in (("BE", 0), ("DE", 50)) for h in range(24 * 40)]
+    spark.createDataFrame(rows, "country_code string, timestamp_utc timestamp, load_mw double, data_quality string").write.parquet(f"{root}/energy_load.parquet")
+    common = ["--root", root, "--as-of", "2024-02-05 06:00:00", "--types", "load", "--countries", "be,de,it"]
+    assert commands.main(["baselines", *common]) == 0
+    assert commands.main(["train", *common, "--rounds", "60", "--least-rows", "300", "--validation-rows", "100", "--promote", "--min-skill", "-1"]) == 0
+    assert commands.main(["forecast", *common, "--horizons", "1,2"]) == 0
+    tables = sinks.tables(spark, f"{root}/out")
+    assert tables["model_evaluations"].read().groupBy("is_baseline").count().orderBy("is_baseline").collect() == [(False, 2), (True, 6)]
+    got = tables["forecasts"].read().where("model_name = 'production'").collect()
+    assert len(got) == 2 * 2 * 24 and all(abs(r.forecast_value - (100 + r.target_timestamp_utc.hour * 5 + (50 if r.country_code == "DE" else 0))) < 10 for r in got)
+    assert {(r.run_type, r.status) for r in tables["forecast_runs"].read().collect()} == {("persistence", "completed"), ("production", "completed")}
+    assert spark.read.option("header", True).csv(f"{root}/out/reports/train-20240205_060000").count() == 3
