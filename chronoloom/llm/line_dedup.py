@@ -23,8 +23,8 @@ from .common import forget, freeing, utf8, written
 
 MIN_CHARS, MIN_DOCS, SHARDS = 40, 5, 64
 SLOTS, KICKS = 4, 500
-#: Bytes of filters in one broadcast, and how many of those are made.
-FILTER_BYTES, BLOCKS = 64 << 20, 16
+#: Bytes of filters in one broadcast. Keys that are joined by broadcast, the commonest ones: no other key has more than a thousandth of all postings.
+FILTER_BYTES, COMMONEST = 64 << 20, 1000
 KEY = ["shard", "h1", "h2"]
 
 
@@ -143,12 +143,12 @@ class LineIndex:
 
     @classmethod
     def of(cls, docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shards: int = SHARDS) -> LineIndex:
-        posted = written(postings(docs, key, text, min_chars, shards), "postings")
+        posted = written(postings(docs, key, text, min_chars, shards).sortWithinPartitions("shard"), "postings")
         counts = written(counted(posted), "counts")
         return cls(posted, counts, written(built(counts, min_docs), "filters"), min_chars, min_docs, shards)
 
     def _next(self, posted: DataFrame, counts: DataFrame, touched: DataFrame) -> LineIndex:
-        posted, counts = written(posted.select(*KEY, "doc"), "postings"), written(counts.select(*KEY, "refs", "last"), "counts")
+        posted, counts = written(posted.select(*KEY, "doc").sortWithinPartitions("shard"), "postings"), written(counts.select(*KEY, "refs", "last"), "counts")
         return LineIndex(posted, counts, written(self._refiltered(counts, touched), "filters"), self.min_chars, self.min_docs, self.shards)
 
     def _refiltered(self, counts: DataFrame, touched: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ class LineIndex:
         forget(self.postings, self.counts, self.filters)
 
     def _probed(self, shards: list[int]) -> DataFrame:
-        """The postings of some shards that their filters might hold."""
+        """The postings of some shards that their filters might hold, written out. Postings lie by shard within their files, so others are skipped."""
         mine = F.col("shard").isin(shards)
         shared = self.postings.sparkSession.sparkContext.broadcast({r.shard: (r.buckets, bytes(r.cells)) for r in self.filters.where(mine).collect()})
 
@@ -209,13 +209,15 @@ class LineIndex:
                         keep[part] = f.might_hold(h1[part])
                 yield batch.filter(pa.array(keep))
 
-        return self.postings.where(mine).mapInArrow(freeing(probe), "shard int, h1 long, h2 long, doc long")
+        found = written(self.postings.where(mine).mapInArrow(freeing(probe), "shard int, h1 long, h2 long, doc long"), "likely")
+        shared.unpersist()
+        return found
 
     def drops(self) -> DataFrame:
         """(doc, drop array<binary>): for each document the keys whose lines it loses: those of `min_docs` documents or more, unless it is the largest of them.
 
         Each shard's filter is probed first, so that few postings reach the join with the exact counts. Filters are broadcast in blocks of shards of
-        FILTER_BYTES at most; with more than BLOCKS of these the rest of the postings goes to the join unprobed, which changes its cost, not its result.
+        FILTER_BYTES at most (or a single larger one), any number of blocks, one after the other. In the join the commonest keys are broadcast.
         """
         blocks: list[list[int]] = [[]]
         held = 0
@@ -225,11 +227,13 @@ class LineIndex:
                 held = 0
             blocks[-1].append(shard)
             held += size
-        probed = [self._probed(x) for x in blocks[:BLOCKS]]
-        rest = [self.postings.where(F.col("shard").isin([s for x in blocks[BLOCKS:] for s in x]))] if blocks[BLOCKS:] else []
-        likely = reduce(DataFrame.unionByName, probed + rest)
+        likely = reduce(DataFrame.unionByName, [self._probed(x) for x in blocks])
         hot = self.counts.where(F.col("refs") >= self.min_docs)
-        return likely.join(hot, KEY).where("doc < last").groupBy("doc").agg(F.collect_list(F.struct("h1", "h2")).alias("drop"))
+        common = hot.orderBy(F.desc("refs"), *KEY).limit(COMMONEST).select(*KEY, F.col("last").alias("most"))
+        split = likely.join(F.broadcast(common), KEY, "left")
+        rest = split.where("most is null").drop("most").join(hot, KEY).where("doc < last")
+        lost = split.where("doc < most").select("doc", "h1", "h2").unionByName(rest.select("doc", "h1", "h2"))
+        return lost.groupBy("doc").agg(F.collect_list(F.struct("h1", "h2")).alias("drop"))
 
 
 def dedup_lines(docs: DataFrame, index: LineIndex, key: str = "doc_id", text: str = "text", whole: bool = True) -> DataFrame:

@@ -339,11 +339,9 @@ def test_line_dedup_is_reversible(docs, empty, texts):
     assert lines_of(empty, line_dedup.LineIndex.of(empty)) == {}
 
 
-def test_line_dedup_without_filters_and_with_odd_rows(spark, docs, texts, monkeypatch):
+def test_line_dedup_in_blocks_and_with_odd_rows(spark, docs, texts, monkeypatch):
     monkeypatch.setattr(line_dedup, "FILTER_BYTES", -1)  # a block for each shard
     assert lines_of(docs, line_dedup.LineIndex.of(docs, shards=7)) == brute_lines(texts)
-    monkeypatch.setattr(line_dedup, "BLOCKS", 2)
-    assert lines_of(docs, line_dedup.LineIndex.of(docs, shards=7)) == brute_lines(texts)
     line = "x" * 40
     df = spark.createDataFrame([(k, line, None) for k in (1, 2, 3, 4, 5, 5, None)], "doc_id long, text string, kept string")
     got = sorted(((r.doc_id or 0, r.n_dropped) for r in line_dedup.dedup_lines(df, line_dedup.LineIndex.of(df)).collect()))
