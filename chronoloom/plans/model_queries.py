@@ -124,7 +124,7 @@ w AS (SELECT k, date_trunc('hour', ts) AS ts, arg_max(y + 250, event_id) AS t FR
 @query(f"""WITH {PAST}, x AS (SELECT k, horizon, TIMESTAMP '2024-01-24 00:00:00' + (horizon * 24 + r) * INTERVAL 1 HOUR AS ts FROM (SELECT DISTINCT k FROM h UNION SELECT 'nobody'), (VALUES (1), (2)) d(horizon), range(24) v(r)),
 z AS (SELECT x.k, x.horizon, x.ts, l1, l7, l14, m24, last.k IS NOT NULL AS has, CASE WHEN last.k IS NOT NULL THEN coalesce(w.t, last.t) END AS t, CASE WHEN last.k IS NULL THEN coalesce(mean.m, 0.0) END AS fallback FROM x LEFT JOIN last ON last.k = x.k AND hour(last.ts) = hour(x.ts) LEFT JOIN mean ON mean.k = x.k LEFT JOIN w ON w.k = x.k AND w.ts = x.ts)
 SELECT k, horizon, {sql_text('ts')} AS ts, l1, l7, l14, round(m24 + {HALF}, 7) AS m24, CASE WHEN has THEN CAST(hour(ts) AS BIGINT) END AS hour, CASE WHEN has THEN CAST(isodow(ts) - 1 AS BIGINT) END AS day_of_week, CASE WHEN has THEN CAST(isodow(ts) >= 6 AS BIGINT) END AS is_weekend,
-round(t, 7) AS temperature_2m_k, round(t - 273.15, 7) AS temperature_c, CASE WHEN k = 'click' THEN round(greatest(0.0, 18 - (t - 273.15)), 7) END AS heating_degree, round(fallback, 7) AS fallback FROM z""")
+round(t, 7) AS temperature_2m_k, round(t - 273.15, 7) AS temperature_c, CASE WHEN k = 'click' AND t IS NOT NULL THEN round(greatest(0.0, 18 - (t - 273.15)), 7) END AS heating_degree, round(fallback, 7) AS fallback FROM z""")
 def predict_frame(spark, sf):
     """The rows to forecast, one and two days ahead, for every series and one without a past: features of the same hour, the target's calendar, the latest
     weather known by then, and fallbacks."""
@@ -201,7 +201,7 @@ POISSON = " + ".join(f"CASE WHEN u >= {s!r} THEN 1 ELSE 0 END" for s in comparis
 @query(f"""WITH {H}, l AS (SELECT h.k, CAST(h.ts AS DATE) AS day, abs(a.y - h.y) AS a, abs(b.y - h.y) - abs(a.y - h.y) AS d FROM h JOIN h a ON a.k = h.k AND a.ts = h.ts - INTERVAL 24 HOUR JOIN h b ON b.k = h.k AND b.ts = h.ts - INTERVAL 168 HOUR),
 s AS (SELECT k, day, sum(d) AS s, count(*) AS n FROM l GROUP BY 1, 2),
 u AS (SELECT *, CAST('0x' || substr(md5(strftime(day, '%Y-%m-%d') || '|' || CAST(draw AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM s, range(200) r(draw)),
-m AS (SELECT k, draw, sum(w * s) / sum(w * n) AS m FROM (SELECT *, {POISSON} AS w FROM u) GROUP BY 1, 2), i AS (SELECT k, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY k),
+m AS (SELECT k, draw, sum(w * s) / nullif(sum(w * n), 0) AS m FROM (SELECT *, {POISSON} AS w FROM u) GROUP BY 1, 2), i AS (SELECT k, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY k),
 t AS (SELECT k, avg(a) AS mae_a, avg(a + d) AS mae_b, avg(d) AS mean, count(*) AS n, count(DISTINCT day) AS blocks FROM l GROUP BY k)
 SELECT k, n, blocks, round(mae_a, 7) AS mae_a, round(mae_b, 7) AS mae_b, round(mean / mae_a * 100, 7) AS change_pct, round(mean, 7) AS mean, round(low, 7) AS low, round(high, 7) AS high, CASE WHEN high < 0 THEN 'b' WHEN low > 0 THEN 'a' ELSE 'neither' END AS better FROM t JOIN i USING (k)""")
 def ab_baselines(spark, sf):
