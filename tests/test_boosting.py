@@ -88,7 +88,7 @@ def test_a_hundred_series_and_six_folds_in_one_job(spark, many):
     got = models.select("k", "fold", "n").collect()
     assert len(got) == 600
     jobs = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before
-    assert len(jobs) <= 6  # stages of one query, not a job for each model
+    assert len(jobs) < 20  # the stages of one query, each a job with adaptive execution, and not a job for each of 600 models
     want = {(r.k, r.fold): r.n for r in rows.where("role = 'train'").groupBy("k", "fold").agg(F.count("*").alias("n")).collect()}
     assert {(r.k, r.fold): r.n for r in got} == want
     scored = boosting.out_of_fold(rows, ["k"], ["x", "hour", "z"], trials=[{"rounds": 60}])
