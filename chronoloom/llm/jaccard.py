@@ -25,7 +25,7 @@ from .shingles import shingle_sets
 
 N, SIMILAR = 5, 75
 #: Shingles that a fragment's task holds, sets in one block of a group that shares a shingle, and cells of a set's histogram.
-FRAGMENT, GROUP, CELLS = 1 << 20, 20_000, 256
+FRAGMENT, GROUP, CELLS = 1 << 19, 20_000, 256
 ROUNDS = (3, None)
 
 
