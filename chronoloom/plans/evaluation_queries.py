@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics, scalars
 from ..operators import control, crossval, evaluation, joins, windows
 from ..sources import series
-from .registry import D, E, H, days, events, hours, local, query, r7, read, sql_mean, sql_text, text
+from .registry import D, E, H, HALF, days, events, hours, local, query, r7, read, sql_mean, sql_text, text
 from .series_queries import S, of, r9, regular
 
 W = "(PARTITION BY k ORDER BY ts)"
@@ -76,10 +76,11 @@ def metric_direction(spark, sf):
 PEAK = "hour(ts) IN (8, 9, 10, 11, 17, 18, 19, 20)"
 
 
-@query(f"WITH {P}, m AS (SELECT k, avg(CASE WHEN {PEAK} THEN abs(p - y) END) AS i, avg(CASE WHEN NOT {PEAK} THEN abs(p - y) END) AS o, 100 * avg(CASE WHEN {PEAK} AND abs(y) > 1 THEN abs((p - y) / y) END) AS pm FROM a GROUP BY k) SELECT k, round(i, 7) AS peak_mae, round(o, 7) AS offpeak_mae, round(pm, 7) AS peak_mape, CASE WHEN i > 0 AND o > 0 THEN round(i / o, 7) END AS peak_ratio FROM m")
+@query(f"WITH {P}, m AS (SELECT k, avg(CASE WHEN {PEAK} THEN abs(p - y) END) AS i, avg(CASE WHEN NOT {PEAK} THEN abs(p - y) END) AS o, 100 * avg(CASE WHEN {PEAK} AND abs(y) > 1 THEN abs((p - y) / y) END) AS pm FROM a GROUP BY k) SELECT k, round(i + {HALF}, 7) AS peak_mae, round(o + {HALF}, 7) AS offpeak_mae, round(pm, 7) AS peak_mape, CASE WHEN i > 0 AND o > 0 THEN round(i / o, 7) END AS peak_ratio FROM m")
 def metric_peak(spark, sf):
     out = scored(spark, sf).withColumn("hour", F.hour("ts"))
-    return rounded(out.groupBy("k").agg(*[c.alias(n) for n, c in metrics.peak("hour").items()]))
+    out = out.groupBy("k").agg(*[c.alias(n) for n, c in metrics.peak("hour").items()])
+    return rounded(out.withColumns({c: F.col(c) + HALF for c in ("peak_mae", "offpeak_mae")}))
 
 
 @query(f"WITH {B}, m AS (SELECT k, avg(abs(weekly - y)) AS x, avg(abs(persistence - y)) AS z FROM b WHERE weekly IS NOT NULL AND persistence IS NOT NULL GROUP BY k) SELECT k, round(1 - x / nullif(z, 0), 9) AS skill, round(CASE WHEN z = 0 THEN 0.0 ELSE 1 - x / z END, 9) AS skill_or_zero FROM m")
