@@ -19,6 +19,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +32,10 @@ DECAY, SPAN = 0.6, 7
 LONG, STEP = 24, 12
 #: Labelled rows to fit on (a bound; fewer if there are fewer) and the sentences of each that are looked at in a round; words among which landmarks are
 #: chosen; landmarks; words kept by a worker.
-SAMPLE_ROWS, SENTENCES, CANDIDATES, LANDMARKS, KEPT = 4000, 6, 3000, 96, 100_000
+SAMPLE_ROWS, SENTENCES, CANDIDATES, LANDMARKS, KEPT = 4000, 6, 3000, 96, 120_000
 ROUNDS = 3
+#: Words whose kernels are gathered at once, fewer than a generation of words kept, and bytes of texts that are cut into words at once.
+PART, BYTES = 40_000, 1 << 20
 #: Sentences of more words come as windows of so many, half as far apart.
 WORDS = 24
 #: A toxic text whose worst sentence has a lower margin than this shows nothing that others show; it isn't learned from.
@@ -180,17 +183,16 @@ def kernel(words: list[str], letters: str, triples: Triples) -> np.ndarray:
     for at, x in _by_length(words):
         c = _coded(x, letters)
         i, j, k, w, scale = _triples(x.shape[1])
-        step = max(1, 20_000 // len(i))
-        weight = (w / scale).astype(np.float32)
-        for lo in range(0, len(at), step):
-            y = c[lo : lo + step]
-            f = triples.at((y[:, i] * a + y[:, j]) * a + y[:, k])
-            row, column = np.nonzero(f)
-            if len(row):
-                begins = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                held = triples.rows[f[row, column]]
-                held *= weight[column, None]
-                out[np.array(at[lo : lo + step])[row[begins]]] = np.add.reduceat(held, begins)
+        place = np.ascontiguousarray(triples.at((c[:, i] * a + c[:, j]) * a + c[:, k]).T)
+        total, held = np.zeros((len(at), out.shape[1]), np.float32), np.empty((len(at), out.shape[1]), np.float32)
+        for span in np.unique(k - i):  # triples of one span weigh the same
+            first, *others = np.flatnonzero(k - i == span)
+            some = triples.rows[place[first]]
+            for t in others:
+                some += np.take(triples.rows, place[t], axis=0, out=held, mode="clip")
+            some *= np.float32(w[first] / scale)
+            total += some
+        out[at] = total
     return (out + out**4) / 2
 
 
@@ -398,31 +400,47 @@ class Reader:
     """Kernels of words, kept for at most KEPT of them, and from these those of sentences."""
 
     def __init__(self, machine: Machine) -> None:
-        self.machine, self.known = machine, {}
-        self.rows = np.zeros((1 << 10, machine.triples.rows.shape[1]), np.float32)
+        self.machine, self.known, self.before = machine, {}, {}
+        self.rows = self.rows_before = np.zeros((0, machine.triples.rows.shape[1]), np.float32)
 
     def _places(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > KEPT:
-            self.known = {}
-        if missing := [w for w in words if w not in self.known]:
-            n = len(self.known)
+        """See to it that `words` are known. Words come in two generations; what the older one alone holds goes when the younger one is full."""
+        missing = words - self.known.keys()
+        if len(self.known) + len(missing) > KEPT // 2:
+            self.before, self.rows_before = self.known, self.rows
+            self.known, self.rows, missing = {}, self.rows[:0], words
+        if missing:
+            n, old = len(self.known), [w for w in missing if w in self.before]
+            new = [w for w in missing if w not in self.before]
             if n + len(missing) > len(self.rows):
-                self.rows = np.resize(self.rows, (max(n + len(missing), min(2 * len(self.rows), KEPT)), self.rows.shape[1]))
-            self.rows[n : n + len(missing)] = self.machine.features(missing)
-            self.known.update(zip(missing, range(n, n + len(missing)), strict=True))
+                rows = np.zeros((max(n + len(missing), min(2 * n, KEPT // 2), 1 << 10), self.rows.shape[1]), np.float32)
+                rows[:n] = self.rows[:n]
+                self.rows = rows
+            self.rows[n : n + len(old)] = self.rows_before[[self.before[w] for w in old]]
+            self.rows[n + len(old) : n + len(missing)] = self.machine.features(new)
+            self.known.update(zip(chain(old, new), range(n, n + len(missing)), strict=True))
 
     def kernels(self, sentences: list[list[str]]) -> Iterator[np.ndarray]:
-        """Of each sentence with each landmark that of its closest word, about 20,000 words at a time."""
+        """Of each sentence with each landmark that of its closest word, about PART words at a time."""
         at = 0
         while at < len(sentences):
             end, n = at, 0
-            while end < len(sentences) and (n == 0 or n + len(sentences[end]) <= 20_000):
+            while end < len(sentences) and (n == 0 or n + len(sentences[end]) <= PART):
                 n += len(sentences[end])
                 end += 1
             part = sentences[at:end]
             self._places(set().union(*part))
-            rows = self.rows[np.fromiter(map(self.known.__getitem__, chain.from_iterable(part)), np.int64, n)]
-            yield np.maximum.reduceat(rows, np.cumsum([0, *map(len, part)])[:-1], axis=0)
+            place = np.fromiter(map(self.known.__getitem__, chain.from_iterable(part)), np.int64, n)
+            size = np.array(list(map(len, part)))
+            order = np.argsort(-size, kind="stable")  # long sentences first: those with a k-th word are the first ones
+            size, begin = size[order], (np.cumsum(size) - size)[order]
+            most = self.rows[place[begin]]
+            for k in range(1, int(size[0])):
+                held = most[: np.searchsorted(-size, -k)]
+                np.maximum(held, self.rows[place[begin[: len(held)] + k]], out=held)
+            out = np.empty_like(most)
+            out[order] = most
+            yield out
             at = end
 
 
@@ -455,13 +473,17 @@ def scored(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "
         reader = Reader(machine)
         for batch in batches:
             margins = np.full(batch.num_rows, machine.intercept)
-            for at in range(0, batch.num_rows, 64):
-                parts = [sentences_of(t.as_py() or "") for t in batch.column(0).slice(at, 64)]
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy().astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BYTES, "right")))
+                parts = [sentences_of(t.as_py() or "") for t in batch.column(0).slice(at, upto - at)]
                 if every := list(chain.from_iterable(parts)):
                     each = np.concatenate([x @ machine.weights for x in reader.kernels(every)]) + np.float32(machine.intercept)
                     size = np.array([len(p) for p in parts])
                     begins = (np.cumsum(size) - size)[size > 0]
                     margins[at + np.flatnonzero(size)] = np.maximum.reduceat(each, begins)
+                at = upto
             scores = [machine.score(m) for m in margins.tolist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *batch.columns[:whole], pa.array(margins, pa.float64()), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], [*batch.schema.names[1:], *[text][:whole], "margin", "score", "predicted"])
 
