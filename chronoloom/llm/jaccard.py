@@ -26,6 +26,8 @@ from .shingles import shingle_sets
 N, SIMILAR = 5, 75
 #: Shingles that a fragment's task holds, sets in one block of a group that shares a shingle, and cells of a set's histogram.
 FRAGMENT, GROUP, CELLS = 1 << 19, 20_000, 256
+#: Pairs that are held at a time, and members of a group that aren't paired all at once.
+PAIRS, LARGE = 1 << 20, 64
 ROUNDS = (3, None)
 
 
@@ -121,6 +123,90 @@ def needed(a, b, similar: int = SIMILAR):
     return -(-similar * (a + b) // (100 + similar))
 
 
+def _apart(n: np.ndarray, label: np.ndarray, parts: list[np.ndarray], similar: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs x < y of sets with different labels that share a shingle of `parts` and whose sizes allow a link; sets come in order of size. At most about PAIRS pairs are
+    held at a time. Small groups are paired all at once, and a pair may come again; in large ones each set is paired once with all its later partners."""
+    h, owner = np.concatenate([np.zeros(0, np.uint64), *parts]), np.repeat(np.arange(len(parts)), np.array([len(p) for p in parts], np.int64))
+    order = np.lexsort((owner, h))
+    h, owner = h[order], owner[order]
+    begins = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
+    size = np.diff(np.append(begins, len(h)))
+    several = np.minimum.reduceat(label[owner], begins) != np.maximum.reduceat(label[owner], begins) if len(h) else size > 0  # else nothing is apart
+    live, apart, waiting = np.flatnonzero(np.repeat(several & (size <= LARGE), size)), 1, [np.zeros(0, np.int64)]
+    while len(live):  # members of a small group, `apart` places from each other
+        live = live[live + apart < len(h)]
+        live = live[h[live] == h[live + apart]]
+        live = live[100 * n[owner[live]] >= similar * n[owner[live + apart]]]  # a larger partner yet won't fit either
+        for k in range(0, len(live), PAIRS):
+            x, y = owner[live[k : k + PAIRS]], owner[live[k : k + PAIRS] + apart]
+            waiting.append((x * len(n) + y)[label[x] != label[y]])
+            if sum(map(len, waiting)) > PAIRS:
+                both = np.unique(np.concatenate(waiting))
+                yield both // len(n), both % len(n)
+                waiting = waiting[:1]
+        apart += 1
+    both = np.unique(np.concatenate(waiting))
+    yield both // max(1, len(n)), both % max(1, len(n))
+    many = np.flatnonzero(np.repeat(several & (size > LARGE), size))
+    end = np.repeat(begins + size, size)[many]
+    order = np.argsort(owner[many], kind="stable")
+    many, end, who = many[order], end[order], owner[many[order]]
+    met = np.zeros(len(n), bool)
+    edges = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])) if len(who) else np.zeros(0, int)
+    for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(who)], strict=True) if len(who) else ():
+        x = int(who[lo])
+        top = int(np.searchsorted(n, 100 * int(n[x]) // similar, "right"))  # larger ones don't fit
+        for at, stop in zip(many[lo:hi].tolist(), end[lo:hi].tolist(), strict=True):
+            met[owner[at + 1 : stop]] = True
+        y = np.flatnonzero(met[x + 1 : top]) + x + 1
+        met[x + 1 :] = False
+        if len(y := y[label[y] != label[x]]):
+            yield np.full(len(y), x), y
+
+
+def partners(doc: np.ndarray, n: np.ndarray, label: np.ndarray, cells: np.ndarray, parts: list[np.ndarray], most: int | None, similar: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs a < b of documents for `_candidates`, in blocks: those whose histograms `cells` allow the overlap needed, of each b the `most` likeliest (all if None).
+
+    Pairs are scored as they come and of these only the best are kept, so memory grows with the sets, not with their pairs."""
+    order = np.lexsort((doc, n))
+    doc, n, label, cells, parts = doc[order], n[order], label[order], cells[order], [parts[k] for k in order.tolist()]
+    least = np.ones(len(doc), np.float32)  # what a pair must reach to be among the best of its later document
+    best = np.zeros((2, 0), np.int64), np.zeros(0, np.float32)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        pair, score = (np.concatenate(w, axis=-1) for w in zip(best, *waiting, strict=True))
+        waiting.clear()
+        at = np.lexsort((doc[pair[0]], -score, pair[1]))
+        at = at[np.concatenate([[True], (pair[:, at][:, 1:] != pair[:, at][:, :-1]).any(0)])] if len(at) else at
+        pair, score = pair[:, at], score[at]
+        if most is not None and len(at):
+            begins = np.flatnonzero(np.concatenate([[True], pair[1, 1:] != pair[1, :-1]]))
+            rank = np.arange(len(at)) - np.repeat(begins, np.diff(np.append(begins, len(at))))
+            least[pair[1, rank == most - 1]] = score[rank == most - 1]
+            pair, score = pair[:, rank < most], score[rank < most]
+        return pair, score
+
+    for x, y in _apart(n, label, parts, similar):
+        for k in range(0, len(x), 4096):
+            i, j = x[k : k + 4096], y[k : k + 4096]
+            one = cells[i[:1]] if i[0] == i[-1] and (i == i[0]).all() else cells[i]
+            score = (np.minimum(one, cells[j]).sum(1, dtype=np.int64) / needed(n[i], n[j], similar)).astype(np.float32)
+            pair = np.where(doc[i] < doc[j], [i, j], [j, i])
+            keep = score >= least[pair[1]]
+            if keep.any():
+                waiting.append((pair[:, keep], score[keep]))
+                held += int(keep.sum())
+        if held > PAIRS:
+            best, held = merged(), 0
+            if most is None:
+                yield doc[best[0][0]], doc[best[0][1]]
+                best = best[0][:, :0], best[1][:0]
+    best = merged()
+    yield doc[best[0][0]], doc[best[0][1]]
+
+
 def _candidates(sets: DataFrame, fragments: int, most: int | None, similar: int) -> DataFrame:
     """(a, b) of sets with different labels that share a first shingle, whose sizes and histograms allow the overlap needed; for each b the `most` likeliest."""
     arrow = pa.schema([("part", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("label", pa.int64()), ("cells", pa.binary()), ("hashes", pa.binary())])
@@ -146,45 +232,15 @@ def _candidates(sets: DataFrame, fragments: int, most: int | None, similar: int)
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    def pairs(group: pa.Table) -> pa.Table:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(batches)
         doc, n, label = (group.column(c).to_numpy() for c in ("doc", "n", "label"))
         parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("hashes")]
         cells = [x.as_buffer() for x in group.column("cells")]
         cells = np.stack([np.frombuffer(c, np.uint8 if len(c) == CELLS else np.uint32) for c in cells])  # wide ones if a set here has them
-        h, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        order = np.lexsort((n[owner], h))
-        h, owner = h[order], owner[order]
-        seen, apart, live = np.zeros(0, np.int64), 1, np.arange(len(h) - 1)
-        waiting: list[np.ndarray] = []
-        while True:  # pairs of members of a group, `apart` places from each other in order of size
-            live = live[live + apart < len(h)]
-            live = live[h[live] == h[live + apart]]
-            a, b = owner[live], owner[live + apart]
-            fits = 100 * n[a] >= similar * n[b]
-            live, a, b = live[fits], a[fits], b[fits]  # a larger partner yet won't fit either
-            if not len(live):
-                break
-            differ = label[a] != label[b]
-            waiting.append(np.minimum(a, b)[differ] * len(doc) + np.maximum(a, b)[differ])
-            if sum(map(len, waiting)) > 2 << 20:
-                seen, waiting = np.unique(np.concatenate([seen, *waiting])), []
-            apart += 1
-        seen = np.unique(np.concatenate([seen, *waiting]))
-        a, b = seen // max(1, len(doc)), seen % max(1, len(doc))
-        score = np.zeros(len(a), np.float32)
-        for k in range(0, len(a), 4096):
-            x, y = a[k : k + 4096], b[k : k + 4096]
-            score[k : k + 4096] = np.minimum(cells[x], cells[y]).sum(1, dtype=np.int64) / needed(n[x], n[y], similar)
-        keep = score >= 1
-        a, b, score = doc[a[keep]], doc[b[keep]], score[keep]
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        if most is not None and len(a):
-            order = np.lexsort((a, -score, b))
-            a, b = a[order], b[order]
-            begins = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-            rank = np.arange(len(b)) - np.repeat(begins, np.diff(np.append(begins, len(b))))
-            a, b = a[rank < most], b[rank < most]
-        return pa.table({"a": a, "b": b}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        del group
+        for a, b in partners(doc, n, label, cells, parts, most, similar):
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     rows = sets.select("doc", "n", "label", "first", "hashes", "found").mapInArrow(freeing(emit), "part long, doc long, n long, label long, cells binary, hashes binary")
     return rows.groupBy("part").applyInArrow(pairs, "a long, b long").distinct()
