@@ -95,7 +95,7 @@ def words_of(text: str) -> set[str]:
 @lru_cache(maxsize=None)
 def _triples(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
     """Positions of all triples in n letters that span SPAN at most, their weights, and the scale that gives a word without repeated triples length 1."""
-    t = np.array([x for x in combinations(range(n), 3) if x[2] - x[0] < SPAN], np.int64).reshape(-1, 3)
+    t = np.array([(i, i + j, i + k) for i in range(n) for j, k in combinations(range(1, SPAN), 2) if i + k < n], np.int64).reshape(-1, 3)
     w = DECAY ** (t[:, 2] - t[:, 0] + 1.0)
     return t[:, 0], t[:, 1], t[:, 2], w.astype(np.float32), float(np.sqrt((w**2).sum())) or 1.0
 
