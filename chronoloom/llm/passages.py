@@ -11,7 +11,8 @@ that touch or overlap make a passage, and passages of MIN_WORDS words or more co
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 from typing import NamedTuple
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, forest, forget, freeing, parts_of, utf8, written
+from .common import components, forest, forget, freeing, give_back, parts_of, utf8, written
 from .shingles import BASE, SPACE, _powers, mixed, word_hashes
 
 REACH, MIN_WORDS, SIMILAR, N = 4, 25, 75, 5
@@ -29,8 +30,10 @@ REACH, MIN_WORDS, SIMILAR, N = 4, 25, 75, 5
 WINDOW, SPREAD = 40, 7
 #: Texts of at least so many words, but fewer than WINDOW, are one long paragraph.
 SHORT = 20
-#: Paragraphs that a fragment's task holds, and members in one block of a bucket.
-FRAGMENT, GROUP = 1 << 20, 100_000
+#: Paragraphs that a fragment's task holds, members in one block of a bucket, and members from which on a bucket is compared by itself.
+FRAGMENT, GROUP, ALONE = 1 << 19, 1 << 15, 2048
+#: Pairs that wait to be compared, pairs of a long list that are drawn at once, and elements that are counted at once.
+WAITING, DRAWN, COUNTED = 1 << 17, 1 << 17, 1 << 19
 LAST = np.uint64((1 << 64) - 1)
 #: Bloom filters of more bits than this aren't broadcast; then all paragraphs go to the join.
 BLOOM_BITS = 1 << 29
@@ -144,6 +147,19 @@ def _packed(x) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
+def freed(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """`run` for applyInArrow, giving the memory of each group back: an executor's tasks would keep that of their largest ones."""
+
+    @wraps(run)
+    def group(rows: pa.Table) -> pa.Table:
+        try:
+            return run(rows)
+        finally:
+            give_back()
+
+    return group
+
+
 def _joined(group: pa.Table, column: str, kind) -> np.ndarray:
     parts = [np.frombuffer(x.as_buffer(), kind) for x in group.column(column)]
     return np.concatenate(parts) if parts else np.zeros(0, kind)
@@ -213,11 +229,14 @@ def _repeated(texts: DataFrame, fragments: int) -> DataFrame:
         return pa.table({"doc": docs, "begin": begin, "length": length, "own": own.view(np.int64), "removed": removed})
 
     dealt = texts.mapInArrow(freeing(run), "fragment int, " + ", ".join(f"{c} binary" for c in columns))
-    return dealt.groupBy("fragment").applyInArrow(pick, "doc long, begin int, length int, own long, removed boolean")
+    return dealt.groupBy("fragment").applyInArrow(freed(pick), "doc long, begin int, length int, own long, removed boolean")
 
 
 def _collisions(texts: DataFrame, fragments: int, count: int) -> DataFrame:
-    """(part, bucket, own): hashes of different long paragraphs that share a MinHash. Their bucket is named by its members, so that equal ones of several bands are one. A hot bucket comes as pairs of its blocks, so that any two members meet.
+    """(part, bucket, own): hashes of different long paragraphs that share a MinHash. Their bucket is named by its members, so that equal ones of several bands are one.
+
+    Small buckets share a part. A large one is a part of its own, and a hot one comes as pairs of its blocks, each of them a part, so that any two members
+    meet and no group holds more than two blocks.
 
     Paragraphs of one text overlap and so share buckets too. With each goes the sum of its documents' hashes; a bucket whose members all stand in the
     same documents, as in one text or in exact copies, has nothing to link and goes.
@@ -250,22 +269,15 @@ def _collisions(texts: DataFrame, fragments: int, count: int) -> DataFrame:
         size = np.diff(np.append(at, len(marks)))
         bucket = np.repeat(mixed(np.add.reduceat(mixed(own), at) + size.astype(np.uint64)), size)
         size = np.repeat(np.where(np.minimum.reduceat(documents, at) != np.maximum.reduceat(documents, at), size, 0), size)
-        cool = (size > 1) & (size <= GROUP)
-        buckets, owns = [bucket[cool]], [own[cool]]
-        hot = size > GROUP
-        for mark in np.unique(marks[hot]):
-            members = own[marks == mark]
-            blocks = -(-len(members) // GROUP)
-            block = (mixed(members) % np.uint64(blocks)).astype(np.int64)
-            for other in range(blocks):
-                low, high = np.minimum(block, other), np.maximum(block, other)
-                buckets.append(mixed(mark + (low * blocks + high + 1).astype(np.uint64) * np.uint64(BASE)))
-                owns.append(members)
-        bucket = np.concatenate(buckets)
-        return pa.table({"part": (bucket >> np.uint64(8)).view(np.int64) % (8 * fragments), "bucket": bucket.view(np.int64), "own": np.concatenate(owns).view(np.int64)})
+        live = size > 1
+        return pa.table({"bucket": bucket[live].view(np.int64), "own": own[live].view(np.int64), "size": size[live]})
 
     dealt = texts.mapInArrow(freeing(run), "fragment int, " + ", ".join(f"{c} binary" for c in columns))
-    return dealt.groupBy("fragment").applyInArrow(pick, "part long, bucket long, own long").distinct()
+    rows = dealt.groupBy("fragment").applyInArrow(freed(pick), "bucket long, own long, size long").distinct()
+    blocks = F.ceil(F.col("size") / GROUP)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("own"), blocks)).withColumn("other", F.explode(F.when(F.col("size") > GROUP, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.lit(0).cast("long")))))
+    bucket = F.when(F.col("size") > GROUP, F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other"))).otherwise(F.col("bucket"))
+    return rows.select(F.when(F.col("size") > ALONE, bucket).otherwise(F.shiftrightunsigned("bucket", 8) % (8 * fragments)).alias("part"), bucket.alias("bucket"), "own")
 
 
 #: Runs are compared by 48 bits of their hashes, which are kept in six bytes.
@@ -331,7 +343,7 @@ def needed(n, m, similar: int):
     return -(-similar * (n + m) // (100 + similar))
 
 
-def _crossed(x: np.ndarray, y: np.ndarray, same: bool, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _crossed(x: np.ndarray, y: np.ndarray, same: bool, most: int = DRAWN) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of members of x and y, or of x and x, about `most` at a time."""
     step = max(1, most // max(1, len(y)))
     for k in range(0, len(x), step):
@@ -348,7 +360,7 @@ def _overlap(x: np.ndarray, y: np.ndarray, at: np.ndarray, size: np.ndarray, fla
     begin = 0
     ends = np.cumsum(total)
     while begin < len(x):
-        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + (1 << 21), "right")))
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + COUNTED, "right")))
         which = np.concatenate([x[begin:end], y[begin:end]])
         n = size[which]
         pair = np.repeat(np.tile(np.arange(end - begin), 2), n)
@@ -367,7 +379,7 @@ def links_within(bucket: np.ndarray, own: np.ndarray, size: np.ndarray, every: n
     Elements of a bucket's sets are ordered, rare ones first. Two sets that reach the threshold share one of the first ones of both, at places that leave
     room for the overlap needed; members that share it are compared by size and place, so a bucket isn't expanded where no link is possible.
     """
-    owner = np.repeat(np.arange(len(own)), size)
+    owner = np.repeat(np.arange(len(own), dtype=np.int32), size)
     whole = np.add.reduceat(mixed(every), np.cumsum(size) - size)
     order = np.lexsort((own, whole, size, bucket))
     same = (bucket[order][1:] == bucket[order][:-1]) & (size[order][1:] == size[order][:-1]) & (whole[order][1:] == whole[order][:-1])
@@ -379,18 +391,22 @@ def links_within(bucket: np.ndarray, own: np.ndarray, size: np.ndarray, every: n
     every, owner = every[mine], owner[mine]
     held = np.where(keep, size, 0)
     at = np.cumsum(held) - held
-    key = mixed(every ^ mixed(bucket[owner]))  # an element within its bucket
+    key = mixed(every ^ mixed(bucket)[owner])  # an element within its bucket
     order = np.argsort(key, kind="stable")
-    first = np.concatenate([[True], key[order][1:] != key[order][:-1]]) if len(key) else np.zeros(0, bool)
-    count = np.diff(np.append(np.flatnonzero(first), len(key)))
-    found = np.empty(len(key), np.int64)
+    value = key[order]
+    first = np.concatenate([[True], value[1:] != value[:-1]]) if len(key) else np.zeros(0, bool)
+    count = np.diff(np.append(np.flatnonzero(first), len(key))).astype(np.int32)
+    found = np.empty(len(key), np.int32)
     found[order] = np.repeat(count, count)
+    del order, value, first, count, mine
     order = np.lexsort((key, found, owner))
     key, found, owner = key[order], found[order], owner[order]
-    place = np.arange(len(key)) - at[owner]
-    n = size[owner]
+    del order
+    place = (np.arange(len(key)) - at[owner]).astype(np.int32)
+    n = size[owner].astype(np.int32)
     head = (place < n - -(-similar * n // 100) + 1) & (found > 1)
-    key, owner, place, n = key[head], owner[head], place[head], n[head]
+    key, owner, place, n = key[head], owner[head].astype(np.int64), place[head].astype(np.int64), n[head].astype(np.int64)
+    del head, found
     order = np.lexsort((place, n, key))
     key, owner, place, n = key[order], owner[order], place[order], n[order]
     begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
@@ -413,9 +429,11 @@ def links_within(bucket: np.ndarray, own: np.ndarray, size: np.ndarray, every: n
             b.append(own[y[needed_ones]])
 
     def compare(x: np.ndarray, y: np.ndarray) -> None:
-        waiting.append((x, y))
-        if sum(len(w[0]) for w in waiting) > 1 << 20:
-            flush()
+        apart = label[x] != label[y]
+        if apart.any():
+            waiting.append((x[apart], y[apart]))
+            if sum(len(w[0]) for w in waiting) > WAITING:
+                flush()
 
     many = np.repeat(ends - begins > 64, ends - begins)
     live, apart = np.flatnonzero(~many), 1
@@ -454,7 +472,7 @@ def _close(members: DataFrame, named: DataFrame, similar: int) -> DataFrame:
         a, b = links_within(bucket, own, size.astype(np.int64), _long(_joined(group, "runs", np.uint8)), similar)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return members.join(sets, "own").select("part", "bucket", "own", "runs").groupBy("part").applyInArrow(check, "a long, b long").distinct()
+    return members.join(sets, "own").select("part", "bucket", "own", "runs").groupBy("part").applyInArrow(freed(check), "a long, b long").distinct()
 
 
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: int = SIMILAR, min_words: int = MIN_WORDS, recall: float = 0.99) -> DataFrame:

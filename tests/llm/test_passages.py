@@ -1,6 +1,7 @@
 """Repeated passages against brute force: links of long paragraphs, edited passages, and the awkward rows."""
 
 import random
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -152,3 +153,53 @@ def test_repeated_rows_ties_and_long_texts(spark):
     assert got[2].n_removed >= 50 and got[4].n_removed > 59_000
     assert found(df.where("doc_id = 1")) == {}  # one document, twice
     assert found(df.where("false")) == {}
+
+
+def near_copies(r, bases, copies):
+    """Texts of WINDOW words, one changed word in each copy, so that each is one long paragraph."""
+    rows = {}
+    for _ in range(bases):
+        base = fresh(r, passages.WINDOW)
+        for k in range(copies):
+            words = list(base)
+            words[k % len(words)] = f"changed{k}"
+            rows[len(rows)] = " ".join(words)
+    return rows
+
+
+def test_large_buckets_are_parts_of_their_own_and_hot_ones_pairs_of_blocks(spark, monkeypatch):
+    texts = frame(spark, near_copies(random.Random(7), 4, 4000)).select(F.col("doc_id").alias("doc"), F.col("text").cast("binary").alias("raw"))
+
+    def buckets():
+        out = defaultdict(lambda: defaultdict(set))
+        for x in passages._collisions(texts, 1, passages.bands()).collect():
+            out[x.part][x.bucket].add(x.own)
+        return out
+
+    whole = buckets()
+    large = [b for part in whole.values() for b in part.values() if len(b) > 2048]
+    assert len(large) > 8  # more than there are parts of small buckets
+    assert all(len(part) == 1 for part in whole.values() if max(map(len, part.values())) > 2048)
+    monkeypatch.setattr(passages, "GROUP", 1000)
+    blocks = [b for part in buckets().values() for b in part.values()]
+    assert max(map(len, blocks)) < 2 * 1500
+    members = sorted(large[0])[:60]
+    assert all(any(a in b and z in b for b in blocks) for a in members for z in members)
+
+
+def test_a_bucket_of_many_near_copies_is_compared_in_little_memory():
+    t = passages.laid(shingles.word_hashes([x.encode() for x in near_copies(random.Random(8), 1, 4000).values()]))
+    got = passages.long_paragraphs(t)
+    runs = passages.runs_of(t) & passages.SHORTER
+    sets = [np.unique(runs[a : a + n - 4]) for a, n in zip(got.place.tolist(), got.length.tolist(), strict=True)]
+    size, every = np.array([len(x) for x in sets]), np.concatenate(sets)
+    tracemalloc.start()
+    a, b = passages.links_within(np.full(len(sets), 5, np.uint64), got.own, size, every, 75)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = np.arange(len(nodes))
+    passages.forest(*at.reshape(2, -1), label)
+    middle = np.isin(np.arange(len(sets)) % passages.WINDOW, (0, 1, 38, 39))  # few changed runs: 30 or more of at most 40 are shared by two of these
+    assert len(set(label[np.searchsorted(nodes, got.own[middle])].tolist())) == 1
+    assert peak < 64 << 20
